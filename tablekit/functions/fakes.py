@@ -70,8 +70,8 @@ def below(hash_text: Column, start: int, size: int | Column, digits: int = 8) ->
 
 
 def pick(values: tuple[str, ...], hash_text: Column, start: int) -> Column:
-    index = below(hash_text, start, len(values)) + 1
-    return F.element_at(F.array(*[F.lit(v) for v in values]), index.cast("int"))
+    # get(), as element_at() reads the last entry where the index is null.
+    return F.get(F.array(*[F.lit(v) for v in values]), below(hash_text, start, len(values)).cast("int"))
 
 
 def _joined(separator: str, *parts: Column) -> Column:

@@ -91,14 +91,16 @@ def metric_number(value: Column, data_type: T.DataType) -> Column:
 
 
 def typed_value(text: Column, data_type: T.DataType) -> Column:
-    """Value of ``text`` in a column of ``data_type``; null where it does not fit."""
+    """Value of ``text`` in a column of ``data_type``; null where it does not fit.
+
+    The result names ``text`` many times, so it should be a column, not a formula.
+    """
     body = trimmed(text)
     if isinstance(data_type, kinds.INTEGRAL_TYPES):
-        bits = INTEGER_BITS[type(data_type)]
-        exact = F.when(body.rlike(INTEGER_PATTERN), body.try_cast(data_type))
         number = parse_number(text)
-        whole = (number == F.floor(number)) & (number >= -(2.0 ** (bits - 1))) & (number < 2.0 ** (bits - 1))
-        return F.coalesce(exact, F.when(~body.rlike(INTEGER_PATTERN) & whole, number.try_cast(data_type)))
+        return F.when(body.rlike(INTEGER_PATTERN), body.try_cast(data_type)).otherwise(
+            F.when(number % 1 == 0, number).try_cast(data_type)
+        )
     if isinstance(data_type, T.DecimalType):
         exact = F.when(body.rlike(DECIMAL_PATTERN), body.try_cast(data_type))
         return F.coalesce(exact, parse_number(text).try_cast(data_type))

@@ -30,39 +30,30 @@ ELLIPSIS = "..."
 
 def number_text(value: Column, data_type: T.DataType) -> Column:
     """Decimal text without a trailing ``.0`` and with an exponent only from
-    1e21 up or below 1e-6, taken from the shortest digits that read back equal."""
+    1e21 up or below 1e-6, in the shortest digits that read back equal.
+
+    Casts give those digits but switch to an exponent outside 1e-3 to 1e7, so the
+    branches pick the cast that prints the range plainly, cheap ranges first.
+    """
     if not isinstance(data_type, kinds.FRACTIONAL_TYPES):
         return value.cast("string")
-    text = F.abs(value).cast("string")
-    plain = F.regexp_replace(text, r"\.0$", "")
-    mantissa = F.substring_index(text, "E", 1)
-    digits = F.replace(F.regexp_replace(mantissa, r"\.0$", ""), F.lit("."), F.lit(""))
-    exponent = F.substring_index(text, "E", -1).try_cast("int")
-    whole_digits = exponent + 1
-    padded = F.rpad(digits, whole_digits, F.lit("0"))
-    spread = (
-        F.when(exponent < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits))
-        .when(F.length(digits) <= whole_digits, padded)
-        .otherwise(
-            F.concat(
-                F.substring(digits, F.lit(1), whole_digits),
-                F.lit("."),
-                F.substring(digits, whole_digits + 1, F.length(digits)),
-            )
-        )
-    )
-    scientific = F.concat(
-        F.regexp_replace(mantissa, r"\.0$", ""),
-        F.when(exponent > 0, F.lit("e+")).otherwise(F.lit("e")),
-        exponent.cast("string"),
-    )
-    unsigned = (
-        F.when(~text.contains("E"), plain)
-        .when((exponent >= 21) | (exponent < -6), scientific)
-        .otherwise(spread)
+    if isinstance(data_type, T.FloatType):
+        value = value.cast("string").cast("double")  # its digits, not its binary expansion
+    size, whole = F.abs(value), value == F.rint(value)
+    digits = F.replace(value.cast("string"), F.lit(".0E"), F.lit("E"))
+    return (
+        F.when(whole & (size < 1e15), value.cast("bigint").cast("string"))
+        .when(~whole & (size >= 1e-3) & (size < 1e7), value.cast("string"))
+        .when(whole & (size < 1e21), value.cast("decimal(38,0)").cast("string"))
+        .when(~whole & (size >= 1e7), _without_zeros(value.cast("decimal(38,10)")))
+        .when(~whole & (size >= 1e-6), _without_zeros(value.cast("decimal(38,24)")))
+        .when(size < 1, F.lower(digits))
+        .otherwise(F.replace(digits, F.lit("E"), F.lit("e+")))
     )
-    sign = F.when(value < 0, F.lit("-")).otherwise(F.lit(""))
-    return F.when(F.isnan(value), F.lit("NaN")).otherwise(F.concat(sign, unsigned))
+
+
+def _without_zeros(value: Column) -> Column:
+    return F.rtrim(value.cast("string"), F.lit("0"))
 
 
 def iso_text(value: Column, data_type: T.DataType) -> Column:

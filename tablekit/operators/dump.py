@@ -37,13 +37,12 @@ def copy_rows(lines: DataFrame, schema: T.StructType) -> DataFrame:
 
     Cells that do not fit their column become null, like in an import.
     """
-    cells = F.split(F.col("line"), "\t", -1)
-    return lines.select(cells.alias("cells")).select(
-        *[
-            _typed(rendering.copy_cell_value(F.get(F.col("cells"), F.lit(i))), f.dataType).alias(f.name)
-            for i, f in enumerate(schema.fields)
-        ]
+    fields = list(enumerate(schema.fields))
+    cells = lines.select(F.split(F.col("line"), "\t", -1).alias("cells"))
+    texts = cells.select(
+        *[rendering.copy_cell_value(F.get(F.col("cells"), F.lit(i))).alias(f"_text_{i}") for i, _ in fields]
     )
+    return texts.select(*[_typed(F.col(f"_text_{i}"), f.dataType).alias(f.name) for i, f in fields])
 
 
 def _typed(text: Column, data_type: T.DataType) -> Column:

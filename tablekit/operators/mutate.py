@@ -57,15 +57,21 @@ def validate_rows(
         raise ValueError(f"Unknown write mode: {mode}")
     if mode == UPDATE and not contract.primary_key:
         raise ValueError(NO_KEY)
-    given = F.col(values)
-    names = F.map_keys(given)
     fixed = set(contract.primary_key) if mode == UPDATE else set()
+    names = F.col("_names")
+    key = contract.primary_key if mode == UPDATE else ()
+    texts = requests.select(
+        "*",
+        F.map_keys(F.col(values)).alias("_names"),
+        *[F.col(values)[name].alias(f"_text_{i}") for i, name in enumerate(contract.columns)],
+        *[F.col(identity)[name].alias(f"_key_{i}") for i, name in enumerate(key)],
+    )
 
     value_entries, new_columns, usable = [], [], []
-    for field in contract.schema.fields:
+    for i, field in enumerate(contract.schema.fields):
         name = field.name
         present = F.array_contains(names, name)
-        parsed = parsing.parse_field(given[name], name, field.dataType)
+        parsed = parsing.parse_field(F.col(f"_text_{i}"), name, field.dataType)
         error = F.lit(KEY_NOT_EDITABLE) if name in fixed else parsed.error
         value_entries.append(_entry(F.lit(name), F.when(present, error)))
         if name in fixed:
@@ -82,29 +88,26 @@ def validate_rows(
     )
 
     key_columns, key_entries = [], []
-    if mode == UPDATE:
-        for name in contract.primary_key:
-            text = F.col(identity)[name]
-            parsed = parsing.parse_field(text, name, contract.schema[name].dataType)
-            error = (
-                F.when(text.isNull() | (text == ""), KEY_MISSING)
-                .when(parsed.error.isNotNull(), parsed.error)
-                .when(parsed.value.isNull(), KEY_NULL)
-            )
-            key_columns.append(parsed.value.alias(f"key_{name}"))
-            key_entries.append(_entry(F.lit(name), error))
-    identity_errors = F.array(*key_entries).cast(_ERROR_ENTRY) if key_entries else None
+    for i, name in enumerate(key):
+        text = F.col(f"_key_{i}")
+        parsed = parsing.parse_field(text, name, contract.schema[name].dataType)
+        error = (
+            F.when(text.isNull() | (text == ""), KEY_MISSING)
+            .when(parsed.error.isNotNull(), parsed.error)
+            .when(parsed.value.isNull(), KEY_NULL)
+        )
+        key_columns.append(parsed.value.alias(f"key_{name}"))
+        key_entries.append(_entry(F.lit(name), error))
+    identity_errors = F.array(*key_entries).cast(_ERROR_ENTRY)
 
     # Values are judged first; the identity only where they are sound.
-    checked = requests.select(
-        "*",
+    checked = texts.select(
+        *requests.columns,
         *new_columns,
         *key_columns,
         F.array_compact(F.array(*usable)).alias(PROVIDED),
         _errors(value_errors).alias("_value_errors"),
-        (_errors(identity_errors) if key_entries else F.map_from_entries(F.array().cast(_ERROR_ENTRY))).alias(
-            "_identity_errors"
-        ),
+        _errors(identity_errors).alias("_identity_errors"),
     )
     bad_values = F.cardinality("_value_errors") > 0
     nothing = F.cardinality(PROVIDED) == 0

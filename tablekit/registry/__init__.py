@@ -6,6 +6,6 @@ from tablekit.registry.base import Query
 
 
 def all_queries() -> list[Query]:
-    from tablekit.registry import texts, views
+    from tablekit.registry import texts, views, writes
 
-    return [*views.QUERIES, *texts.QUERIES]
+    return [*views.QUERIES, *texts.QUERIES, *writes.QUERIES]

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from tablekit.plans.contract import Contract, ForeignKey
+from tablekit.session import tune
 from tablekit.sources.catalog import Catalog
 
 TABLES = (
@@ -70,7 +71,7 @@ def contract(name: str, df: DataFrame) -> Contract:
 
 def open_catalog(spark: SparkSession, folder: str, names: tuple[str, ...] = TABLES) -> Catalog:
     """Catalog of the named tables; a contract is made when its table is asked for."""
-    return _ContractedCatalog.of_parquet(spark, folder, names)
+    return _ContractedCatalog.of_parquet(tune(spark), folder, names)
 
 
 class _ContractedCatalog(Catalog):
