@@ -259,7 +259,7 @@ def relational_dataset(spark: SparkSession, scale: Scale = Scale(), seed: int |
     i = F.col(ROW_ID)
     text = i.cast("string")
 
-    def table(name: str, count: int, **columns: Column) -> DataFrame:
+    def table(name: str, count: int, /, **columns: Column) -> DataFrame:
         return ids(spark, count).select(i.alias("id"), *[c.alias(n) for n, c in columns.items()])
 
     def h(name: str, column: str) -> Column:

@@ -215,7 +215,7 @@ def import_csv(
 ) -> Checked:
     """Import CSV files; without a mapping, headers are matched to columns by name."""
     layout = sniff_csv(spark, path)
-    raw = read_csv_text(spark, path, layout, multi_line).select(*layout.headers, CORRUPT, *POSITION)
+    raw = read_csv_text(spark, path, layout, multi_line)
     chosen = auto_map(layout.headers, contract.columns) if mapping is None else mapping
     return check_rows(raw, contract, chosen, list(POSITION), parents, target)
 

@@ -89,26 +89,30 @@ def read_csv_text(
     if not layout.headers:
         raise ValueError(f"No CSV header in {path}")
     raw = spark.read.options(**csv_options(layout, multi_line)).schema(text_schema(layout)).csv(path)
-    return with_position(raw, layout.headers)
+    return with_line(with_place(raw, layout.headers))
 
 
-def with_position(raw: DataFrame, headers: list[str]) -> DataFrame:
-    """Empty cells as empty text, and position columns that sort like the input."""
+def with_place(raw: DataFrame, headers: list[str]) -> DataFrame:
+    """Empty cells as empty text, and the file part every row comes from."""
     whole = F.col(CORRUPT).isNull()
     cells = [
         F.when(whole, F.coalesce(F.col(f"`{h}`"), F.lit(""))).otherwise(F.col(f"`{h}`")).alias(h)
         for h in headers
     ]
-    file, block, line = POSITION
+    file, block, _ = POSITION
     return raw.select(
         *cells,
         CORRUPT,
         F.col("_metadata.file_path").alias(file),
         F.col("_metadata.file_block_start").alias(block),
-        F.monotonically_increasing_id().alias(line),
     )
 
 
+def with_line(placed: DataFrame) -> DataFrame:
+    """A number that grows along each file part; unique over all rows."""
+    return placed.withColumn(POSITION[-1], F.monotonically_increasing_id())
+
+
 def csv_texts(df: DataFrame) -> DataFrame:
     return df.select(
         *[

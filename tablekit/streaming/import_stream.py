@@ -20,7 +20,8 @@ from tablekit.sources.csv_files import (
     csv_options,
     sniff_csv,
     text_schema,
-    with_position,
+    with_line,
+    with_place,
 )
 
 BATCH = "_batch"
@@ -62,12 +63,12 @@ def import_stream(
     reader = spark.readStream.options(**csv_options(layout, multi_line)).schema(text_schema(layout))
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    lines = with_position(reader.csv(source), layout.headers)
+    lines = with_place(reader.csv(source), layout.headers)
 
     def take(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
         present = _keys_before(session, folders.good, number, contract, target)
-        raw = batch.select(*layout.headers, CORRUPT, *POSITION)
+        raw = with_line(batch).select(*[F.col(f"`{h}`") for h in layout.headers], CORRUPT, *POSITION)
         checked = check_rows(raw, contract, chosen, list(POSITION), parents, present)
         checked.good.write.mode("overwrite").parquet(f"{folders.good}/{BATCH}={number}")
         checked.rejects.write.mode("overwrite").parquet(f"{folders.rejects}/{BATCH}={number}")
