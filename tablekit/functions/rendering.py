@@ -99,37 +99,46 @@ def text_of(value: Column, data_type: T.DataType) -> Column:
     return value.cast("string")
 
 
-def csv_cell(text: Column) -> Column:
+def is_plain(data_type: T.DataType) -> bool:
+    """Whether the text of a type holds no quote, backslash, tab or line break."""
+    plain = (T.NumericType, T.BooleanType, T.DateType, T.BinaryType, *kinds.TIMESTAMP_TYPES)
+    return isinstance(data_type, plain)
+
+
+def csv_cell(value: Column, data_type: T.DataType) -> Column:
     """Quoted cell, quotes doubled, null as the empty cell."""
-    return F.concat(
-        F.lit('"'), F.replace(F.coalesce(text, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"')
-    )
+    text = F.coalesce(text_of(value, data_type), F.lit(""))
+    if not is_plain(data_type):
+        text = F.replace(text, F.lit('"'), F.lit('""'))
+    return F.concat(F.lit('"'), text, F.lit('"'))
 
 
 def csv_header(names: list[str]) -> str:
     return ",".join('"' + name.replace('"', '""') + '"' for name in names)
 
 
-def copy_cell(text: Column) -> Column:
+def copy_cell(value: Column, data_type: T.DataType) -> Column:
     """COPY text cell. Backslashes go first, so later escapes are not doubled."""
-    escaped = F.replace(text, F.lit("\\"), F.lit("\\\\"))
-    for raw, mark in (("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r")):
-        escaped = F.replace(escaped, F.lit(raw), F.lit(mark))
+    escaped = text_of(value, data_type)
+    if not is_plain(data_type):
+        for raw, mark in (("\\", "\\\\"), ("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r")):
+            escaped = F.replace(escaped, F.lit(raw), F.lit(mark))
     return F.coalesce(escaped, F.lit(COPY_NULL))
 
 
-def copy_cell_value(cell: Column) -> Column:
+def copy_cell_text(cell: Column, data_type: T.DataType) -> Column:
     """Text of a COPY cell. Splitting at escaped backslashes leaves pieces in
     which every backslash starts one of the other escapes."""
+    if is_plain(data_type):
+        return F.when(cell != COPY_NULL, cell)
 
     def unescape(piece: Column) -> Column:
         for raw, mark in (("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r")):
             piece = F.replace(piece, F.lit(mark), F.lit(raw))
         return piece
 
-    plain = F.when(~cell.contains("\\"), cell)
     pieces = F.transform(F.split(cell, r"\\\\"), unescape)
-    return F.when(cell != COPY_NULL, F.coalesce(plain, F.array_join(pieces, "\\")))
+    return F.when(~cell.contains("\\"), cell).when(cell != COPY_NULL, F.array_join(pieces, "\\"))
 
 
 def sql_literal(value: Column, data_type: T.DataType, dialect: str) -> Column:
@@ -143,7 +152,9 @@ def sql_literal(value: Column, data_type: T.DataType, dialect: str) -> Column:
         literal = F.when(value, yes).when(~value, no)
     else:
         text = text_of(value, data_type)
-        literal = F.concat(F.lit("'"), F.replace(text, F.lit("'"), F.lit("''")), F.lit("'"))
+        if not is_plain(data_type):
+            text = F.replace(text, F.lit("'"), F.lit("''"))
+        literal = F.concat(F.lit("'"), text, F.lit("'"))
     return F.coalesce(literal, F.lit("NULL"))
 
 

@@ -17,13 +17,9 @@ from tablekit.sources import storage
 from tablekit.sources.catalog import Catalog
 
 
-def _texts(df: DataFrame) -> list[Column]:
-    return [rendering.text_of(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields]
-
-
 def copy_lines(df: DataFrame, *keep: str) -> DataFrame:
     """One COPY data ``line`` per row; ``keep`` names columns to carry along."""
-    cells = [rendering.copy_cell(text) for text in _texts(df)]
+    cells = [rendering.copy_cell(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields]
     return df.select(*keep, F.concat_ws("\t", *cells).alias("line"))
 
 
@@ -40,7 +36,10 @@ def copy_rows(lines: DataFrame, schema: T.StructType) -> DataFrame:
     fields = list(enumerate(schema.fields))
     cells = lines.select(F.split(F.col("line"), "\t", -1).alias("cells"))
     texts = cells.select(
-        *[rendering.copy_cell_value(F.get(F.col("cells"), F.lit(i))).alias(f"_text_{i}") for i, _ in fields]
+        *[
+            rendering.copy_cell_text(F.get(F.col("cells"), F.lit(i)), f.dataType).alias(f"_text_{i}")
+            for i, f in fields
+        ]
     )
     return texts.select(*[_typed(F.col(f"_text_{i}"), f.dataType).alias(f.name) for i, f in fields])
 
@@ -58,30 +57,28 @@ def _typed(text: Column, data_type: T.DataType) -> Column:
     return parsing.typed_value(text, data_type)
 
 
-def numbered_rows(df: DataFrame, order: list[str], unique: bool) -> DataFrame:
-    """Rows with their 0-based ``_index`` in the given order, without a global window.
+def numbered_rows(df: DataFrame, order: list[str], unique: bool, *payload: Column) -> DataFrame:
+    """``payload`` of every row and its 0-based ``_index`` in the given order.
 
-    Rows are range-partitioned and sorted, staged with partition and place, and
-    every place is raised by the sizes of the partitions before it. Only those
-    sizes, one row per partition, meet in one task. Where the order does not tell
-    rows apart, the scan position splits equal rows over partitions; such rows have
-    to come from a scan and projections of it, which a repeated task reads alike.
+    Rows are range-partitioned and sorted, then their payload is staged with
+    partition and place, and every place is raised by the sizes of the partitions
+    before it. Only those sizes, one row per partition, meet in one task. Where
+    the order does not tell rows apart, the scan position splits equal rows over
+    partitions; such rows have to come from a scan and projections of it, which a
+    repeated task reads alike.
     """
     keys = [F.col(f"`{name}`") for name in order]
     if not unique:
         df = df.withColumn("_scan", F.monotonically_increasing_id())
         keys.append(F.col("_scan"))
-    place_mask = F.lit((1 << 33) - 1)
-    ordered = df.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_scan")
+    ordered = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     placed = storage.staged(
-        ordered.withColumn("_part", F.spark_partition_id()).withColumn(
-            "_place", F.monotonically_increasing_id().bitwiseAND(place_mask)
-        ),
-        "ordered",
+        ordered.select(*payload, F.spark_partition_id().alias("_part"), place.alias("_place")), "ordered"
     )
     starts = partition_starts(placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_size")))
     return placed.join(F.broadcast(starts), "_part").select(
-        *[F.col(f"`{c}`") for c in df.columns if c != "_scan"],
+        *[F.col(f"`{c}`") for c in placed.columns if c not in ("_part", "_place")],
         (F.col("_start") + F.col("_place")).alias("_index"),
     )
 
@@ -112,14 +109,12 @@ def insert_statements(
         rendering.sql_literal(F.col(f"`{f.name}`"), f.dataType, dialect) for f in df.schema.fields
     ]
     values = F.concat(F.lit("("), F.concat_ws(", ", *literals), F.lit(")"))
-    order_columns = [F.col(f"`{name}`").alias(f"_o{i}") for i, name in enumerate(order)]
-    rendered = df.select(*order_columns, values.alias("_values"))
-    numbered = numbered_rows(rendered, [f"_o{i}" for i in range(len(order))], unique=bool(key))
+    numbered = numbered_rows(df, order, bool(key), values.alias("_values"))
     names = ", ".join(rendering.quote_identifier(c, dialect) for c in df.columns)
     head = f"INSERT INTO {rendering.quote_identifier(table, dialect)} ({names}) VALUES "
     batches = numbered.groupBy(
         F.floor(F.col("_index") / F.lit(batch_rows)).cast("bigint").alias("batch")
-    ).agg(F.array_sort(F.collect_list(F.struct("_index", "_values"))).alias("rows"))
+    ).agg(F.sort_array(F.collect_list(F.struct("_index", "_values"))).alias("rows"))
     return batches.select(
         "batch",
         F.concat(

@@ -135,7 +135,7 @@ def key_pool(parent: DataFrame, column: str, limit: int | None = limits.KEY_POOL
     """
     keys = parent.where(F.col(f"`{column}`").isNotNull()).select(F.col(f"`{column}`").alias("_key"))
     if limit is None:
-        return numbered_rows(keys, ["_key"], unique=True).withColumnRenamed("_index", "_slot")
+        return numbered_rows(keys, ["_key"], True, F.col("_key")).withColumnRenamed("_index", "_slot")
     few = keys.orderBy("_key").limit(limit).agg(F.sort_array(F.collect_list("_key")).alias("keys"))
     return few.select(F.posexplode("keys").alias("_slot", "_key")).withColumn(
         "_slot", F.col("_slot").cast("bigint")

@@ -88,20 +88,30 @@ def _local_checks(
     columns = [c for c in contract.columns if c in sources]
     if not columns:
         raise ValueError("No column is mapped.")
-    typed = raw.select(
+    kinds = {c: contract.schema[c].dataType for c in columns}
+    bodies = raw.select(
         *[F.col(f"`{h}`").alias(f"_in_{i}") for i, h in enumerate(headers)],
         *[
-            parsing.typed_value(F.col(f"`{sources[c]}`"), contract.schema[c].dataType).alias(f"_out_{i}")
+            parsing.body_of(F.col(f"`{sources[c]}`"), kinds[c]).alias(f"_body_{i}")
             for i, c in enumerate(columns)
         ],
         *position,
         (F.col(CORRUPT).isNotNull() if CORRUPT in raw.columns else F.lit(False)).alias("_ragged"),
     )
+    typed = bodies.select(
+        *[f"_in_{i}" for i, _ in enumerate(headers)],
+        *[
+            parsing.typed_value(F.col(f"_body_{i}"), kinds[c]).alias(f"_out_{i}")
+            for i, c in enumerate(columns)
+        ],
+        *position,
+        "_ragged",
+    )
     number = {h: i for i, h in enumerate(headers)}
     types, missing, domains = [], [], []
     for i, column in enumerate(columns):
         text, value = F.col(f"_in_{number[sources[column]]}"), F.col(f"_out_{i}")
-        data_type = contract.schema[column].dataType
+        data_type = kinds[column]
         if not isinstance(data_type, T.StringType):
             types.append(
                 (

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablekit.functions import parsing
 from tablekit.plans.contract import Contract
@@ -13,7 +14,6 @@ from tablekit.plans.contract import Contract
 INSERT = "insert"
 UPDATE = "update"
 FIELD_ERRORS = "field_errors"
-PROVIDED = "provided"
 ERROR = "error"
 
 # Messages of refused writes.
@@ -34,11 +34,6 @@ def _entry(name: Column, message: Column) -> Column:
     return F.struct(name.alias("field"), message.alias("message"))
 
 
-def _errors(entries: Column) -> Column:
-    kept = F.filter(entries, lambda e: e["message"].isNotNull())
-    return F.map_from_entries(F.array_sort(kept))
-
-
 def validate_rows(
     requests: DataFrame,
     contract: Contract,
@@ -49,81 +44,103 @@ def validate_rows(
     """Typed values and errors of write requests, one request per row.
 
     ``values``, and for updates ``identity``, are ``map<string,string>`` columns
-    from column name to text. Adds ``new_<column>`` per column, ``key_<column>``
-    per key column of an update, ``provided`` (columns with a usable value),
+    from column name to text. Adds ``new_<column>`` and ``has_<column>`` (a usable
+    value was given) per column, ``key_<column>`` per key column of an update,
     ``field_errors`` and ``error``. A request is sound where ``error`` is null.
     """
     if mode not in (INSERT, UPDATE):
         raise ValueError(f"Unknown write mode: {mode}")
     if mode == UPDATE and not contract.primary_key:
         raise ValueError(NO_KEY)
-    fixed = set(contract.primary_key) if mode == UPDATE else set()
-    names = F.col("_names")
     key = contract.primary_key if mode == UPDATE else ()
+    fields = [(i, f.name, f.dataType) for i, f in enumerate(contract.schema.fields)]
+    editable = [(i, name, kind) for i, name, kind in fields if name not in key]
+    key_fields = [(i, name, contract.schema[name].dataType) for i, name in enumerate(key)]
+    given = F.col(values)
+
+    # Every step names the columns of the step before many times, so each is a
+    # projection of its own and no formula is repeated.
     texts = requests.select(
         "*",
-        F.map_keys(F.col(values)).alias("_names"),
-        *[F.col(values)[name].alias(f"_text_{i}") for i, name in enumerate(contract.columns)],
-        *[F.col(identity)[name].alias(f"_key_{i}") for i, name in enumerate(key)],
-    )
-
-    value_entries, new_columns, usable = [], [], []
-    for i, field in enumerate(contract.schema.fields):
-        name = field.name
-        present = F.array_contains(names, name)
-        parsed = parsing.parse_field(F.col(f"_text_{i}"), name, field.dataType)
-        error = F.lit(KEY_NOT_EDITABLE) if name in fixed else parsed.error
-        value_entries.append(_entry(F.lit(name), F.when(present, error)))
-        if name in fixed:
-            continue
-        new_columns.append(parsed.value.alias(f"new_{name}"))
-        usable.append(F.when(present & parsed.error.isNull(), F.lit(name)))
-    unknown = F.transform(
-        F.array_except(names, F.array(*[F.lit(c) for c in contract.columns])),
-        lambda n: _entry(n, F.lit(UNKNOWN_COLUMN)),
+        *[
+            parsing.body_of(F.col(identity)[name], kind).alias(f"_key_text_{i}")
+            for i, name, kind in key_fields
+        ],
+        *[parsing.body_of(given[name], kind).alias(f"_text_{i}") for i, name, kind in fields],
+        *[F.map_contains_key(given, name).alias(f"_present_{i}") for i, name, _ in fields],
     )
-    value_errors = F.concat(
-        F.array(*value_entries).cast(_ERROR_ENTRY),
-        F.coalesce(unknown.cast(_ERROR_ENTRY), F.array().cast(_ERROR_ENTRY)),
+    typed = texts.select(
+        "*",
+        *[
+            parsing.written_value(F.col(f"_key_text_{i}"), kind).alias(f"key_{name}")
+            for i, name, kind in key_fields
+        ],
+        *[
+            parsing.written_value(F.col(f"_text_{i}"), kind).alias(f"new_{name}")
+            for i, name, kind in editable
+        ],
     )
 
-    key_columns, key_entries = [], []
-    for i, name in enumerate(key):
-        text = F.col(f"_key_{i}")
-        parsed = parsing.parse_field(text, name, contract.schema[name].dataType)
-        error = (
-            F.when(text.isNull() | (text == ""), KEY_MISSING)
-            .when(parsed.error.isNotNull(), parsed.error)
-            .when(parsed.value.isNull(), KEY_NULL)
+    def value_error(i: int, name: str, kind: T.DataType) -> Column:
+        if name in key:
+            return F.when(F.col(f"_present_{i}"), KEY_NOT_EDITABLE)
+        return parsing.write_error(F.col(f"_text_{i}"), F.col(f"new_{name}"), name, kind)
+
+    def key_error(i: int, name: str, kind: T.DataType) -> Column:
+        text, value = F.col(f"_key_text_{i}"), F.col(f"key_{name}")
+        return (
+            F.when(F.coalesce(F.col(identity)[name], F.lit("")) == "", KEY_MISSING)
+            .when(parsing.is_blank(text, kind), KEY_NULL)
+            .otherwise(parsing.write_error(text, value, name, kind))
         )
-        key_columns.append(parsed.value.alias(f"key_{name}"))
-        key_entries.append(_entry(F.lit(name), error))
-    identity_errors = F.array(*key_entries).cast(_ERROR_ENTRY)
 
-    # Values are judged first; the identity only where they are sound.
-    checked = texts.select(
-        *requests.columns,
-        *new_columns,
-        *key_columns,
-        F.array_compact(F.array(*usable)).alias(PROVIDED),
-        _errors(value_errors).alias("_value_errors"),
-        _errors(identity_errors).alias("_identity_errors"),
+    known = sum((F.col(f"_present_{i}").cast("int") for i, _, _ in fields), F.lit(0))
+    judged = typed.select(
+        "*",
+        *[value_error(*field).alias(f"_error_{field[0]}") for field in fields],
+        *[key_error(*field).alias(f"_key_error_{field[0]}") for field in key_fields],
+        (F.size(F.map_keys(given)) > known).alias("_has_unknown"),
     )
-    bad_values = F.cardinality("_value_errors") > 0
-    nothing = F.cardinality(PROVIDED) == 0
-    bad_identity = F.cardinality("_identity_errors") > 0
-    return checked.select(
-        *[c for c in checked.columns if c not in ("_value_errors", "_identity_errors")],
-        F.when(bad_values | nothing, F.col("_value_errors"))
-        .otherwise(F.col("_identity_errors"))
+    errors = [(name, f"_error_{i}") for i, name, _ in fields]
+    key_errors = [(name, f"_key_error_{i}") for i, name, _ in key_fields]
+    usable = {name: F.col(f"_present_{i}") & F.col(f"_error_{i}").isNull() for i, name, _ in editable}
+    decided = judged.select(
+        "*",
+        *[flag.alias(f"has_{name}") for name, flag in usable.items()],
+        (F.col("_has_unknown") | _any_error(errors)).alias("_bad_values"),
+        _any_error(key_errors).alias("_bad_key"),
+        (~reduce(lambda a, b: a | b, usable.values(), F.lit(False))).alias("_nothing"),
+    )
+
+    # Values are judged first; the key of an update only where they are sound.
+    bad_values, bad_key, nothing = F.col("_bad_values"), F.col("_bad_key"), F.col("_nothing")
+    strangers = F.array_except(F.map_keys(given), F.array(*[F.lit(c) for c in contract.columns]))
+    unknown = F.transform(strangers, lambda n: _entry(n, F.lit(UNKNOWN_COLUMN))).cast(_ERROR_ENTRY)
+    no_errors = F.create_map().cast("map<string,string>")
+    return decided.select(
+        *requests.columns,
+        *[c for c in decided.columns if c.startswith(("new_", "key_", "has_"))],
+        F.when(bad_values, F.map_from_entries(F.concat(_entries(errors), unknown)))
+        .when(~nothing & bad_key, F.map_from_entries(_entries(key_errors)))
+        .otherwise(no_errors)
         .alias(FIELD_ERRORS),
         F.when(bad_values, VALIDATION_FAILED)
         .when(nothing, NO_VALUES)
-        .when(bad_identity, INVALID_IDENTITY)
+        .when(bad_key, INVALID_IDENTITY)
         .alias(ERROR),
     )
 
 
+def _any_error(errors: list[tuple[str, str]]) -> Column:
+    return F.coalesce(*[F.col(c) for _, c in errors], F.lit(None).cast("string")).isNotNull()
+
+
+def _entries(errors: list[tuple[str, str]]) -> Column:
+    """Entries of the columns that have an error."""
+    every = F.array(*[_entry(F.lit(name), F.col(c)) for name, c in errors]).cast(_ERROR_ENTRY)
+    return F.filter(every, lambda e: e["message"].isNotNull())
+
+
 def sound(validated: DataFrame) -> DataFrame:
     return validated.where(F.col(ERROR).isNull())
 
@@ -148,9 +165,8 @@ def latest_patch(validated: DataFrame, contract: Contract, order: str) -> DataFr
     editable = [c for c in contract.columns if c not in contract.primary_key]
 
     def last(name: str) -> Column:
-        written = F.array_contains(PROVIDED, name)
         boxed = F.struct(F.col(f"new_{name}").alias("value"))
-        return F.max_by(boxed, F.when(written, F.col(order))).alias(f"set_{name}")
+        return F.max_by(boxed, F.when(F.col(f"has_{name}"), F.col(order))).alias(f"set_{name}")
 
     return sound(validated).groupBy(*keys).agg(*[last(c) for c in editable])
 

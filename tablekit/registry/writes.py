@@ -170,14 +170,10 @@ def _requests(orders: DataFrame) -> DataFrame:
         "o_orderpriority": F.when(key % 5 == 0, F.col("o_orderpriority")),
         "shipped": F.when(key % 19 == 0, "yes"),
     }
-    pairs = F.array_compact(
-        F.array(*[F.when(v.isNotNull(), F.struct(F.lit(k), v)) for k, v in entries.items()])
-    )
-    nothing = key % 23 == 0
-    values = F.when(nothing, F.map_from_entries(F.array().cast("array<struct<k:string,v:string>>"))).otherwise(
-        F.map_from_entries(pairs)
-    )
-    return orders.select("o_orderkey", values.alias("values"))
+    every = F.create_map(*[part for k, v in entries.items() for part in (F.lit(k), v)])
+    given = F.map_filter(every, lambda _, v: v.isNotNull())
+    nothing = F.create_map().cast("map<string,string>")
+    return orders.select("o_orderkey", F.when(key % 23 == 0, nothing).otherwise(given).alias("values"))
 
 
 def _shown_errors(validated: DataFrame) -> list[Column]:
@@ -197,7 +193,9 @@ def _validate_insert(spark: SparkSession, folder: str) -> DataFrame:
         "new_o_custkey",
         "new_o_totalprice",
         "new_o_orderpriority",
-        F.array_join("provided", ",").alias("provided"),
+        F.concat_ws(
+            ",", *[F.when(F.col(f"has_{c}"), c) for c in catalog.contract("orders").columns]
+        ).alias("provided"),
         *_shown_errors(checked),
     )
 
@@ -361,11 +359,12 @@ def _strict_parsing(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(key.cast("string"), F.lit("e2")), F.col("o_orderstatus"), F.lit("1e999"),
     )
     texts = open_catalog(spark, folder).table("orders").select(key, F.explode(forms).alias("text"))
-    return texts.select(
+    bodies = texts.withColumn("body", parsing.trimmed(F.col("text")))
+    return bodies.select(
         "o_orderkey",
         "text",
-        parsing.parse_number(F.col("text")).alias("number"),
-        parsing.parse_boolean(F.col("text")).alias("flag"),
+        parsing.parse_number(F.col("body")).alias("number"),
+        parsing.parse_boolean(F.col("body")).alias("flag"),
     )
 
 

@@ -124,10 +124,7 @@ def csv_texts(df: DataFrame) -> DataFrame:
 
 def csv_lines(df: DataFrame, *keep: str) -> DataFrame:
     """One CSV record per row in ``line``; ``keep`` names columns to carry along."""
-    cells = [
-        rendering.csv_cell(rendering.text_of(F.col(f"`{f.name}`"), f.dataType))
-        for f in df.schema.fields
-    ]
+    cells = [rendering.csv_cell(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields]
     return df.select(*keep, F.concat_ws(COMMA, *cells).alias("line"))
 
 
