@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -473,13 +475,15 @@ def _generated(spark: SparkSession, folder: str) -> Catalog:
 def _relational_check(spark: SparkSession, folder: str) -> DataFrame:
     """Orphans of every reference in the generated tables, with the child's rows."""
     made = _generated(spark, folder)
-    report = None
-    for table, key in generate.RELATIONAL_REFERENCES:
-        one = quality.orphan_report(made.table(table), table, key, made.table(key.ref_table))
-        size = made.table(table).agg(F.count(F.lit(1)).alias("row_count")).withColumn("table_name", F.lit(table))
-        joined = one.join(size, "table_name").select(*one.columns, "row_count")
-        report = joined if report is None else report.unionByName(joined)
-    return report
+    reports = [
+        quality.orphan_report(made.table(table), table, key, made.table(key.ref_table))
+        for table, key in generate.RELATIONAL_REFERENCES
+    ]
+    sizes = [
+        made.table(name).agg(F.count(F.lit(1)).alias("row_count")).withColumn("table_name", F.lit(name))
+        for name in made.names
+    ]
+    return reduce(DataFrame.unionByName, reports).join(reduce(DataFrame.unionByName, sizes), "table_name")
 
 
 _SIZES = {
