@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import csv
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablekit.functions import rendering
 from tablekit.plans.naming import unique_file_names
 from tablekit.sources.catalog import Catalog
+from tablekit.sources.csv_records import csv_records
 
 # The delimiters that are told apart.
 COMMA = ","
@@ -19,6 +21,7 @@ SEMICOLON = ";"
 
 CORRUPT = "_corrupt_line"
 POSITION = ("_file", "_block", "_line")
+WHOLE_FILE_BYTES = 128 * 1024 * 1024
 
 
 @dataclass(frozen=True)
@@ -60,48 +63,92 @@ def text_schema(layout: CsvLayout) -> T.StructType:
     return T.StructType([*fields, T.StructField(CORRUPT, T.StringType())])
 
 
-def csv_options(layout: CsvLayout, multi_line: bool = True) -> dict[str, str]:
+def cell_options(layout: CsvLayout) -> dict[str, str]:
     options = {
-        "header": "true",
-        "enforceSchema": str(not layout.literal).lower(),
         "sep": layout.delimiter,
         "quote": '"',
         "escape": '"',
         "emptyValue": "",
         "mode": "PERMISSIVE",
         "columnNameOfCorruptRecord": CORRUPT,
-        "multiLine": str(multi_line).lower(),
     }
     if not layout.carriage_returns:
         options["lineSep"] = "\n"  # keeps carriage returns inside quoted cells
     return options
 
 
+def csv_options(layout: CsvLayout, multi_line: bool = True) -> dict[str, str]:
+    return {
+        **cell_options(layout),
+        "header": "true",
+        "enforceSchema": str(not layout.literal).lower(),
+        "multiLine": str(multi_line).lower(),
+    }
+
+
 def read_csv_text(
-    spark: SparkSession, path: str, layout: CsvLayout | None = None, multi_line: bool = True
+    spark: SparkSession,
+    path: str,
+    layout: CsvLayout | None = None,
+    multi_line: bool = True,
+    whole_file_bytes: int = WHOLE_FILE_BYTES,
 ) -> DataFrame:
     """Every cell as text, the raw line of ragged rows, and the place in the input.
 
-    ``multi_line=False`` lets one large file be read by many tasks, for files
-    whose quoted cells hold no line breaks.
+    A file whose quoted cells may hold line breaks is read by one task up to
+    ``whole_file_bytes``, and in blocks beyond. ``multi_line=False`` is for files
+    without such breaks, whose blocks need no preparation.
     """
     layout = layout or sniff_csv(spark, path)
     if not layout.headers:
         raise ValueError(f"No CSV header in {path}")
-    raw = spark.read.options(**csv_options(layout, multi_line)).schema(text_schema(layout)).csv(path)
-    return with_line(with_place(raw, layout.headers))
-
-
-def with_place(raw: DataFrame, headers: list[str]) -> DataFrame:
-    """Empty cells as empty text, and the file part every row comes from."""
+    if multi_line and _largest_file(spark, path) > whole_file_bytes:
+        return _read_in_blocks(spark, path, layout)
+    reader = spark.read.options(**csv_options(layout, multi_line)).schema(text_schema(layout))
+    return with_line(with_place(reader.csv(path), layout.headers))
+
+
+def _largest_file(spark: SparkSession, path: str) -> int:
+    """Bytes of the largest file, from the listing alone."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.agg(F.max("length")).first()[0] or 0
+
+
+def _read_in_blocks(spark: SparkSession, path: str, layout: CsvLayout) -> DataFrame:
+    records = csv_records(spark, path)
+    text = F.col("text")
+    if layout.carriage_returns:
+        text = F.regexp_replace(text, "\r$", "")
+    schema = text_schema(layout)
+    parsed = records.select(text.alias("text"), "first", *POSITION).where(F.length("text") > 0)
+    cells = parsed.select(
+        F.from_csv("text", schema.simpleString(), cell_options(layout)).alias("cells"), "first", *POSITION
+    )
+    if layout.literal:
+        same = [F.col("cells")[name] == name for name in layout.headers]
+        is_header = reduce(lambda a, b: a & b, same)
+        fault = F.raise_error(F.lit(f"A CSV file in {path} has another header."))
+        kept = F.when(~F.col("first"), True).when(is_header, False).otherwise(fault.cast("boolean"))
+    else:
+        kept = ~F.col("first")
+    flat = cells.where(kept).select("cells.*", *POSITION)
+    return flat.select(*_cells(layout.headers), CORRUPT, *POSITION)
+
+
+def _cells(headers: list[str]) -> list[Column]:
+    """Empty cells as empty text; ragged rows keep what could be read of them."""
     whole = F.col(CORRUPT).isNull()
-    cells = [
+    return [
         F.when(whole, F.coalesce(F.col(f"`{h}`"), F.lit(""))).otherwise(F.col(f"`{h}`")).alias(h)
         for h in headers
     ]
+
+
+def with_place(raw: DataFrame, headers: list[str]) -> DataFrame:
+    """Cells, and the file part every row comes from."""
     file, block, _ = POSITION
     return raw.select(
-        *cells,
+        *_cells(headers),
         CORRUPT,
         F.col("_metadata.file_path").alias(file),
         F.col("_metadata.file_block_start").alias(block),

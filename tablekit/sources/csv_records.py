@@ -1,0 +1,174 @@
+"""CSV records of large files, cut into blocks that many tasks read.
+
+A quoted cell may hold line breaks, so a block can begin inside a cell. Quotes
+come in pairs, so the number of quotes before a line tells whether it does: a
+record ends at the first line after which that number is even.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from tablekit.operators import lookup
+from tablekit.sources import storage
+
+WHOLE, HEAD, MIDDLE, TAIL = range(4)
+PIECES = "text string, _file string, _block bigint, _line bigint, kind int, first boolean"
+BLOCK = ["_file", "_block"]
+
+
+def csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """One row per record: ``text``, its place, and whether it is the ``first`` of its file.
+
+    One pass counts quotes per block. Blocks that begin or end inside a cell, if
+    any, give the pieces of the records that cross their edges; only those pieces
+    are shuffled. The pass over all lines then yields every other record.
+    """
+    lines = _lines(spark, path)
+    edges = storage.checkpointed(_open_blocks(lines))
+    if edges.isEmpty():
+        marked = lines.withColumn("open", F.lit(False))
+        return marked.mapInArrow(_assembled, PIECES).drop("kind")
+    small = lookup.is_small(edges)
+    crossing = _with_edges(lines, edges, "inner", small).mapInArrow(_assembled, PIECES)
+    pieces = storage.checkpointed(crossing.where(F.col("kind") != WHOLE))
+    inside = _with_edges(lines, edges, "left", small).mapInArrow(_assembled, PIECES)
+    return inside.where(F.col("kind") == WHOLE).drop("kind").unionByName(_merged(pieces))
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path, lineSep="\n").select(
+        "value",
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_line"),
+    )
+
+
+def _open_blocks(lines: DataFrame) -> DataFrame:
+    """Blocks that begin (``open``) or end inside a cell, from one row per block."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    blocks = lines.groupBy(*BLOCK).agg(F.sum(quotes).alias("quotes"))
+    before = W.partitionBy("_file").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    start = F.coalesce(F.sum("quotes").over(before), F.lit(0))
+    return blocks.select(
+        *BLOCK, (start % 2 == 1).alias("open"), ((start + F.col("quotes")) % 2 == 1).alias("open_after")
+    ).where(F.col("open") | F.col("open_after"))
+
+
+def _with_edges(lines: DataFrame, edges: DataFrame, how: str, small: bool) -> DataFrame:
+    """Lines, in their order within each block, with the state their block begins in."""
+    states = edges.select(*[F.col(c).alias(f"_edge{c}") for c in BLOCK], "open")
+    same = (lines["_file"] == states["_edge_file"]) & (lines["_block"] == states["_edge_block"])
+    joined = lines.join(F.broadcast(states) if small else states, same, how).select(
+        *lines.columns, F.coalesce("open", F.lit(False)).alias("open")
+    )
+    return joined if small else joined.sortWithinPartitions(*BLOCK, "_line")
+
+
+def _merged(pieces: DataFrame) -> DataFrame:
+    """Records that cross block edges. A tail opens a record, the pieces up to the
+    next head belong to it. The window sees places only, the text is joined after."""
+    order = W.partitionBy("_file").orderBy("_block", "kind")
+    opened = F.sum((F.col("kind") == TAIL).cast("int")).over(order)
+    owners = pieces.select(*BLOCK, "kind", opened.alias("owner"))
+    owned = pieces.join(owners, [*BLOCK, "kind"])
+    piece = F.struct("_block", "kind", "text", "_line", "first")
+    grouped = owned.groupBy("_file", "owner").agg(F.sort_array(F.collect_list(piece)).alias("parts"))
+    parts = F.col("parts")
+    return grouped.select(
+        F.array_join(parts["text"], "\n").alias("text"),
+        "_file",
+        parts[0]["_block"].alias("_block"),
+        parts[0]["_line"].alias("_line"),
+        parts[0]["first"].alias("first"),
+    )
+
+
+@dataclass
+class _Block:
+    """Lines of a block that no record has taken yet."""
+
+    file: str
+    number: int
+    inside: bool
+    pending: list[str] = field(default_factory=list)
+    pending_line: int = 0
+    at_start: bool = True
+
+
+def _assembled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records and edge pieces of the blocks in a task, batch by batch."""
+    block: _Block | None = None
+    for batch in batches:
+        rows: list[tuple] = []
+        for start, stop in _runs(batch):
+            part = batch.slice(start, stop - start)
+            file, number = part.column("_file")[0].as_py(), part.column("_block")[0].as_py()
+            if block is None or (block.file, block.number) != (file, number):
+                rows += _rest(block)
+                block = _Block(file, number, part.column("open")[0].as_py())
+            rows += _cut(block, part)
+        yield _batch(rows)
+    yield _batch(_rest(block))
+
+
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[int, int]]:
+    """Index ranges of equal file and block."""
+    if batch.num_rows == 0:
+        return
+    blocks = batch.column("_block").to_numpy(zero_copy_only=False)
+    files = batch.column("_file").dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    change = np.flatnonzero((np.diff(blocks) != 0) | (np.diff(files) != 0)) + 1
+    edges = [0, *change.tolist(), batch.num_rows]
+    yield from zip(edges, edges[1:])
+
+
+def _cut(block: _Block, part: pa.RecordBatch) -> list[tuple]:
+    """Records that end in this part; the lines after the last end stay pending."""
+    lines = part.column("value").to_pylist()
+    places = part.column("_line").to_pylist()
+    counts = pc.count_substring(part.column("value"), '"').to_numpy(zero_copy_only=False)
+    # Pending lines hold an odd number of quotes, and so does the open start.
+    odd_before = bool(block.pending) or (block.at_start and block.inside)
+    ends = np.flatnonzero((counts.cumsum() + odd_before) % 2 == 0).tolist()
+    rows, begin = [], 0
+    for end in ends:
+        taken = block.pending + lines[begin : end + 1]
+        place = block.pending_line if block.pending else places[begin]
+        kind = HEAD if block.at_start and block.inside else WHOLE
+        first = block.at_start and block.number == 0
+        rows.append(("\n".join(taken), block.file, block.number, place, kind, first))
+        block.pending, block.at_start, begin = [], False, end + 1
+    if begin < len(lines):
+        if not block.pending:
+            block.pending_line = places[begin]
+        block.pending += lines[begin:]
+    return rows
+
+
+def _rest(block: _Block | None) -> list[tuple]:
+    """The lines left at the end of a block: the start of a record, or its middle."""
+    if block is None or not block.pending:
+        return []
+    middle = block.at_start and block.inside
+    first = block.at_start and block.number == 0
+    text = "\n".join(block.pending)
+    return [(text, block.file, block.number, block.pending_line, MIDDLE if middle else TAIL, first)]
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [()] * 6
+    types = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.bool_())
+    names = ("text", "_file", "_block", "_line", "kind", "first")
+    return pa.RecordBatch.from_arrays(
+        [pa.array(values, kind) for values, kind in zip(columns, types)], names=list(names)
+    )
