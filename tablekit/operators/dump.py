@@ -57,7 +57,9 @@ def _typed(text: Column, data_type: T.DataType) -> Column:
     return parsing.typed_value(text, data_type)
 
 
-def numbered_rows(df: DataFrame, order: list[str], unique: bool, *payload: Column) -> DataFrame:
+def numbered_rows(
+    df: DataFrame, order: list[str], unique: bool, *payload: Column, stage: storage.Stage | None = None
+) -> DataFrame:
     """``payload`` of every row and its 0-based ``_index`` in the given order.
 
     Rows are range-partitioned and sorted, then their payload is staged with
@@ -73,7 +75,7 @@ def numbered_rows(df: DataFrame, order: list[str], unique: bool, *payload: Colum
         keys.append(F.col("_scan"))
     ordered = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    placed = storage.staged(
+    placed = (stage or storage.Stage()).table(
         ordered.select(*payload, F.spark_partition_id().alias("_part"), place.alias("_place")), "ordered"
     )
     starts = partition_starts(placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_size")))
@@ -96,6 +98,7 @@ def insert_statements(
     dialect: str,
     key: tuple[str, ...] = (),
     batch_rows: int = limits.INSERT_BATCH,
+    stage: storage.Stage | None = None,
 ) -> DataFrame:
     """``batch`` and ``statement``: multi-row INSERTs in key order, the last one partial.
 
@@ -109,7 +112,7 @@ def insert_statements(
         rendering.sql_literal(F.col(f"`{f.name}`"), f.dataType, dialect) for f in df.schema.fields
     ]
     values = F.concat(F.lit("("), F.concat_ws(", ", *literals), F.lit(")"))
-    numbered = numbered_rows(df, order, bool(key), values.alias("_values"))
+    numbered = numbered_rows(df, order, bool(key), values.alias("_values"), stage=stage)
     names = ", ".join(rendering.quote_identifier(c, dialect) for c in df.columns)
     head = f"INSERT INTO {rendering.quote_identifier(table, dialect)} ({names}) VALUES "
     batches = numbered.groupBy(
@@ -124,12 +127,17 @@ def insert_statements(
 
 
 def render(
-    df: DataFrame, table: str, dialect: str, key: tuple[str, ...] = ()
+    df: DataFrame,
+    table: str,
+    dialect: str,
+    key: tuple[str, ...] = (),
+    stage: storage.Stage | None = None,
 ) -> DataFrame:
     """Dump lines in the fastest load format of a dialect, as a ``line`` column."""
     if dialect == rendering.POSTGRES:
         return copy_lines(df)
-    return insert_statements(df, table, dialect, key).select(F.col("statement").alias("line"))
+    statements = insert_statements(df, table, dialect, key, stage=stage)
+    return statements.select(F.col("statement").alias("line"))
 
 
 def manifest(catalog: Catalog, rules: list[Rule], seed: int | str, tables: list[str] | None = None) -> DataFrame:
@@ -178,7 +186,8 @@ def anonymized_dump(
         key = chosen.contract(name).primary_key
         if any(rule.table == name and rule.column in key for rule in rules):
             key = ()  # replaced key values may repeat
-        render(replaced, name, dialect, key).select("line").write.text(f"{target}/2_data")
+        with storage.Stage() as stage:
+            render(replaced, name, dialect, key, stage).write.text(f"{target}/2_data")
         if dialect == rendering.POSTGRES:
             _write_line(listing.sparkSession, copy_header(name, replaced.columns), f"{target}/1_header")
             _write_line(listing.sparkSession, rendering.COPY_END, f"{target}/3_footer")

@@ -42,6 +42,7 @@ class Checked:
     rows: DataFrame
     headers: list[str]
     columns: list[str]
+    stage: storage.Stage
 
     @property
     def good(self) -> DataFrame:
@@ -140,22 +141,22 @@ def check_rows(
     position: list[str],
     parents: Callable[[str], DataFrame] | None = None,
     target: DataFrame | None = None,
-    stage: bool = True,
+    stage: storage.Stage | None = None,
 ) -> Checked:
     """Check text rows against a contract, without failing on any of them.
 
     ``position`` names columns that give every row its place in the input. A row
-    refused for another reason does not occupy its key. With ``stage`` the typed
-    rows are written once and the later passes read only the columns they need.
+    refused for another reason does not occupy its key. The typed rows are staged,
+    so the later passes read only the columns they need.
     """
+    stage = stage or storage.Stage()
     headers = [c for c in raw.columns if c not in (*position, CORRUPT)]
     rows, columns = _local_checks(raw, contract, mapping, headers, position)
-    if stage:
-        rows = storage.staged(rows, "import")
+    rows = stage.table(rows, "import")
     out = {c: f"_out_{i}" for i, c in enumerate(columns)}
     rows = _check_references(rows, contract, out, parents)
     rows = _check_keys(rows, contract, out, position, target)
-    return Checked(rows, headers, columns)
+    return Checked(rows, headers, columns, stage)
 
 
 def _check_references(
@@ -238,10 +239,12 @@ def reject_lines(rejects: DataFrame) -> DataFrame:
 def write_import(checked: Checked, good_path: str, reject_path: str) -> dict[str, int]:
     """Write good rows as Parquet and rejects as CSV; returns the counts of both.
 
-    The counts are observed while the rows are written, not by another pass.
+    The counts are observed while the rows are written, not by another pass. The
+    staged rows are removed after, so an import is written once.
     """
     accepted, refused = Observation(), Observation()
     total = F.count(F.lit(1)).alias("rows")
     checked.good.observe(accepted, total).write.parquet(good_path)
     write_csv(checked.rejects.observe(refused, total), reject_path)
+    checked.stage.release()
     return {"successful_rows": accepted.get["rows"], "failed_rows": refused.get["rows"]}

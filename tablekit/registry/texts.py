@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from tablekit.operators import dump
 from tablekit.operators.anonymize import Rule, anonymize
 from tablekit.registry.base import (
     PRIMARY_KEYS,
+    TABLES,
     Query,
     open_catalog,
     sql_hash,
@@ -20,7 +23,14 @@ from tablekit.registry.base import (
 )
 from tablekit.sources import storage
 from tablekit.sources.copy_text import read_copy_text
-from tablekit.sources.csv_files import csv_lines, read_csv_text, sniff_csv, write_csv
+from tablekit.sources.csv_files import (
+    CORRUPT,
+    csv_lines,
+    read_csv_text,
+    sniff_csv,
+    write_csv,
+    write_database,
+)
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -55,6 +65,20 @@ def _csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return read_csv_text(spark, out).select("doc_id", "text", "lang", "source", "n_chars")
 
 
+def _csv_database(spark: SparkSession, folder: str) -> DataFrame:
+    """Every table written as CSV; the records found in each folder."""
+    out = storage.new_folder(spark, "database")
+    folders = write_database(open_catalog(spark, folder), out)
+    read = {name: read_csv_text(spark, f"{out}/{part}") for name, part in folders.items()}
+    counts = [
+        df.agg(F.count(df.columns[0]).alias("row_count"), F.count(CORRUPT).alias("ragged")).select(
+            F.lit(name).alias("table_name"), F.lit(folders[name]).alias("folder"), "row_count", "ragged"
+        )
+        for name, df in read.items()
+    ]
+    return reduce(DataFrame.unionByName, counts)
+
+
 def _csv_semicolon(spark: SparkSession, folder: str) -> DataFrame:
     """Customers written with semicolons; the delimiter is found on reading."""
     out = storage.new_folder(spark, "csv")
@@ -265,6 +289,14 @@ def _fakes(spark: SparkSession, folder: str) -> DataFrame:
     return anonymize(named, "customer", rules, SEED)
 
 
+def sentence_sql(h: str, span: int) -> str:
+    """SQL of a sentence of three to ``span`` + 2 words."""
+    word = sql_pick(fakes.WORDS, f"md5({h} || i)", 1)
+    words = f"list_transform(range(1, {sql_hex(h, 1)} % {span} + 4), lambda i: {word})"
+    text = f"array_to_string({words}, ' ')"
+    return f"upper(left({text}, 1)) || substr({text}, 2) || '.'"
+
+
 def fake_sql(h: str) -> dict[str, str]:
     """SQL of every fake, from the text of the hash."""
     first, last = sql_pick(fakes.FIRST_NAMES, h, 1), sql_pick(fakes.LAST_NAMES, h, 9)
@@ -272,16 +304,6 @@ def fake_sql(h: str) -> dict[str, str]:
     def digits(start: int, width: int) -> str:
         return f"lpad(CAST({sql_hex(h, start)} % {10**width} AS VARCHAR), {width}, '0')"
 
-    words = (
-        f"array_to_string(list_transform(range(1, {sql_hex(h, 1)} % {{span}} + 4), lambda i: "
-        + sql_pick(fakes.WORDS, f"md5({h} || i)", 1)
-        + "), ' ')"
-    )
-
-    def sentence(span: int) -> str:
-        text = words.format(span=span)
-        return f"upper(left({text}, 1)) || substr({text}, 2) || '.'"
-
     return {
         "name": f"{first} || ' ' || {last}",
         "first": first,
@@ -297,7 +319,7 @@ def fake_sql(h: str) -> dict[str, str]:
         f"substr('89ab', CAST({sql_hex(h, 17, 1)} % 4 + 1 AS INTEGER), 1) || substr({h}, 18, 3) || '-' || "
         f"substr({h}, 21, 12)",
         "number": f"100 + {sql_hex(h, 1, 15)} % 101",
-        "text": f"left({sentence(5)}, 40)",
+        "text": f"left({sentence_sql(h, 5)}, 40)",
     }
 
 
@@ -375,10 +397,7 @@ def _full_dump(spark: SparkSession, folder: str) -> DataFrame:
         for name in ("conversations", "customer")
         for part in parts
     ]
-    result = read[0]
-    for frame in read[1:]:
-        result = result.unionByName(frame)
-    return result
+    return reduce(DataFrame.unionByName, read)
 
 
 _CUSTOMER_COPY = _sql_copy([
@@ -407,6 +426,9 @@ QUERIES = [
     Query("csv_round_trip", _csv_round_trip,
           """SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, lang, source, CAST(n_chars AS VARCHAR) AS n_chars
   FROM documents"""),
+    Query("csv_database_export", _csv_database, "\nUNION ALL\n".join(
+        f"""SELECT '{name}' AS table_name, '{name}.csv' AS folder, count(*) AS row_count,
+  CAST(0 AS BIGINT) AS ragged FROM {name}""" for name in TABLES)),
     Query("csv_semicolon_source", _csv_semicolon,
           f"""SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey,
   {sql_number("c_acctbal")} AS c_acctbal, c_mktsegment, ';' AS delimiter FROM customer"""),

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablekit.functions import fakes, parsing, rendering
 from tablekit.operators import generate, ingest, mutate, quality
@@ -20,6 +21,7 @@ from tablekit.registry.base import (
     sql_number,
     sql_pick,
 )
+from tablekit.registry.texts import fake_sql, sentence_sql
 from tablekit.sources import storage
 from tablekit.sources.catalog import Catalog
 from tablekit.sources.csv_files import csv_lines, csv_texts, write_csv
@@ -142,8 +144,8 @@ REJECT_LINES_SQL = f"""SELECT concat_ws(',', {", ".join(
 )}) AS line FROM ({REJECTS_SQL})"""
 
 
-def _import_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """Good rows of the faulty files, taken a few files at a time."""
+def _streamed(spark: SparkSession, folder: str) -> import_stream.ImportFolders:
+    """The faulty files, taken two files at a time."""
     catalog = open_catalog(spark, folder)
     pattern = write_faulty_files(spark, folder)
     folders = import_stream.ImportFolders.under(storage.new_folder(spark, "stream"))
@@ -156,7 +158,17 @@ def _import_stream(spark: SparkSession, folder: str) -> DataFrame:
         target=_target_orders(catalog),
         files_per_batch=2,
     ).awaitTermination()
-    return import_stream.imported(spark, folders.good).drop(import_stream.BATCH)
+    return folders
+
+
+def _import_stream(spark: SparkSession, folder: str) -> DataFrame:
+    return import_stream.imported(spark, _streamed(spark, folder).good).drop(import_stream.BATCH)
+
+
+def _import_stream_progress(spark: SparkSession, folder: str) -> DataFrame:
+    """Running totals after the last batch."""
+    steps = import_stream.progress(spark, _streamed(spark, folder))
+    return steps.orderBy(F.desc("batch")).limit(1).select("successful_rows", "failed_rows")
 
 
 # --------------------------------------------------------------------- writes
@@ -436,6 +448,55 @@ FROM orders o JOIN drawn d ON d.row_id = o.o_orderkey
 SEED_WHOLE_SQL = f"WITH {_pooled(_seed_hash('o_custkey'), None)} SELECT row_id, o_custkey FROM drawn"
 
 
+SEED_FIELDS = {
+    "user_id": (T.IntegerType(), "user_id", "key"),
+    "first_name": (T.StringType(), "first_name", "first"),
+    "last_name": (T.StringType(), "last_name", "last"),
+    "email": (T.StringType(), "email", "email"),
+    "shop_name": (T.StringType(), "shop_name", "company"),
+    "city": (T.StringType(), "city", "city"),
+    "country": (T.StringType(), "country", "country"),
+    "zip": (T.StringType(), "zip", "zip"),
+    "street": (T.StringType(), "street", "address"),
+    "phone": (T.StringType(), "phone", "phone"),
+    "website": (T.StringType(), "website", "url"),
+    "company": (T.StringType(), "company", "company"),
+    "bio": (T.StringType(), "bio", "two"),
+    "code_id": (T.StringType(), "code_id", "word"),
+    "visits": (T.LongType(), "visits", "count"),
+    "active": (T.BooleanType(), "active", "flag"),
+    "seen": (T.TimestampNTZType(), "seen", "recent"),
+    "ratio": (T.DoubleType(), "ratio", "fraction"),
+}
+
+
+def _seed_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per customer with a column for every rule on names and types."""
+    schema = T.StructType([T.StructField(name, kind) for name, (kind, _, _) in SEED_FIELDS.items()])
+    ids = _ids_of(open_catalog(spark, folder).table("customer"), "c_custkey")
+    rows = generate.seed_rows(ids, Contract("people", schema), SEED)
+    return rows.withColumnRenamed(generate.ROW_ID, "row_id")
+
+
+def _seed_rules_sql() -> str:
+    columns = []
+    for name, (_, column, rule) in SEED_FIELDS.items():
+        h = _seed_hash(column, "people", "c_custkey")
+        more = {
+            "key": f"CAST(1 + {sql_hex(h, 1, 15)} % 100 AS INTEGER)",
+            "zip": f"lpad(CAST({sql_hex(h, 1)} % 100000 AS VARCHAR), 5, '0')",
+            "url": f"'https://' || {sql_pick(fakes.WORDS, h, 1)} || '-' || substr({h}, 25, 8) || '.example.com/'",
+            "word": sql_pick(fakes.WORDS, h, 1),
+            "count": f"{sql_hex(h, 1, 15)} % 1001",
+            "flag": f"{sql_hex(h, 1)} % 2 = 1",
+            "recent": f"TIMESTAMP '2026-01-01 00:00:00' + {_seconds(h, fakes.RECENT_SECONDS)}",
+            "fraction": f"CAST({sql_hex(h, 1, 15)} % 1001 AS DOUBLE)",
+            "two": " || ' ' || ".join(sentence_sql(f"md5({h} || '{part}')", 8) for part in "ab"),
+        }
+        columns.append(f"{more.get(rule) or fake_sql(h)[rule]} AS {name}")
+    return "SELECT c_custkey AS row_id, " + ",\n  ".join(columns) + " FROM customer"
+
+
 def _flat_orders(spark: SparkSession, folder: str) -> DataFrame:
     """A flat order for every order."""
     return generate.flat_orders(_ids_of(open_catalog(spark, folder).table("orders"), "o_orderkey"), SEED)
@@ -527,6 +588,7 @@ QUERIES = [
     Query("reject_csv_lines",
           lambda spark, folder: ingest.reject_lines(_imported(spark, folder).rejects), REJECT_LINES_SQL),
     Query("import_stream", _import_stream, GOOD_SQL),
+    Query("import_stream_progress", _import_stream_progress, METRICS_SQL),
     Query("validate_insert", _validate_insert, VALIDATE_INSERT_SQL),
     Query("validate_update", _validate_update, VALIDATE_UPDATE_SQL),
     Query("apply_updates", _apply_updates, APPLY_UPDATES_SQL),
@@ -535,6 +597,7 @@ QUERIES = [
     Query("strict_parsing", _strict_parsing, STRICT_SQL),
     Query("seed_rows", _seed_rows, SEED_SQL),
     Query("seed_rows_whole_pool", _seed_rows_whole_pool, SEED_WHOLE_SQL),
+    Query("seed_name_rules", _seed_rules, _seed_rules_sql()),
     Query("flat_orders", _flat_orders, FLAT_SQL),
     Query("relational_dataset_fk_check", _relational_check, RELATIONAL_CHECK_SQL),
     Query("relational_orders", _relational_orders, RELATIONAL_ORDERS_SQL),

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-# Times are written and read in UTC; adaptive plans pick joins by measured sizes.
+# Times are written and read in UTC; adaptive plans pick joins by measured sizes;
+# checkpoints are removed once nothing refers to them.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 # Wide text projections grow generated methods past the 8000 bytes of bytecode

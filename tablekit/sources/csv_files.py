@@ -21,7 +21,7 @@ SEMICOLON = ";"
 
 CORRUPT = "_corrupt_line"
 POSITION = ("_file", "_block", "_line")
-WHOLE_FILE_BYTES = 128 * 1024 * 1024
+WHOLE_FILE_BYTES = 512 * 1024 * 1024
 
 
 @dataclass(frozen=True)

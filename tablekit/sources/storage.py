@@ -30,13 +30,35 @@ def new_folder(spark: SparkSession, purpose: str) -> str:
     return f"{shared_folder(spark)}/tablekit-{purpose}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, purpose: str) -> DataFrame:
-    """The rows written once as a table and read back, so that later jobs neither
-    repeat the work above nor see other row positions after a lost executor."""
-    spark = df.sparkSession
-    folder = new_folder(spark, purpose)
-    df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+class Stage:
+    """Tables written once and read back, so that later jobs neither repeat the
+    work above them nor see other row positions after a lost executor.
+
+    As a context, the stage removes its tables when the block ends; results that
+    read them have to be written by then. Otherwise they stay.
+    """
+
+    def __init__(self) -> None:
+        self._folders: list[tuple[SparkSession, str]] = []
+
+    def table(self, df: DataFrame, purpose: str) -> DataFrame:
+        spark = df.sparkSession
+        folder = new_folder(spark, purpose)
+        self._folders.append((spark, folder))
+        df.write.parquet(folder)
+        return spark.read.schema(df.schema).parquet(folder)
+
+    def release(self) -> None:
+        while self._folders:
+            spark, folder = self._folders.pop()
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def __enter__(self) -> Stage:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.release()
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

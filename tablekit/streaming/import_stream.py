@@ -23,6 +23,7 @@ from tablekit.sources.csv_files import (
     with_line,
     with_place,
 )
+from tablekit.sources.storage import Stage
 
 BATCH = "_batch"
 
@@ -69,10 +70,14 @@ def import_stream(
         session = batch.sparkSession
         present = _keys_before(session, folders.good, number, contract, target)
         raw = with_line(batch).select(*[F.col(f"`{h}`") for h in layout.headers], CORRUPT, *POSITION)
-        checked = check_rows(raw, contract, chosen, list(POSITION), parents, present)
-        checked.good.write.mode("overwrite").parquet(f"{folders.good}/{BATCH}={number}")
-        checked.rejects.write.mode("overwrite").parquet(f"{folders.rejects}/{BATCH}={number}")
-        checked.metrics.write.mode("overwrite").parquet(f"{folders.progress}/{BATCH}={number}")
+        with Stage() as stage:
+            checked = check_rows(raw, contract, chosen, list(POSITION), parents, present, stage)
+            for rows, folder in (
+                (checked.good, folders.good),
+                (checked.rejects, folders.rejects),
+                (checked.metrics, folders.progress),
+            ):
+                rows.write.mode("overwrite").parquet(f"{folder}/{BATCH}={number}")
 
     return (
         lines.writeStream.foreachBatch(take)

@@ -250,8 +250,7 @@ def records():
 
 
 @pytest.mark.parametrize("broadcast", [True, False])
-@pytest.mark.parametrize("stage", [True, False])
-def test_reasons_match_row_by_row_import(spark, records, monkeypatch, broadcast, stage):
+def test_reasons_match_row_by_row_import(spark, records, monkeypatch, broadcast):
     if not broadcast:
         monkeypatch.setattr(lookup, "MAX_BROADCAST_ROWS", 0)
         monkeypatch.setattr(lookup, "HOT_KEYS", 2)
@@ -259,7 +258,7 @@ def test_reasons_match_row_by_row_import(spark, records, monkeypatch, broadcast,
     people = spark.createDataFrame([(1,), (2,), (3,)], "id int")
     target = spark.createDataFrame([(3,), (19,)], "id long")
     mapping = {c: c for c in ("id", "owner", "state", "price")}
-    checked = ingest.check_rows(raw, ITEM_CONTRACT, mapping, ["at"], {"people": people}.__getitem__, target, stage)
+    checked = ingest.check_rows(raw, ITEM_CONTRACT, mapping, ["at"], {"people": people}.__getitem__, target)
     got = {r["at"]: r["_error_reason"] for r in checked.rows.select("at", "_error_reason").collect()}
     assert [got[i] for i in range(len(records))] == expected_reasons(records, {1, 2, 3}, {3, 19})
     metrics = checked.metrics.first()
@@ -274,6 +273,8 @@ def test_import_counts_while_writing(spark, tmp_path):
     checked = ingest.import_csv(spark, str(tmp_path / "in.csv"), ITEM_CONTRACT, parents=lambda _: people)
     counts = ingest.write_import(checked, str(tmp_path / "good"), str(tmp_path / "bad"))
     assert counts == {"successful_rows": 1, "failed_rows": 3}
+    with pytest.raises(Exception, match="(?i)not.*exist"):
+        checked.good.collect()  # the staged rows are gone
     assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "good")).collect()] == [(1, 1, "new")]
     reasons = spark.read.csv(str(tmp_path / "bad"), header=True).select("ID", "_error_reason").collect()
     assert {tuple(r) for r in reasons} == {
