@@ -67,11 +67,10 @@ class Checked:
 
 
 def map_columns(raw: DataFrame, mapping: dict[str, str]) -> DataFrame:
-    """Mapped cells under their column names; an empty mapping yields no rows."""
+    """Mapped cells under their column names; rows in which nothing is mapped are skipped."""
     chosen = effective_mapping(mapping)
-    if not chosen:
-        raise ValueError("No column is mapped.")
-    return raw.select(*[F.col(f"`{header}`").alias(column) for column, header in chosen.items()])
+    rows = raw if chosen else raw.where(F.lit(False))
+    return rows.select(*[F.col(f"`{header}`").alias(column) for column, header in chosen.items()])
 
 
 def _first_error(conditions: list[tuple[Column, str]]) -> Column:
@@ -88,7 +87,7 @@ def _local_checks(
         raise ValueError(f"Mapping names unknown columns: {', '.join(unknown)}")
     columns = [c for c in contract.columns if c in sources]
     if not columns:
-        raise ValueError("No column is mapped.")
+        raw = raw.where(F.lit(False))  # rows in which nothing is mapped are skipped
     kinds = {c: contract.schema[c].dataType for c in columns}
     bodies = raw.select(
         *[F.col(f"`{h}`").alias(f"_in_{i}") for i, h in enumerate(headers)],

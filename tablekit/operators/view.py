@@ -93,10 +93,13 @@ def page_rows_after(
 ) -> DataFrame:
     """Rows that follow the row ``last`` in the order of the page.
 
-    The cost does not grow with the depth of the page, unlike an offset.
+    The cost does not grow with the depth of the page, unlike an offset: no task
+    keeps more than a page, and the scan can skip what lies before the leading
+    value of the order.
     """
     plan = sort_plan(df.schema, page.sorts, key)
     beyond = F.lit(False)
+    bound = _leading_bound(df.schema, plan[0], last)
     equal = F.lit(True)
     for sort in plan:
         column = F.col(f"`{sort.column}`")
@@ -109,7 +112,17 @@ def page_rows_after(
             after = column > value
         beyond = beyond | (equal & F.coalesce(after, F.lit(False)))
         equal = equal & column.eqNullSafe(value)
-    return filtered(df, page).where(beyond).orderBy(*map(_ordering, plan)).limit(page.size)
+    rest = filtered(df, page).where(bound).where(beyond)
+    return rest.orderBy(*map(_ordering, plan)).limit(page.size)
+
+
+def _leading_bound(schema: T.StructType, sort: Sort, last: Mapping[str, Any]) -> Column:
+    """What the first sort column must satisfy in every later row."""
+    column, value = F.col(f"`{sort.column}`"), last[sort.column]
+    if value is None:
+        return column.isNull() if sort.descending else F.lit(True)
+    literal = F.lit(value).cast(schema[sort.column].dataType)
+    return (column <= literal) | column.isNull() if sort.descending else column >= literal
 
 
 def page_total(df: DataFrame, page: Page) -> DataFrame:
