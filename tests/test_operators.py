@@ -145,8 +145,9 @@ def test_page_plan(spark, folder):
     assert "TakeOrderedAndProject(limit=75" in plan_of(result.rows)
     assert "ReadSchema: struct<o_custkey:bigint>" in plan_of(result.total)
     last = orders.where("o_orderkey = 700").first().asDict()
-    later = view.page_rows_after(orders, result.page, last, ("o_orderkey",))
-    assert "GreaterThanOrEqual(o_orderkey,700)" in plan_of(later)
+    page = resolve_page(PageRequest("orders", sorts=[Sort("o_custkey")]), "orders", orders.schema)
+    later = view.page_rows_after(orders, page, last, ("o_orderkey",))
+    assert f"GreaterThanOrEqual(o_custkey,{last['o_custkey']})" in plan_of(later)
 
 
 # ------------------------------------------------------------------- lookup
