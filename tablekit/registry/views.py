@@ -332,8 +332,8 @@ QUERIES = [
     ),
     Query(
         "chart_avg_by_hour",
-        _chart_of(ChartRequest("events", "avg", mode="time", metric="value", time="ts", grain="hour", limit=500), 8),
-        _chart_sql("events", "ts", "avg(value)", 500, "hour", 8),
+        _chart_of(ChartRequest("events", "avg", mode="time", metric="value", time="ts", grain="hour", limit=500), 10),
+        _chart_sql("events", "ts", "avg(value)", 500, "hour", 10),
     ),
     Query(
         "chart_max_by_day",
