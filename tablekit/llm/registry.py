@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tablekit.llm import rules
+from tablekit.llm import rules, substring
 from tablekit.registry.base import Query
 
 QUERIES = [
+    Query("op1_substring_dedup", substring.query),
     Query("op9_quality_rules", rules.query, rules.SQL),
 ]
