@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tablekit.llm import rules, substring, suffixes
+from tablekit.llm import chat, rules, substring, suffixes
 from tablekit.registry.base import Query
 
 QUERIES = [
     Query("op1_substring_dedup", substring.query),
+    Query("op3_chat_format", chat.query),
     Query("op6_suffix_dedup", suffixes.query),
     Query("op9_quality_rules", rules.query, rules.SQL),
 ]
