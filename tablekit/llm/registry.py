@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tablekit.llm import chat, leaks, rules, substring, suffixes
+from tablekit.llm import chat, leaks, packing, rules, substring, suffixes
 from tablekit.registry.base import Query
 
 QUERIES = [
     Query("op1_substring_dedup", substring.query),
     Query("op3_chat_format", chat.query),
     Query("op4_decontamination", leaks.query),
+    Query("op5_best_fit_packing", packing.query),
     Query("op6_suffix_dedup", suffixes.query),
     Query("op9_quality_rules", rules.query, rules.SQL),
 ]
