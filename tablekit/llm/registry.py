@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tablekit.llm import chat, leaks, packing, rules, substring, suffixes
+from tablekit.llm import chat, leaks, near, packing, rules, substring, suffixes
 from tablekit.registry.base import Query
 
 QUERIES = [
     Query("op1_substring_dedup", substring.query),
+    Query("op2_minhash_near_dedup", near.query),
     Query("op3_chat_format", chat.query),
     Query("op4_decontamination", leaks.query),
     Query("op5_best_fit_packing", packing.query),
