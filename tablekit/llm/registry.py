@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tablekit.llm import chat, leaks, near, packing, rules, substring, suffixes
+from tablekit.llm import chat, leaks, near, packing, quality_model, rules, substring, suffixes
 from tablekit.registry.base import Query
 
 QUERIES = [
@@ -12,5 +12,6 @@ QUERIES = [
     Query("op4_decontamination", leaks.query),
     Query("op5_best_fit_packing", packing.query),
     Query("op6_suffix_dedup", suffixes.query),
+    Query("op7_quality_classifier", quality_model.query),
     Query("op9_quality_rules", rules.query, rules.SQL),
 ]
