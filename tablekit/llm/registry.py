@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tablekit.llm import chat, leaks, near, packing, quality_model, rules, secrets, substring, suffixes
+from tablekit.llm import chat, leaks, near, packing, privacy, quality_model, rules, secrets, substring, suffixes
 from tablekit.registry.base import Query
 
 QUERIES = [
@@ -13,6 +13,7 @@ QUERIES = [
     Query("op5_best_fit_packing", packing.query),
     Query("op6_suffix_dedup", suffixes.query),
     Query("op7_quality_classifier", quality_model.query),
+    Query("op8_pii", privacy.query),
     Query("op9_quality_rules", rules.query, rules.SQL),
     Query("op10_secret_scan", secrets.query, secrets.SQL),
 ]
