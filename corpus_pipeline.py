@@ -1,29 +1,64 @@
-"""From raw documents to packed sequences, stage by stage."""
+"""From raw documents to packed sequences, stage by stage.
+
+Every stage takes all rows that its predecessor kept and returns the columns of
+``documents``, the last one pieces of sequences. Stages follow each other over written
+tables. The result as a whole has no twin in SQL, as the packing has none.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tablekit.llm import rules
+from tablekit.llm import leaks, near, packing, privacy, rules, tables
 from tablekit.registry.base import Query
 
 
+def _recounted(docs: DataFrame) -> DataFrame:
+    """With ``n_chars`` of the texts as they are now."""
+    if "n_chars" not in docs.columns:
+        return docs
+    return docs.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects."""
     return rules.kept(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, the one with the smallest id."""
+    return near.without_duplicates(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages of benchmark items, and none that are mostly such."""
+    return _recounted(leaks.decontaminated(docs, tables.read(spark, sf_dir, "benchmark")))
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with placeholders for personal data and what discloses it."""
+    return _recounted(privacy.sanitised(docs))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents, packed into sequences."""
+    return packing.packed(docs, packing.default_tokenizer())
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("pii", pii),
+    ("best_fit_packing", best_fit_packing),
 ]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tablekit.llm import tables
-
     docs = tables.read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = tables.staged(stage(spark, docs, sf_dir), name)

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from tablekit.llm import tables, texts
 
@@ -40,7 +41,7 @@ MEMBER[0x00:0x30] = MEMBER[0x3A:0x61] = MEMBER[0x7B:0x80] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
-MATCH_FIELDS = "hits array<int>, items array<string>"
+MAX_COVERAGE_PERCENT = 50
 
 
 def word_prints(block: texts.Block) -> tuple[np.ndarray, np.ndarray]:
@@ -254,18 +255,21 @@ def _match_map(matcher, earlier: bool):
     return run
 
 
-def matched(rows: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+def _matched(rows: DataFrame, items: DataFrame, window: int, block_words: int) -> tuple[DataFrame, list]:
     """``doc`` and ``text`` with ``hits``, the first and end words of all windows in turn,
-    and ``items``, the sorted ids of items with a window in the text."""
-    spark = rows.sparkSession
-    earlier = False
+    and ``items``, the sorted ids of items with a window in the text; and the automata."""
+    schema = StructType(
+        [rows.schema["doc"], rows.schema["text"]]
+        + [StructField("hits", ArrayType(IntegerType())), StructField("items", ArrayType(StringType()))]
+    )
+    matchers: list = []
     for block in item_blocks(items, block_words):
-        matcher = spark.sparkContext.broadcast(cloudpickle.dumps(Matcher(block, window)))
-        rows = rows.mapInArrow(_match_map(matcher, earlier), f"doc long, text string, {MATCH_FIELDS}")
-        earlier = True
-    if not earlier:
+        matcher = rows.sparkSession.sparkContext.broadcast(cloudpickle.dumps(Matcher(block, window)))
+        rows = rows.mapInArrow(_match_map(matcher, bool(matchers)), schema)
+        matchers.append(matcher)
+    if not matchers:
         rows = rows.withColumns({"hits": F.array().cast("array<int>"), "items": F.array().cast("array<string>")})
-    return rows
+    return rows, matchers
 
 
 def hit_mask(n_words: int, hits: list[int]) -> np.ndarray:
@@ -275,30 +279,28 @@ def hit_mask(n_words: int, hits: list[int]) -> np.ndarray:
     return np.cumsum(edges)[:-1] > 0
 
 
-def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts, and the text without its hit words and what stands between them."""
+def without_hits(text: bytes, hits: list[int]) -> bytes:
+    """The text without its hit words and what stands between two of them."""
+    data = LOWER[np.frombuffer(text, np.uint8)]
+    starts, ends, _ = texts.Block(0, data, np.array([0, len(data)])).words(MEMBER)
+    edge = np.diff(np.r_[False, hit_mask(len(starts), hits), False].astype(np.int8))
+    at, parts = 0, []
+    for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True):
+        parts.append(text[at : starts[a]])
+        at = ends[b - 1]
+    return b"".join([*parts, text[at:]])
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         hits, items = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        total, hit, clean = [], [], []
+        total, hit = [], []
         for block in texts.blocks(batch.column(1)):
             lower = texts.Block(block.first, LOWER[block.data], block.offsets)
-            starts, ends, first = lower.words(MEMBER)
-            for row in range(block.rows):
-                n = int(first[row + 1] - first[row])
-                own = hits[block.first + row]
-                total.append(n)
-                if not own:
-                    hit.append(0)
-                    clean.append(block.text(row))
-                    continue
-                mask = hit_mask(n, own)
-                hit.append(int(mask.sum()))
-                edge = np.diff(np.r_[False, mask, False].astype(np.int8))
-                base, text, at, parts = int(block.offsets[row]), block.text(row), 0, []
-                for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True):
-                    parts.append(text[at : starts[first[row] + a] - base])
-                    at = ends[first[row] + b - 1] - base
-                clean.append(b"".join([*parts, text[at:]]))
+            n = np.diff(lower.words(MEMBER)[2]).tolist()
+            total += n
+            own = hits[block.first : block.first + block.rows]
+            hit += [int(hit_mask(k, h).sum()) if h else 0 for k, h in zip(n, own, strict=True)]
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
@@ -306,25 +308,65 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(hit, pa.int64()),
                 pa.array([len(x) for x in items], pa.int64()),
                 pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]),
-                pa.array(clean, pa.binary()),
             ],
-            ["doc", "n_words", "n_hit", "n_items", "items_sha256", "clean"],
+            ["doc", "n_words", "n_hit", "n_items", "items_sha256"],
         )
 
 
-REPORT = "doc long, n_words long, n_hit long, n_items long, items_sha256 string, clean binary"
+REPORT = "doc long, n_words long, n_hit long, n_items long, items_sha256 string"
 
 
 def reported(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Per row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated and the text
-    without its hit words (``clean``)."""
-    out = matched(tables.keyed(docs), items, window, block_words).mapInArrow(_cleaned, REPORT)
-    return out.select(
-        tables.doc_id(), "n_words", "n_hit", "n_items", "items_sha256",
-        (F.col("n_hit") > 0).alias("contaminated"), F.col("clean").cast("string").alias("clean"),
+    """Per row: doc_id, n_words, n_hit, n_items, items_sha256 and contaminated."""
+    rows, _ = _matched(tables.keyed(docs), items, window, block_words)
+    contaminated = (F.col("n_hit") > 0).alias("contaminated")
+    return rows.mapInArrow(_count, REPORT).select(
+        tables.doc_id(), "n_words", "n_hit", "n_items", "items_sha256", contaminated
     )
 
 
+def _clean(matchers: list, max_percent: int):
+    """Removes hits until none is left, as what stood around one may make another."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = [cloudpickle.loads(m.value) for m in matchers]
+        for batch in batches:
+            names, hits = batch.column(1), batch.column(2).to_pylist()
+            clean, keep = [], []
+            for text, own in zip(names, hits, strict=True):
+                if not own:
+                    clean.append(None)
+                    keep.append(True)
+                    continue
+                text = text.as_py().encode()
+                words = len(_words_of(text.decode()))
+                covered = int(hit_mask(words, own).sum())
+                keep.append(covered * 100 <= words * max_percent)
+                while own and keep[-1]:
+                    text = without_hits(text, own)
+                    block = texts.Block(0, np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+                    own = [x for m in known for _, found, _ in m.match(block) for pair in found for x in pair]
+                clean.append(text.decode())
+            out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(clean, pa.string())], ["doc", "clean"])
+            yield out.filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def decontaminated(
+    docs: DataFrame, items: DataFrame, window: int = WINDOW, max_percent: int = MAX_COVERAGE_PERCENT
+) -> DataFrame:
+    """The rows of ``docs`` with hit words cut out of their texts; rows of which more than
+    ``max_percent`` of all words are hit go. Other columns stay as they are."""
+    row = F.struct(*[docs[c].alias(c) for c in docs.columns]).alias("doc")
+    rows = docs.select(row, F.coalesce(docs["text"], F.lit("")).alias("text"))
+    rows, matchers = _matched(rows, items, window, BLOCK_WORDS)
+    schema = StructType([rows.schema["doc"], StructField("clean", StringType())])
+    out = rows.mapInArrow(_clean(matchers, max_percent), schema)
+    text = F.coalesce("clean", F.col("doc")["text"]).alias("text")
+    return out.select(*[text if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns])
+
+
 def query(spark, folder: str) -> DataFrame:
     docs, items = (tables.read(spark, folder, name) for name in ("documents", "benchmark"))
-    return reported(docs, items).drop("clean")
+    return reported(docs, items)

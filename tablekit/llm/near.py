@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablekit.llm import tables, texts
@@ -255,5 +255,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     )
 
 
+def without_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` that stand for their class: those of its smallest id, and of
+    several rows with that id the one with the smallest text."""
+    kept = linked(docs, shingle, percent).where("doc = component").select(F.col("doc").alias("_doc")).distinct()
+    row = F.struct(*[docs[c].alias(c) for c in docs.columns]).alias("_row")
+    rows = docs.select(row, F.coalesce(docs["doc_id"].cast("long"), F.lit(tables.NULL_ID)).alias("_doc"))
+    order = Window.partitionBy("_doc").orderBy("_row.text")
+    first = rows.join(kept, "_doc").withColumn("_number", F.row_number().over(order)).where("_number = 1")
+    return first.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
+
+
 def query(spark, folder: str) -> DataFrame:
     return near_duplicates(tables.read(spark, folder, "documents"))

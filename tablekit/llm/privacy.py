@@ -36,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tablekit.llm import tables, texts
 
@@ -319,7 +320,7 @@ def sanitised(docs: DataFrame) -> DataFrame:
         F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("text_hash"),
     )
     rows = _with_terms(rows, terms).select("_row", F.col("_row.text").alias("_text"), F.col("terms").alias("_terms"))
-    schema = f"_row {rows.schema['_row'].dataType.simpleString()}, _text string"
+    schema = StructType([rows.schema["_row"], rows.schema["_text"]])
     out = rows.mapInArrow(_sanitise, schema)
     return out.select(*[(F.col("_text") if c == "text" else F.col("_row")[c]).alias(c) for c in docs.columns])
 

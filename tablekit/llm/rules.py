@@ -16,6 +16,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablekit.llm import tables
+
 SPACE_CLASS = r"[ \t\n\x0B\f\r]"
 SYMBOLS = "#*$%&|<>"
 GRAM = 5
@@ -65,21 +67,19 @@ RULES = (
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """All measures, beside the columns ``doc_id`` and ``text`` of the table."""
+    """All measures, beside ``row``, which holds all columns of the table."""
     text = F.col("_text")
     words = F.filter(F.split(text, SPACE_CLASS + "+"), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^ \t\n\x0B\f\r]"))
-    base = docs.select("doc_id", "text", F.coalesce("text", F.lit("")).alias("_text"))
+    base = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce("text", F.lit("")).alias("_text"))
     base = base.select(
-        "doc_id",
-        "text",
+        "row",
         words.alias("_words"),
         lines.alias("_lines"),
         F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
     )
     base = base.select(
-        "doc_id",
-        "text",
+        "row",
         "n_symbols",
         F.char_length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         F.size("_words").cast("long").alias("n_words"),
@@ -136,10 +136,19 @@ COLUMNS = (
 )
 
 
-def query(spark, folder: str) -> DataFrame:
-    from tablekit.llm import tables
+def kept(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of ``docs`` that no rule rejects.
+
+    Taken by a generator: a filter would be pushed below the projections, and then
+    all measures would be worked out again inside it.
+    """
+    chosen = F.explode(F.when(F.col("kept"), F.array("row"))).alias("row")
+    return judged(docs, rules).select(chosen).select("row.*")
+
 
-    return judged(tables.read(spark, folder, "documents")).select(*COLUMNS)
+def query(spark, folder: str) -> DataFrame:
+    judgement = judged(tables.read(spark, folder, "documents"))
+    return judgement.select("row.doc_id", *COLUMNS[1:])
 
 
 def _sql_fails(rule: Rule) -> str:
