@@ -169,14 +169,14 @@ def display_cell(value: Column, data_type: T.DataType) -> Column:
     return F.coalesce(text_of(value, data_type), F.lit(NULL_CELL))
 
 
-def chart_label(text: Column, max_length: int) -> Column:
-    """Axis label: null is named, long text is cut to ``max_length`` with dots."""
-    kept = max_length - len(ELLIPSIS)
-    return (
-        F.when(text.isNull(), NULL_LABEL)
-        .when(F.length(text) > max_length, F.concat(F.substring(text, 1, kept), F.lit(ELLIPSIS)))
-        .otherwise(text)
-    )
+def chart_label(text: Column, max_length: int | None = None) -> Column:
+    """Axis label: null is named. Long text stays whole, so that no two groups share a
+    label, unless ``max_length`` asks for a cut with dots."""
+    named = F.when(text.isNull(), NULL_LABEL)
+    if max_length is not None:
+        short = F.concat(F.substring(text, 1, max_length - len(ELLIPSIS)), F.lit(ELLIPSIS))
+        named = named.when(F.length(text) > max_length, short)
+    return named.otherwise(text)
 
 
 def bucket_text(bucket: Column, grain: str) -> Column:

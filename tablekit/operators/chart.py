@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablekit.functions import kinds, parsing, rendering
-from tablekit.plans import limits
 from tablekit.plans.requests import Chart, ChartRequest, resolve_chart
 
 AGGREGATES = {"count": F.count, "sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}
@@ -33,7 +32,7 @@ def chart_groups(df: DataFrame, chart: Chart) -> DataFrame:
 
 def _label(bucket: Column, data_type: T.DataType, grain: str | None) -> Column:
     text = rendering.bucket_text(bucket, grain) if grain else rendering.text_of(bucket, data_type)
-    return rendering.chart_label(text, limits.MAX_LABEL_LENGTH)
+    return rendering.chart_label(text)
 
 
 def chart_points(df: DataFrame, chart: Chart) -> DataFrame:

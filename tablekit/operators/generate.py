@@ -13,26 +13,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablekit.functions import fakes, kinds, rendering
+from tablekit.functions import fakes, kinds
+from tablekit.operators import lookup
 from tablekit.operators.dump import numbered_rows
 from tablekit.plans import limits
 from tablekit.plans.contract import Contract, ForeignKey
 
 ROW_ID = "_row_id"
 
+NO_PARENTS = "Nothing to refer to from {column}: {parent} has no keys."
+NO_CHOICES = "Nothing to choose from for {column}: its list of allowed values is empty."
+
 # Ranges of seeded numbers.
 SEEDED_KEY_RANGE = (1, 100)
 SEEDED_NUMBER_RANGE = (0, 1000)
 
-# The flat order file.
-FLAT_FIRST_ID = 3_000_004
-FLAT_USERS = 6
-FLAT_STATUSES = ("completed", "pending", "shipped", "cancelled", "refunded")
-FLAT_AMOUNTS = (5.0, 1500.0)
-DATES_FROM = "2025-01-01 00:00:00"
-DATES_SECONDS = 449 * 86_400 + 1  # up to and with 2026-03-26 00:00:00
-
-
 def ids(spark: SparkSession, count: int, first: int = 1) -> DataFrame:
     return spark.range(first, first + count).select(F.col("id").alias(ROW_ID))
 
@@ -128,7 +123,7 @@ def seedable(contract: Contract) -> list[T.StructField]:
     ]
 
 
-def key_pool(parent: DataFrame, column: str, limit: int | None = limits.KEY_POOL_SIZE) -> DataFrame:
+def key_pool(parent: DataFrame, column: str, limit: int | None = None) -> DataFrame:
     """Distinct places ``_slot`` for the keys of a referenced table.
 
     With a limit the smallest keys form the pool. Without one, all keys do.
@@ -148,14 +143,11 @@ def _with_reference(
     pool = key_pool(parent, key.ref_column, limit)
     size = pool.count()
     if size == 0:
-        raise ValueError(
-            f"Cannot seed {table}.{key.column}: no rows in referenced table "
-            f"{key.ref_table}.{key.ref_column}."
-        )
+        raise ValueError(NO_PARENTS.format(column=f"{table}.{key.column}", parent=f"{key.ref_table}.{key.ref_column}"))
     slot = fakes.below(row_hash(seed, table, key.column), 1, size, digits=15)
     side = pool.select(F.col("_slot").alias("_wanted"), F.col("_key").alias(key.column))
-    if limit is not None:
-        side = F.broadcast(side)  # at most ``limit`` keys
+    if size <= lookup.MAX_BROADCAST_ROWS:
+        side = F.broadcast(side)  # counted above; larger pools share the rows out evenly
     return rows.join(side, slot == F.col("_wanted"), "left").drop("_wanted")
 
 
@@ -164,7 +156,7 @@ def seed_rows(
     contract: Contract,
     seed: int | str,
     parents: Callable[[str], DataFrame] | None = None,
-    pool_limit: int | None = limits.KEY_POOL_SIZE,
+    pool_limit: int | None = None,
 ) -> DataFrame:
     """One synthetic row per id. References come first, then allowed values, then
     the rules on name and type. ``id`` and counted columns are left out."""
@@ -172,7 +164,7 @@ def seed_rows(
     fields = seedable(contract)
     for name, domain in contract.enums.items():
         if not domain and name not in references:
-            raise ValueError(f"Cannot seed {name}: enum value list is empty for enum column.")
+            raise ValueError(NO_CHOICES.format(column=name))
     made = {}
     for field in fields:
         h = row_hash(seed, contract.table, field.name)
@@ -202,147 +194,3 @@ def seed_table(
     if isinstance(count, bool) or not isinstance(count, int) or count < 1:
         raise ValueError("The number of rows must be a positive whole number.")
     return seed_rows(ids(spark, count), contract, seed, parents).drop(ROW_ID)
-
-
-# ------------------------------------------------------------- generated tables
-
-
-def flat_orders(row_ids: DataFrame, seed: int | str = 0) -> DataFrame:
-    """Flat orders, one per 0-based id."""
-
-    def h(column: str) -> Column:
-        return row_hash(seed, "flat_orders", column)
-
-    return row_ids.select(
-        (F.col(ROW_ID) + FLAT_FIRST_ID).alias("id"),
-        fakes.number(h("user_id"), 1, FLAT_USERS).cast("int").alias("user_id"),
-        F.date_format(fakes.instant(h("order_date"), DATES_FROM, DATES_SECONDS), "yyyy-MM-dd HH:mm:ss").alias(
-            "order_date"
-        ),
-        fakes.choice(h("status"), FLAT_STATUSES).alias("status"),
-        fakes.amount(h("total_amount"), *FLAT_AMOUNTS).alias("total_amount"),
-    )
-
-
-@dataclass(frozen=True)
-class Scale:
-    """Rows per generated table; addresses follow users, items follow orders."""
-
-    users: int = 5000
-    brands: int = 50
-    categories: int = 20
-    products: int = 1000
-    variants: int = 3000
-    warehouses: int = 5
-    orders: int = 10_000
-    items_per_order: int = 3
-
-
-TOP_CATEGORIES = 5
-ORDER_STATUSES = ("pending", "shipped", "delivered")
-
-RELATIONAL_REFERENCES = (
-    ("addresses", ForeignKey("user_id", "users", "id")),
-    ("categories", ForeignKey("parent_id", "categories", "id")),
-    ("products", ForeignKey("brand_id", "brands", "id")),
-    ("product_variants", ForeignKey("product_id", "products", "id")),
-    ("orders", ForeignKey("user_id", "users", "id")),
-    ("orders", ForeignKey("shipping_address_id", "addresses", "id")),
-    ("order_items", ForeignKey("order_id", "orders", "id")),
-    ("order_items", ForeignKey("variant_id", "product_variants", "id")),
-)
-
-
-def relational_dataset(spark: SparkSession, scale: Scale = Scale(), seed: int | str = 0) -> Mapping[str, DataFrame]:
-    """Nine tables with ids from one. A reference is a hash within the range of the
-    parent's ids, so no table needs a join."""
-    i = F.col(ROW_ID)
-    text = i.cast("string")
-
-    def table(name: str, count: int, /, **columns: Column) -> DataFrame:
-        return ids(spark, count).select(i.alias("id"), *[c.alias(n) for n, c in columns.items()])
-
-    def h(name: str, column: str) -> Column:
-        return row_hash(seed, name, column)
-
-    def up_to(name: str, column: str, count: int) -> Column:
-        return fakes.number(h(name, column), 1, count)
-
-    def moment(name: str) -> Column:
-        return fakes.instant(h(name, "created_at"), DATES_FROM, DATES_SECONDS)
-
-    def numbered(prefix: str, suffix: str = "") -> Column:
-        return F.concat(F.lit(prefix), text, F.lit(suffix))
-
-    user = up_to("orders", "user_id", scale.users)
-    parent = up_to("categories", "parent_id", min(TOP_CATEGORIES, max(scale.categories, 1)))
-    return {
-        "users": table(
-            "users",
-            scale.users,
-            email=numbered("user_", "@example.com"),
-            password_hash=F.lit("hash123"),
-            first_name=numbered("First"),
-            last_name=numbered("Last"),
-            created_at=moment("users"),
-        ),
-        "addresses": table(
-            "addresses",
-            scale.users,
-            user_id=i,
-            address_line1=F.concat(
-                up_to("addresses", "address_line1", 999).cast("string"), F.lit(" Main St")
-            ),
-            address_line2=F.lit(None).cast("string"),
-            city=F.lit("Tech City"),
-            postal_code=F.lit("75000"),
-            country=F.lit("France"),
-            is_default=F.lit(True),
-        ),
-        "brands": table(
-            "brands", scale.brands, name=numbered("Brand "), description=numbered("Description for brand ")
-        ),
-        "categories": table(
-            "categories",
-            scale.categories,
-            parent_id=F.when(i > TOP_CATEGORIES, parent),
-            name=numbered("Category "),
-        ),
-        "products": table(
-            "products",
-            scale.products,
-            brand_id=up_to("products", "brand_id", scale.brands),
-            name=numbered("Product "),
-            description=numbered("Amazing product "),
-            base_price=fakes.amount(h("products", "base_price"), 10, 500),
-            created_at=moment("products"),
-        ),
-        "product_variants": table(
-            "product_variants",
-            scale.variants,
-            product_id=up_to("product_variants", "product_id", scale.products),
-            sku=numbered("SKU-"),
-            variant_name=numbered("Variant "),
-            price_adjustment=fakes.amount(h("product_variants", "price_adjustment"), 0, 50),
-        ),
-        "warehouses": table(
-            "warehouses", scale.warehouses, location_code=numbered("WH-"), city=F.lit("Bordeaux")
-        ),
-        "orders": table(
-            "orders",
-            scale.orders,
-            user_id=user,
-            shipping_address_id=user,
-            total_amount=fakes.amount(h("orders", "total_amount"), 20, 1000),
-            status=fakes.choice(h("orders", "status"), ORDER_STATUSES),
-            created_at=moment("orders"),
-        ),
-        "order_items": table(
-            "order_items",
-            scale.orders * scale.items_per_order,
-            order_id=up_to("order_items", "order_id", scale.orders),
-            variant_id=up_to("order_items", "variant_id", scale.variants),
-            quantity=fakes.number(h("order_items", "quantity"), 1, 5).cast("int"),
-            unit_price=fakes.amount(h("order_items", "unit_price"), 10, 200),
-        ),
-    }

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -166,10 +165,9 @@ def _check_references(
         if parents is None or key.column not in out:
             continue
         column = out[key.column]
-        parent = parents(key.ref_table).select(F.col(f"`{key.ref_column}`").alias("_parent"))
-        missing = lookup.key_counts(accepted.select(column), [column]).join(
-            parent, F.col(column) == F.col("_parent"), "left_anti"
-        )
+        values = storage.checkpointed(lookup.key_counts(accepted.select(column), [column]))
+        known = lookup.keys_found(values, [column], parents(key.ref_table), [key.ref_column])
+        missing = values.join(known, column, "left_anti")
         message = UNKNOWN_REFERENCE.format(
             column=key.column, reference=f"{key.ref_table}.{key.ref_column}"
         )
@@ -194,16 +192,10 @@ def _check_keys(
     if target is None:
         groups = groups.withColumn("_present", F.lit(False))
     else:
-        existing = target.select(
-            *[F.col(f"`{c}`").alias(f"_t{i}") for i, c in enumerate(contract.primary_key)],
-            F.lit(True).alias("_present"),
-        )
-        same = reduce(
-            lambda a, b: a & b, [groups[k] == existing[f"_t{i}"] for i, k in enumerate(keys)]
-        )
-        groups = groups.join(existing, same, "left").select(
-            *groups.columns, F.coalesce(F.col("_present"), F.lit(False)).alias("_present")
-        )
+        groups = storage.checkpointed(groups)
+        existing = lookup.keys_found(groups, keys, target, list(contract.primary_key))
+        groups = groups.join(existing.withColumn("_present", F.lit(True)), keys, "left")
+        groups = groups.withColumn("_present", F.coalesce("_present", F.lit(False)))
     contested = groups.where((F.col("_n") > 1) | F.col("_present"))
     refused = F.col("_n").isNotNull() & (F.col("_present") | (place != F.col("_first")))
     message = DUPLICATE.format(key=",".join(contract.primary_key))

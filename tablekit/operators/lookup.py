@@ -19,12 +19,15 @@ def _all(conditions: list[Column]) -> Column:
 
 
 def is_small(df: DataFrame) -> bool:
-    """Whether the rows, counted and measured, are few enough to broadcast."""
+    """Whether the rows, counted and measured, are few enough to broadcast.
+
+    Counting stops at the limit, so a large table costs no more than a small one.
+    """
     width = reduce(
         lambda a, b: a + b,
         [F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(8)) for c in df.columns],
     )
-    size = df.agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("bytes")).first()
+    size = df.limit(MAX_BROADCAST_ROWS + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("bytes")).first()
     return size["n"] <= MAX_BROADCAST_ROWS and (size["bytes"] or 0) <= MAX_BROADCAST_BYTES
 
 
@@ -37,6 +40,21 @@ def key_counts(rows: DataFrame, keys: list[str], *facts: Column) -> DataFrame:
     return rows.where(present).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *facts)
 
 
+def keys_found(keys: DataFrame, names: list[str], table: DataFrame, columns: list[str]) -> DataFrame:
+    """Those of ``keys`` that the table holds, once each, under their own names.
+
+    A few keys, checked by size, are broadcast, so that the table is scanned and
+    never shuffled.
+    """
+    wanted = storage.checkpointed(keys.select(*names))
+    wanted = wanted.select(*[F.col(n).alias(f"_key_{i}") for i, n in enumerate(names)])
+    if is_small(wanted):
+        wanted = F.broadcast(wanted)
+    held = table.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(columns, names, strict=True)])
+    same = _all([held[n] == wanted[f"_key_{i}"] for i, n in enumerate(names)])
+    return held.join(wanted, same, "left_semi").distinct()
+
+
 def attach(rows: DataFrame, facts: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Rows joined to ``facts``, which has one row per key and its count ``_n``.
 

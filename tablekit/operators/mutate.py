@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablekit.functions import parsing
+from tablekit.operators import lookup
 from tablekit.plans.contract import Contract
+from tablekit.sources import storage
 
 INSERT = "insert"
 UPDATE = "update"
@@ -25,6 +27,7 @@ KEY_MISSING = "Missing primary key value."
 KEY_NULL = "Primary key value cannot be null."
 VALIDATION_FAILED = "Validation failed."
 INVALID_IDENTITY = "Invalid row identity."
+KEY_EXISTS = "The key is in use already."
 NOT_FOUND = "No row was updated. The target row may no longer exist."
 
 _ERROR_ENTRY = "array<struct<field:string,message:string>>"
@@ -142,7 +145,14 @@ def _entries(errors: list[tuple[str, str]]) -> Column:
 
 
 def sound(validated: DataFrame) -> DataFrame:
-    return validated.where(F.col(ERROR).isNull())
+    """Requests without an error.
+
+    Taken by a generator: a filter would be pushed below the projections, and then
+    the whole validation would be worked out again inside it.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in validated.columns])
+    kept = F.when(F.col(ERROR).isNull(), F.array(row))
+    return validated.select(F.explode(kept).alias("_sound")).select("_sound.*")
 
 
 def insert_values(validated: DataFrame, contract: Contract) -> DataFrame:
@@ -150,13 +160,36 @@ def insert_values(validated: DataFrame, contract: Contract) -> DataFrame:
     return sound(validated).select(*[F.col(f"new_{c}").alias(c) for c in contract.columns])
 
 
-def append_rows(base: DataFrame, rows: DataFrame) -> DataFrame:
-    """Table with new rows; columns the rows lack are null."""
-    return base.unionByName(rows, allowMissingColumns=True)
+def judged_inserts(base: DataFrame, rows: DataFrame, contract: Contract, order: str | None = None) -> DataFrame:
+    """Rows with ``error`` where the table, or an earlier row, has their key already.
+
+    Earlier is by the column ``order``; without one, rows that repeat a key are all
+    refused but for one of equal rows.
+    """
+    keys = list(contract.primary_key)
+    if not keys:
+        return rows.withColumn(ERROR, F.lit(None).cast("string"))
+    place = F.col(order) if order else F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]))
+    rows = storage.checkpointed(rows.withColumns({"_place": place, "_id": F.monotonically_increasing_id()}))
+    here = F.struct("_place", "_id")
+    groups = storage.checkpointed(lookup.key_counts(rows, keys, F.min(here).alias("_first")))
+    held = lookup.keys_found(groups, keys, base, keys).withColumn("_held", F.lit(True))
+    contested = groups.join(held, keys, "left").where((F.col("_n") > 1) | F.col("_held").isNotNull())
+    refused = F.col("_n").isNotNull() & (F.col("_held").isNotNull() | (here != F.col("_first")))
+    marked = lookup.attach(rows, contested, keys).withColumn(ERROR, F.when(refused, KEY_EXISTS))
+    return marked.drop("_place", "_id", "_n", "_first", "_held")
+
+
+def append_rows(base: DataFrame, rows: DataFrame, contract: Contract, order: str | None = None) -> DataFrame:
+    """Table with the new rows whose key is new; columns the rows lack are null."""
+    accepted = judged_inserts(base, rows, contract, order).where(F.col(ERROR).isNull())
+    extra = [ERROR] + ([order] if order and order not in base.columns else [])
+    return base.unionByName(accepted.drop(*extra), allowMissingColumns=True)
 
 
 def latest_patch(validated: DataFrame, contract: Contract, order: str) -> DataFrame:
-    """One patch per key: of several writes to a column the last by ``order`` counts.
+    """One patch per key: of several writes to a column the last by ``order`` counts,
+    and of those with the same order the one with the greatest text.
 
     The aggregation keeps one row per key and task before its shuffle, so a key
     that is written very often costs no more than any other.
@@ -166,15 +199,18 @@ def latest_patch(validated: DataFrame, contract: Contract, order: str) -> DataFr
 
     def last(name: str) -> Column:
         boxed = F.struct(F.col(f"new_{name}").alias("value"))
-        return F.max_by(boxed, F.when(F.col(f"has_{name}"), F.col(order))).alias(f"set_{name}")
+        place = F.struct(F.col(order).alias("at"), F.to_json(boxed).alias("tie"))
+        return F.max_by(boxed, F.when(F.col(f"has_{name}"), place)).alias(f"set_{name}")
 
     return sound(validated).groupBy(*keys).agg(*[last(c) for c in editable])
 
 
 def apply_updates(base: DataFrame, patch: DataFrame, contract: Contract) -> DataFrame:
     """Table with the patched values; a value that was set to null becomes null."""
+    patch = storage.checkpointed(patch)
     same = _key_match(base, patch, contract)
-    joined = base.join(patch, same, "left")
+    # A small patch is broadcast, after a check of its size, and the table not shuffled.
+    joined = base.join(F.broadcast(patch) if lookup.is_small(patch) else patch, same, "left")
 
     def current(name: str) -> Column:
         if name in contract.primary_key:
@@ -187,7 +223,10 @@ def apply_updates(base: DataFrame, patch: DataFrame, contract: Contract) -> Data
 
 def unmatched_updates(base: DataFrame, patch: DataFrame, contract: Contract) -> DataFrame:
     """Patches whose key is in no row of the table, with the error to report."""
-    missing = patch.join(base, _key_match(base, patch, contract), "left_anti")
+    patch = storage.checkpointed(patch)
+    names = [f"key_{c}" for c in contract.primary_key]
+    found = lookup.keys_found(patch, names, base, list(contract.primary_key))
+    missing = patch.join(found, names, "left_anti")
     return missing.select(
         *[F.col(f"key_{c}").alias(c) for c in contract.primary_key], F.lit(NOT_FOUND).alias(ERROR)
     )

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from tablekit.functions import kinds, rendering
 from tablekit.operators import lookup
-from tablekit.plans import limits
 from tablekit.plans.contract import Contract, ForeignKey
+from tablekit.sources import storage
 from tablekit.sources.catalog import Catalog
 
 
@@ -19,21 +19,15 @@ def _stacked(frames: list[DataFrame]) -> DataFrame:
 
 
 def table_row_counts(catalog: Catalog) -> DataFrame:
-    """Rows per table for the first tables by name; later ones are not counted."""
-    frames = []
-    for position, name in enumerate(catalog.names):
-        if position < limits.MAX_COUNTED_TABLES:
-            counted = catalog.table(name).agg(F.count(F.lit(1)).alias("n"))
-        else:
-            counted = catalog.table(name).sparkSession.range(1).select(
-                F.lit(None).cast("bigint").alias("n")
-            )
-        frames.append(
-            counted.select(
-                F.lit(name).alias("table_name"), rendering.whole_count(F.col("n")).alias("row_count")
-            )
-        )
-    return _stacked(frames)
+    """Rows of every table, by name; Parquet files are counted from their footers."""
+    return _stacked(
+        [
+            catalog.table(name)
+            .agg(F.count(F.lit(1)).alias("n"))
+            .select(F.lit(name).alias("table_name"), rendering.whole_count(F.col("n")).alias("row_count"))
+            for name in catalog.names
+        ]
+    )
 
 
 def table_profile(df: DataFrame, contract: Contract) -> DataFrame:
@@ -90,8 +84,8 @@ def key_report(df: DataFrame, contract: Contract) -> DataFrame:
 def _missing_values(child: DataFrame, column: str, parent: DataFrame, parent_column: str) -> DataFrame:
     """Child values without a parent, each with its row count; null is no reference."""
     values = lookup.key_counts(child.select(F.col(f"`{column}`").alias("_value")), ["_value"])
-    parents = parent.select(F.col(f"`{parent_column}`").alias("_parent"))
-    return values.join(parents, F.col("_value") == F.col("_parent"), "left_anti")
+    values = storage.checkpointed(values)
+    return values.join(lookup.keys_found(values, ["_value"], parent, [parent_column]), "_value", "left_anti")
 
 
 def orphan_report(child: DataFrame, table: str, key: ForeignKey, parent: DataFrame) -> DataFrame:

@@ -23,11 +23,18 @@ def _number_filter(column: Column, field: T.StructField, text: str) -> Column:
     if number is None:
         raise ValueError(f"Filter value for {field.name} must be numeric.")
     if isinstance(field.dataType, kinds.FRACTIONAL_TYPES):
-        return column == F.lit(float(number)).cast(field.dataType)
+        try:
+            return column == F.lit(float(number)).cast(field.dataType)
+        except OverflowError:  # beyond every double
+            return F.lit(False)
     if isinstance(field.dataType, T.DecimalType):
         whole_digits = field.dataType.precision - field.dataType.scale
         exact = Decimal(text.strip()) if isinstance(number, float) else Decimal(number)
-        fits = exact == round(exact, field.dataType.scale) and abs(exact) < 10**whole_digits
+        if not exact.is_finite():
+            return F.lit(False)
+        digits, places = exact.as_tuple().digits, -exact.as_tuple().exponent
+        rest = digits[len(digits) - max(places - field.dataType.scale, 0) :]
+        fits = not any(rest) and abs(exact) < 10**whole_digits
         return column == F.lit(str(exact)).cast(field.dataType) if fits else F.lit(False)
     bits = parsing.INTEGER_BITS[type(field.dataType)]
     if number != int(number) or not -(2 ** (bits - 1)) <= number < 2 ** (bits - 1):

@@ -1,13 +1,6 @@
-"""The limits of pages, charts, seeding and batches."""
+"""Defaults of requests that leave a number open. None of them is a cap."""
 
 DEFAULT_POINTS = 120
-MAX_POINTS = 500
-MAX_LABEL_LENGTH = 80
-MAX_COUNTED_TABLES = 10
 DEFAULT_PAGE_SIZE = 25
-MAX_PAGE_SIZE = 200
-MAX_SORTS = 3
-MAX_FILTERS = 8
 DEFAULT_SEED_ROWS = 10
-KEY_POOL_SIZE = 5000
 INSERT_BATCH = 1000

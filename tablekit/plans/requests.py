@@ -16,6 +16,7 @@ CHART_TYPES = ("bar", "line")
 MODES = ("dimension", "time")
 AGGREGATIONS = ("count", "sum", "avg", "min", "max")
 GRAINS = ("hour", "day", "month")
+VOCABULARY = {"chart_type": CHART_TYPES, "mode": MODES, "aggregation": AGGREGATIONS}
 DEFAULT_GRAIN = "day"
 
 
@@ -85,9 +86,12 @@ def clamp_index(value: Any) -> int:
     return max(0, _whole(value) or 0)
 
 
-def clamp_size(value: Any, default: int, largest: int) -> int:
+def clamp_size(value: Any, default: int, largest: int | None = None) -> int:
+    """The number, at least 1; a caller that wants a largest one names it."""
     whole = _whole(value)
-    return default if whole is None else min(max(whole, 1), largest)
+    if whole is None:
+        return default
+    return max(whole, 1) if largest is None else min(max(whole, 1), largest)
 
 
 def _check_table(requested: Any, actual: str, purpose: str) -> None:
@@ -97,24 +101,27 @@ def _check_table(requested: Any, actual: str, purpose: str) -> None:
         raise ValueError(f"Invalid table name for {purpose}.")
 
 
-def resolve_page(request: PageRequest, table: str, schema: T.StructType) -> Page:
-    """Clamp numbers, keep the first sorts and filters, then drop unusable ones."""
+def resolve_page(
+    request: PageRequest, table: str, schema: T.StructType, largest_page: int | None = None
+) -> Page:
+    """Numbers brought into range; sorts and filters that can't be used are dropped.
+
+    All others count, however many. ``largest_page`` is for callers that bound pages.
+    """
     _check_table(request.table, table, "a table page")
     known = set(schema.names)
     sorts = [
-        sort
-        for sort in (request.sorts or [])[: limits.MAX_SORTS]
-        if sort.column in known and isinstance(sort.descending, bool)
+        sort for sort in request.sorts or [] if sort.column in known and isinstance(sort.descending, bool)
     ]
     kept = []
-    for item in (request.filters or [])[: limits.MAX_FILTERS]:
+    for item in request.filters or []:
         value = item.value.strip() if isinstance(item.value, str) else ""
         if item.column in known and value:
             kept.append(Filter(item.column, value))
     return Page(
         table=table,
         index=clamp_index(request.page_index),
-        size=clamp_size(request.page_size, limits.DEFAULT_PAGE_SIZE, limits.MAX_PAGE_SIZE),
+        size=clamp_size(request.page_size, limits.DEFAULT_PAGE_SIZE, largest_page),
         sorts=tuple(sorts),
         filters=tuple(kept),
     )
@@ -124,36 +131,36 @@ def _named(value: Any) -> str | None:
     return value if isinstance(value, str) and value.strip() else None
 
 
-def resolve_chart(request: ChartRequest, table: str, schema: T.StructType) -> Chart:
-    """Check a chart request; the first problem found is the one reported."""
+def _need(holds: bool, problem: str) -> None:
+    if not holds:
+        raise ValueError(problem)
+
+
+def resolve_chart(
+    request: ChartRequest, table: str, schema: T.StructType, most_points: int | None = None
+) -> Chart:
+    """A chart whose words, columns and kinds are all checked.
+
+    ``most_points`` is for callers that bound the number of points.
+    """
     _check_table(request.table, table, "a chart")
-    for value, allowed, problem in (
-        (request.chart_type, CHART_TYPES, "Unsupported chart type."),
-        (request.mode, MODES, "Unsupported chart mode."),
-        (request.aggregation, AGGREGATIONS, "Unsupported aggregation."),
-    ):
-        if value not in allowed:
-            raise ValueError(problem)
-
-    known = {f.name: kinds.kind_of(f.dataType) for f in schema.fields}
+    for what in ("chart_type", "mode", "aggregation"):
+        word = getattr(request, what)
+        _need(word in VOCABULARY[what], f"No such {what.replace('_', ' ')}: {word}")
+
+    kind_of = {f.name: kinds.kind_of(f.dataType) for f in schema.fields}
     metric = _named(request.metric)
-    if request.aggregation != "count" and known.get(metric) != kinds.NUMERIC:
-        raise ValueError(
-            f'Aggregation "{request.aggregation}" requires a numeric metric column.'
-        )
-    if metric is not None and metric not in known:
-        raise ValueError(f"Unknown metric column: {metric}")
-
-    limit = clamp_size(request.limit, limits.DEFAULT_POINTS, limits.MAX_POINTS)
-    if request.mode == "dimension":
-        bucket, grain = _named(request.dimension), None
-        if bucket not in known:
-            raise ValueError("A valid dimension column is required in dimension mode.")
-    else:
-        bucket = _named(request.time)
-        if bucket not in known:
-            raise ValueError("A valid time column is required in time mode.")
-        if known[bucket] != kinds.TEMPORAL:
-            raise ValueError("The time column must be temporal.")
+    if request.aggregation != "count":
+        measurable = kind_of.get(metric) == kinds.NUMERIC
+        _need(measurable, f"A numeric metric is needed for {request.aggregation}, not {metric}")
+    _need(metric is None or metric in kind_of, f"No such metric column: {metric}")
+
+    over_time = request.mode == "time"
+    bucket = _named(request.time if over_time else request.dimension)
+    _need(bucket in kind_of, f"No such {'time' if over_time else 'dimension'} column: {bucket}")
+    grain = None
+    if over_time:
+        _need(kind_of[bucket] == kinds.TEMPORAL, f"Column {bucket} holds no times")
         grain = request.grain if request.grain in GRAINS else DEFAULT_GRAIN
-    return Chart(table, request.aggregation, bucket, metric, grain, limit)
+    points = clamp_size(request.limit, limits.DEFAULT_POINTS, most_points)
+    return Chart(table, request.aggregation, bucket, metric, grain, points)

@@ -81,6 +81,7 @@ class _ContractedCatalog(Catalog):
     def select(self, names: list[str] | None) -> Catalog:
         if not names:
             return self
+        self.require(names)
         return _ContractedCatalog({n: o for n, o in self._openers.items() if n in set(names)})
 
 

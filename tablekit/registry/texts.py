@@ -88,6 +88,27 @@ def _csv_semicolon(spark: SparkSession, folder: str) -> DataFrame:
     return read.withColumn("delimiter", F.lit(layout.delimiter))
 
 
+def _csv_stray_quotes(spark: SparkSession, folder: str) -> DataFrame:
+    """Parts written with quotes inside bare cells; blocks are read side by side."""
+    out = storage.new_folder(spark, "csv")
+    part = _table(spark, folder, "part")
+    cells = part.select("p_partkey", F.concat(F.lit('5" '), "p_brand", F.lit(' "x')).alias("label"))
+    cells.write.option("quote", "\u0000").csv(out, header=True)
+    return read_csv_text(spark, out, multi_line=False).select("p_partkey", "label")
+
+
+def _copy_header_like_row(spark: SparkSession, folder: str) -> DataFrame:
+    """A data row that reads like the header of its file comes back as data."""
+    out = storage.new_folder(spark, "copy")
+    part = _table(spark, folder, "part").select(F.col("p_brand").alias("label"))
+    header = dump.copy_header("part", ["label"])
+    rows = part.unionByName(part.limit(1).select(F.lit(header).alias("label")))
+    dump.copy_lines(rows.coalesce(1)).write.text(f"{out}/rows")  # in the order of the union
+    framed = spark.range(2).select(F.lit(header).alias("line")).coalesce(1)
+    framed.write.text(f"{out}/framed")
+    return read_copy_text(spark, f"{out}/*", "part", part.schema)
+
+
 # --------------------------------------------------------------------- COPY
 
 
@@ -432,6 +453,11 @@ QUERIES = [
     Query("csv_semicolon_source", _csv_semicolon,
           f"""SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey,
   {sql_number("c_acctbal")} AS c_acctbal, c_mktsegment, ';' AS delimiter FROM customer"""),
+    Query("csv_stray_quote_source", _csv_stray_quotes,
+          """SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, '5" ' || p_brand || ' "x' AS label FROM part"""),
+    Query("copy_header_like_row", _copy_header_like_row,
+          """SELECT p_brand AS label FROM part
+  UNION ALL SELECT unnest(['COPY "part" ("label") FROM stdin;', 'COPY "part" ("label") FROM stdin;'])"""),
     Query("copy_lines", _copy_of("documents", "doc_id"),
           f"SELECT doc_id, {_sql_copy(DOCUMENT_TEXTS)} AS line FROM documents"),
     Query("copy_lines_numbers", _copy_of("lineitem"), f"SELECT {_sql_copy(LINEITEM_TEXTS)} AS line FROM lineitem"),

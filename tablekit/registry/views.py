@@ -25,8 +25,7 @@ WITH cut AS (
   ORDER BY {order} LIMIT {extra}
 ), ranked AS (
   SELECT row_number() OVER (ORDER BY {order}) AS rank, count(*) OVER () AS fetched,
-    CASE WHEN {label} IS NULL THEN '(null)'
-         WHEN length({label}) > 80 THEN left({label}, 77) || '...' ELSE {label} END AS x,
+    coalesce({label}, '(null)') AS x,
     CAST(value AS DOUBLE) AS y
   FROM cut
 ), placed AS (
@@ -298,9 +297,7 @@ def _lineitem_row_key_sql() -> str:
 
 def _counted_sql() -> str:
     return "\nUNION ALL\n".join(
-        f"SELECT '{name}' AS table_name, "
-        + (f"count(*) AS row_count FROM {name}" if i < 10 else "CAST(NULL AS BIGINT) AS row_count")
-        for i, name in enumerate(sorted(TABLES))
+        f"SELECT '{name}' AS table_name, count(*) AS row_count FROM {name}" for name in sorted(TABLES)
     )
 
 
@@ -338,7 +335,7 @@ QUERIES = [
     Query(
         "chart_max_by_day",
         _chart_of(ChartRequest("orders", "max", mode="time", metric="o_totalprice", time="o_orderdate", limit=9999)),
-        _chart_sql("orders", "o_orderdate", "max(o_totalprice)", 500, "day"),
+        _chart_sql("orders", "o_orderdate", "max(o_totalprice)", 9999, "day"),
     ),
     Query(
         "chart_min_by_month",
@@ -375,6 +372,14 @@ QUERIES = [
         _page_of(PageRequest("lineitem", 0, 200, filters=[Filter("l_suppkey", " 7.0 "), Filter("l_quantity", "2e1")])),
         f"""SELECT * FROM lineitem WHERE l_suppkey = 7 AND l_quantity = 20
   ORDER BY {_ascending(ALL_LINEITEM)} LIMIT 200""",
+    ),
+    Query(
+        "page_many_filters",
+        _page_of(PageRequest("lineitem", 0, 1000, filters=[
+            *[Filter("l_returnflag", value) for value in ("r", "R", "%", "_", " r ", "R%", "%r", "r")],
+            Filter("l_linestatus", "f"), Filter("l_quantity", "20")])),
+        f"""SELECT * FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F' AND l_quantity = 20
+  ORDER BY {_ascending(ALL_LINEITEM)} LIMIT 1000""",
     ),
     Query(
         "page_filter_text",

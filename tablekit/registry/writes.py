@@ -144,6 +144,17 @@ REJECT_LINES_SQL = f"""SELECT concat_ws(',', {", ".join(
 )}) AS line FROM ({REJECTS_SQL})"""
 
 
+def _import_duplicate_target(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts where the target holds every one of its keys three times."""
+    catalog = open_catalog(spark, folder)
+    target = _target_orders(catalog)
+    thrice = target.unionByName(target).unionByName(target)
+    checked = ingest.import_csv(
+        spark, write_faulty_files(spark, folder), catalog.contract("orders"), parents=catalog.table, target=thrice
+    )
+    return checked.metrics
+
+
 def _streamed(spark: SparkSession, folder: str) -> import_stream.ImportFolders:
     """The faulty files, taken two files at a time."""
     catalog = open_catalog(spark, folder)
@@ -353,7 +364,27 @@ def _append_rows(spark: SparkSession, folder: str) -> DataFrame:
         ).alias("values")
     )
     rows = mutate.insert_values(mutate.validate_rows(requests, declared), declared)
-    return mutate.append_rows(customer, rows)
+    return mutate.append_rows(customer, rows, declared)
+
+
+def _append_rows_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """Every customer inserted three times: under its own key, and twice under a new one."""
+    catalog = open_catalog(spark, folder)
+    customer, declared = catalog.table("customer"), catalog.contract("customer")
+    copies = [
+        customer.withColumn("round", F.lit(round_)).withColumn("c_custkey", F.col("c_custkey") + shift)
+        for round_, shift in ((1, 0), (2, 10_000_000), (3, 10_000_000))
+    ]
+    rows = reduce(DataFrame.unionByName, copies)
+    rows = rows.withColumn("c_name", F.concat("c_name", F.lit(" "), F.col("round").cast("string")))
+    return mutate.append_rows(customer, rows, declared, "round")
+
+
+APPEND_DUPLICATES_SQL = """
+SELECT * FROM customer
+UNION ALL
+SELECT c_custkey + 10000000, c_name || ' 2', c_nationkey, c_acctbal, c_mktsegment FROM customer
+"""
 
 
 APPEND_SQL = """
@@ -404,7 +435,7 @@ def _ids_of(df: DataFrame, column: str) -> DataFrame:
 
 
 def _seed_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """A synthetic order for every order, its customer from the pool of customers."""
+    """A synthetic order for every order, its customer from all customers."""
     catalog = open_catalog(spark, folder)
     ids = _ids_of(catalog.table("orders"), "o_orderkey")
     rows = generate.seed_rows(ids, catalog.contract("orders"), SEED, catalog.table)
@@ -412,7 +443,7 @@ def _seed_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _seed_rows_whole_pool(spark: SparkSession, folder: str) -> DataFrame:
-    """The same with all customers as the pool."""
+    """The same with the pool asked for by name."""
     catalog = open_catalog(spark, folder)
     ids = _ids_of(catalog.table("orders"), "o_orderkey")
     rows = generate.seed_rows(ids, catalog.contract("orders"), SEED, catalog.table, pool_limit=None)
@@ -437,7 +468,7 @@ drawn AS (SELECT row_id, c_custkey AS o_custkey FROM keyed, pool
 
 
 SEED_SQL = f"""
-WITH {_pooled(_seed_hash("o_custkey"), 5000)}
+WITH {_pooled(_seed_hash("o_custkey"), None)}
 SELECT o_orderkey AS row_id, {sql_hex(_seed_hash("o_orderkey"), 1, 15)} % 1001 AS o_orderkey, d.o_custkey,
   {sql_pick(("F", "O", "P"), _seed_hash("o_orderstatus"), 1)} AS o_orderstatus,
   CAST({sql_hex(_seed_hash("o_totalprice"), 1, 15)} % 1001 AS DOUBLE) AS o_totalprice,
@@ -497,94 +528,11 @@ def _seed_rules_sql() -> str:
     return "SELECT c_custkey AS row_id, " + ",\n  ".join(columns) + " FROM customer"
 
 
-def _flat_orders(spark: SparkSession, folder: str) -> DataFrame:
-    """A flat order for every order."""
-    return generate.flat_orders(_ids_of(open_catalog(spark, folder).table("orders"), "o_orderkey"), SEED)
-
-
-def _amount_sql(h: str, low: int, high: int) -> str:
-    return f"CAST(({low * 100} + {sql_hex(h, 1, 15)} % {(high - low) * 100 + 1}) / CAST(100 AS DOUBLE) AS DECIMAL(10, 2))"
-
-
-def _flat_hash(column: str) -> str:
-    return _seed_hash(column, "flat_orders")
-
-
-FLAT_SQL = f"""
-SELECT o_orderkey + 3000004 AS id, CAST(1 + {sql_hex(_flat_hash("user_id"), 1, 15)} % 6 AS INTEGER) AS user_id,
-  strftime(TIMESTAMP '2025-01-01 00:00:00' + {_seconds(_flat_hash("order_date"), generate.DATES_SECONDS)},
-    '%Y-%m-%d %H:%M:%S') AS order_date,
-  {sql_pick(generate.FLAT_STATUSES, _flat_hash("status"), 1)} AS status,
-  {_amount_sql(_flat_hash("total_amount"), 5, 1500)} AS total_amount
-FROM orders
-"""
-
-
-def _scale(catalog: Catalog) -> generate.Scale:
-    """Sizes of the generated tables, taken from the sizes of the given ones."""
-    size = {name: catalog.table(name).count() for name in ("customer", "part", "supplier", "nation", "orders")}
-    return generate.Scale(
-        users=size["customer"], brands=size["supplier"], categories=size["nation"], products=size["part"],
-        variants=3 * size["part"], warehouses=size["supplier"], orders=size["orders"],
-    )
-
-
-def _generated(spark: SparkSession, folder: str) -> Catalog:
-    return Catalog.of(generate.relational_dataset(spark, _scale(open_catalog(spark, folder)), SEED))
-
-
-def _relational_check(spark: SparkSession, folder: str) -> DataFrame:
-    """Orphans of every reference in the generated tables, with the child's rows."""
-    made = _generated(spark, folder)
-    reports = [
-        quality.orphan_report(made.table(table), table, key, made.table(key.ref_table))
-        for table, key in generate.RELATIONAL_REFERENCES
-    ]
-    sizes = [
-        made.table(name).agg(F.count(F.lit(1)).alias("row_count")).withColumn("table_name", F.lit(name))
-        for name in made.names
-    ]
-    return reduce(DataFrame.unionByName, reports).join(reduce(DataFrame.unionByName, sizes), "table_name")
-
-
-_SIZES = {
-    "addresses": "SELECT count(*) FROM customer",
-    "categories": "SELECT count(*) FROM nation",
-    "products": "SELECT count(*) FROM part",
-    "product_variants": "SELECT 3 * count(*) FROM part",
-    "orders": "SELECT count(*) FROM orders",
-    "order_items": "SELECT 3 * count(*) FROM orders",
-}
-RELATIONAL_CHECK_SQL = "\nUNION ALL\n".join(
-    f"""SELECT '{table}' AS table_name, '{k.column}' AS column_name, '{k.ref_table}.{k.ref_column}' AS reference,
-  CAST(0 AS BIGINT) AS orphan_values, CAST(0 AS BIGINT) AS orphan_rows,
-  CAST(({_SIZES[table]}) AS BIGINT) AS row_count"""
-    for table, k in generate.RELATIONAL_REFERENCES
-)
-
-
-def _relational_orders(spark: SparkSession, folder: str) -> DataFrame:
-    return _generated(spark, folder).table("orders")
-
-
-def _made_hash(column: str) -> str:
-    return _seed_hash(column, "orders", "id")
-
-
-RELATIONAL_ORDERS_SQL = f"""
-SELECT id, user_id, user_id AS shipping_address_id, total_amount, status, created_at FROM (
-  SELECT id, 1 + {sql_hex(_made_hash("user_id"), 1, 15)} % (SELECT count(*) FROM customer) AS user_id,
-    {_amount_sql(_made_hash("total_amount"), 20, 1000)} AS total_amount,
-    {sql_pick(generate.ORDER_STATUSES, _made_hash("status"), 1)} AS status,
-    TIMESTAMP '2025-01-01 00:00:00' + {_seconds(_made_hash("created_at"), generate.DATES_SECONDS)} AS created_at
-  FROM (SELECT unnest(range(1, (SELECT count(*) FROM orders) + 1)) AS id))
-"""
-
-
 QUERIES = [
     Query("import_good", lambda spark, folder: _imported(spark, folder).good, GOOD_SQL),
     Query("import_rejects", lambda spark, folder: _imported(spark, folder).rejects, REJECTS_SQL),
     Query("import_metrics", lambda spark, folder: _imported(spark, folder).metrics, METRICS_SQL),
+    Query("import_duplicate_target", _import_duplicate_target, METRICS_SQL),
     Query("reject_csv_lines",
           lambda spark, folder: ingest.reject_lines(_imported(spark, folder).rejects), REJECT_LINES_SQL),
     Query("import_stream", _import_stream, GOOD_SQL),
@@ -594,11 +542,9 @@ QUERIES = [
     Query("apply_updates", _apply_updates, APPLY_UPDATES_SQL),
     Query("unmatched_updates", _unmatched_updates, UNMATCHED_SQL),
     Query("append_rows", _append_rows, APPEND_SQL),
+    Query("append_rows_duplicates", _append_rows_duplicates, APPEND_DUPLICATES_SQL),
     Query("strict_parsing", _strict_parsing, STRICT_SQL),
     Query("seed_rows", _seed_rows, SEED_SQL),
     Query("seed_rows_whole_pool", _seed_rows_whole_pool, SEED_WHOLE_SQL),
     Query("seed_name_rules", _seed_rules, _seed_rules_sql()),
-    Query("flat_orders", _flat_orders, FLAT_SQL),
-    Query("relational_dataset_fk_check", _relational_check, RELATIONAL_CHECK_SQL),
-    Query("relational_orders", _relational_orders, RELATIONAL_ORDERS_SQL),
 ]

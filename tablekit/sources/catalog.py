@@ -53,6 +53,11 @@ class Catalog:
             self._opened[name] = self._openers[name]()
         return self._opened[name]
 
+    def require(self, names: list[str]) -> None:
+        unknown = sorted(set(names) - set(self._openers))
+        if unknown:
+            raise KeyError(f"Unknown tables: {', '.join(unknown)}")
+
     def contract(self, name: str) -> Contract:
         """Declared contract, or one that only knows the columns."""
         if name in self._contracts:
@@ -60,8 +65,9 @@ class Catalog:
         return Contract(name, self.table(name).schema)
 
     def select(self, names: list[str] | None) -> Catalog:
-        """Only the named tables; no names means all, unknown names are ignored."""
+        """Only the named tables; no names means all, an unknown name is an error."""
         if not names:
             return self
+        self.require(names)
         chosen = [name for name in self._openers if name in set(names)]
         return Catalog({name: self._openers[name] for name in chosen}, self._contracts)

@@ -15,8 +15,24 @@ def read_copy_text(
 ) -> DataFrame:
     """Rows of COPY data files, with or without their header and end lines.
 
-    No data line can equal the end line, because data doubles its backslashes.
+    Only the first line of a file can be its header; a data line that reads like it is
+    data. No data line can equal the end line, because data doubles its backslashes.
     """
-    frame = {copy_header(table, list(schema.names)), rendering.COPY_END}
-    lines = spark.read.text(path, lineSep="\n").withColumnRenamed("value", "line")
-    return copy_rows(lines.where(~F.col("line").isin(*frame)), schema)
+    header = copy_header(table, list(schema.names))
+    lines = spark.read.text(path, lineSep="\n").select(
+        F.col("value").alias("line"),
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_line"),
+    )
+    lines = lines.where(F.col("line") != rendering.COPY_END)
+    # One row for each file that has such a line; ids grow along a block.
+    first = lines.where("_block = 0").groupBy("_file").agg(F.min_by("line", "_line").alias("_top"))
+    headed = first.where(F.col("_top") == header).select("_file")
+    alike = lines.where((F.col("line") == header) & (F.col("_block") == 0))
+    # Of a headed file's lines that read like the header one goes; they are all the same.
+    counted = alike.groupBy("_file").agg(F.count(F.lit(1)).alias("_n")).join(headed, "_file")
+    rest = counted.where("_n > 1").select(F.explode(F.array_repeat(F.lit(header), F.col("_n").cast("int") - 1)).alias("line"))
+    kept = lines.where((F.col("line") != header) | (F.col("_block") != 0)).select("line")
+    unheaded = alike.join(headed, "_file", "left_anti").select("line")
+    return copy_rows(kept.unionByName(rest).unionByName(unheaded), schema)

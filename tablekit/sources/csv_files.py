@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import csv
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +13,6 @@ from pyspark.sql import types as T
 from tablekit.functions import rendering
 from tablekit.plans.naming import unique_file_names
 from tablekit.sources.catalog import Catalog
-from tablekit.sources.csv_records import csv_records
 
 # The delimiters that are told apart.
 COMMA = ","
@@ -21,7 +20,7 @@ SEMICOLON = ";"
 
 CORRUPT = "_corrupt_line"
 POSITION = ("_file", "_block", "_line")
-WHOLE_FILE_BYTES = 512 * 1024 * 1024
+TABLES_AT_ONCE = 4
 
 
 @dataclass(frozen=True)
@@ -63,7 +62,7 @@ def text_schema(layout: CsvLayout) -> T.StructType:
     return T.StructType([*fields, T.StructField(CORRUPT, T.StringType())])
 
 
-def cell_options(layout: CsvLayout) -> dict[str, str]:
+def csv_options(layout: CsvLayout, multi_line: bool = True) -> dict[str, str]:
     options = {
         "sep": layout.delimiter,
         "quote": '"',
@@ -71,70 +70,31 @@ def cell_options(layout: CsvLayout) -> dict[str, str]:
         "emptyValue": "",
         "mode": "PERMISSIVE",
         "columnNameOfCorruptRecord": CORRUPT,
-    }
-    if not layout.carriage_returns:
-        options["lineSep"] = "\n"  # keeps carriage returns inside quoted cells
-    return options
-
-
-def csv_options(layout: CsvLayout, multi_line: bool = True) -> dict[str, str]:
-    return {
-        **cell_options(layout),
         "header": "true",
         "enforceSchema": str(not layout.literal).lower(),
         "multiLine": str(multi_line).lower(),
     }
+    if not layout.carriage_returns:
+        options["lineSep"] = "\n"  # keeps carriage returns inside quoted cells
+    return options
 
 
 def read_csv_text(
-    spark: SparkSession,
-    path: str,
-    layout: CsvLayout | None = None,
-    multi_line: bool = True,
-    whole_file_bytes: int = WHOLE_FILE_BYTES,
+    spark: SparkSession, path: str, layout: CsvLayout | None = None, multi_line: bool = True
 ) -> DataFrame:
     """Every cell as text, the raw line of ragged rows, and the place in the input.
 
-    A file whose quoted cells may hold line breaks is read by one task up to
-    ``whole_file_bytes``, and in blocks beyond. ``multi_line=False`` is for files
-    without such breaks, whose blocks need no preparation.
+    Quoted cells may hold line breaks with ``multi_line``, which is one task for each
+    file; ``multi_line=False`` is for files without such breaks and splits them
+    anywhere. Both read a file of single lines alike.
     """
     layout = layout or sniff_csv(spark, path)
     if not layout.headers:
         raise ValueError(f"No CSV header in {path}")
-    if multi_line and _largest_file(spark, path) > whole_file_bytes:
-        return _read_in_blocks(spark, path, layout)
     reader = spark.read.options(**csv_options(layout, multi_line)).schema(text_schema(layout))
     return with_line(with_place(reader.csv(path), layout.headers))
 
 
-def _largest_file(spark: SparkSession, path: str) -> int:
-    """Bytes of the largest file, from the listing alone."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.agg(F.max("length")).first()[0] or 0
-
-
-def _read_in_blocks(spark: SparkSession, path: str, layout: CsvLayout) -> DataFrame:
-    records = csv_records(spark, path)
-    text = F.col("text")
-    if layout.carriage_returns:
-        text = F.regexp_replace(text, "\r$", "")
-    schema = text_schema(layout)
-    parsed = records.select(text.alias("text"), "first", *POSITION).where(F.length("text") > 0)
-    cells = parsed.select(
-        F.from_csv("text", schema.simpleString(), cell_options(layout)).alias("cells"), "first", *POSITION
-    )
-    if layout.literal:
-        same = [F.col("cells")[name] == name for name in layout.headers]
-        is_header = reduce(lambda a, b: a & b, same)
-        fault = F.raise_error(F.lit(f"A CSV file in {path} has another header."))
-        kept = F.when(~F.col("first"), True).when(is_header, False).otherwise(fault.cast("boolean"))
-    else:
-        kept = ~F.col("first")
-    flat = cells.where(kept).select("cells.*", *POSITION)
-    return flat.select(*_cells(layout.headers), CORRUPT, *POSITION)
-
-
 def _cells(headers: list[str]) -> list[Column]:
     """Empty cells as empty text; ragged rows keep what could be read of them."""
     whole = F.col(CORRUPT).isNull()
@@ -191,9 +151,14 @@ def write_csv(df: DataFrame, path: str, delimiter: str = COMMA) -> None:
     )
 
 
-def write_database(catalog: Catalog, out: str) -> dict[str, str]:
-    """One CSV folder per table under ``out``; returns table -> folder."""
+def write_database(catalog: Catalog, out: str, at_once: int = TABLES_AT_ONCE) -> dict[str, str]:
+    """One CSV folder per table under ``out``; returns table -> folder.
+
+    Writes don't depend on each other, so several run side by side.
+    """
     folders = dict(zip(catalog.names, unique_file_names(catalog.names, ".csv"), strict=True))
-    for name, folder in folders.items():
-        write_csv(catalog.table(name), f"{out}/{folder}")
+    with ThreadPoolExecutor(at_once) as pool:
+        jobs = [pool.submit(write_csv, catalog.table(n), f"{out}/{f}") for n, f in folders.items()]
+        for job in jobs:
+            job.result()
     return folders

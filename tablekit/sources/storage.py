@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,16 +12,14 @@ CHECKPOINT_SETTING = "spark.checkpoint.dir"
 def shared_folder(spark: SparkSession) -> str:
     """Folder that every executor reaches, as named by the session.
 
-    Only a local session without the setting gets a folder of its own.
+    A session that names none stages in a folder of its warehouse.
     """
     configured = spark.conf.get(CHECKPOINT_SETTING, None)
     if configured:
         return configured
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise ValueError(f"Set {CHECKPOINT_SETTING} to a folder all executors can reach.")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tablekit-"))
+        context.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir')}/_staged")
     return context.getCheckpointDir()
 
 

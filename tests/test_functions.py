@@ -176,6 +176,8 @@ def test_labels_and_counts(spark):
     df = spark.createDataFrame([(None,), ("x" * 80,), ("y" * 81,)], "text string")
     labels = [r[0] for r in df.select(rendering.chart_label(F.col("text"), 80)).collect()]
     assert labels == ["(null)", "x" * 80, "y" * 77 + "..."]
+    whole = [r[0] for r in df.select(rendering.chart_label(F.col("text"))).collect()]
+    assert len(whole[2]) > 80 and "..." not in whole[2]
     counts = spark.createDataFrame([(3.7,), (-1.0,), (float("nan"),), (None,)], "n double")
     assert [r[0] for r in counts.select(rendering.whole_count(F.col("n"))).collect()] == [3, None, None, None]
 

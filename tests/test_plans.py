@@ -34,24 +34,26 @@ USERS = (
 
 
 @pytest.mark.parametrize(("given", "index", "size"), [
-    (-4, 0, 1), (9999, 9999, 200), (None, 0, 25), (math.nan, 0, 25), (math.inf, 0, 25), (2.9, 2, 2), ("3", 0, 25),
+    (-4, 0, 1), (9999, 9999, 9999), (None, 0, 25), (math.nan, 0, 25), (math.inf, 0, 25), (2.9, 2, 2), ("3", 0, 25),
     (0, 0, 1), (True, 0, 25),
 ])
 def test_clamps(given, index, size):
     assert clamp_index(given) == index
-    assert clamp_size(given, 25, 200) == size
+    assert clamp_size(given, 25) == size
+    assert clamp_size(given, 25, 200) == min(size, 200)
 
 
-def test_page_keeps_first_entries_then_drops_unknown():
+def test_page_keeps_all_usable_entries():
     request = PageRequest(
         "users", -4, 9999,
         [Sort("nope"), Sort("email", True), Sort("id"), Sort("is_active")],
         [Filter("nope", "x"), Filter("email", "  a "), Filter("id", " "), *[Filter("id", "1")] * 8],
     )
     page = resolve_page(request, "users", USERS)
-    assert (page.index, page.size) == (0, 200)
-    assert page.sorts == (Sort("email", True), Sort("id"))
-    assert page.filters == (Filter("email", "a"), *[Filter("id", "1")] * 5)
+    assert (page.index, page.size) == (0, 9999)
+    assert page.sorts == (Sort("email", True), Sort("id"), Sort("is_active"))
+    assert page.filters == (Filter("email", "a"), *[Filter("id", "1")] * 8)
+    assert resolve_page(request, "users", USERS, largest_page=200).size == 200
 
 
 @pytest.mark.parametrize("name", ["orders", " ", None])
@@ -68,10 +70,10 @@ def test_page_for_another_table(name):
     ({"aggregation": "median"}, "aggregation"),
     ({"aggregation": "sum"}, "numeric metric"),
     ({"aggregation": "sum", "metric": "status"}, "numeric metric"),
-    ({"metric": "nope"}, "Unknown metric"),
+    ({"metric": "nope"}, "metric column"),
     ({"dimension": "nope"}, "dimension column"),
     ({"mode": "time"}, "time column"),
-    ({"mode": "time", "time": "status"}, "temporal"),
+    ({"mode": "time", "time": "status"}, "holds no times"),
 ])
 def test_chart_problems(changes, message):
     request = ChartRequest(**{"table": "orders", "aggregation": "count", "dimension": "status", **changes})
@@ -84,7 +86,7 @@ def test_chart_defaults():
         ChartRequest("orders", "sum", "time", metric="total", time="created_at", grain="week", limit=99999),
         "orders", ORDERS,
     )
-    assert (chart.grain, chart.limit, chart.bucket) == ("day", 500, "created_at")
+    assert (chart.grain, chart.limit, chart.bucket) == ("day", 99999, "created_at")
     counted = resolve_chart(ChartRequest("orders", "count", metric=" ", dimension="status"), "orders", ORDERS)
     assert (counted.metric, counted.limit, counted.grain) == (None, 120, None)
 
