@@ -134,6 +134,12 @@ def postings(rows: DataFrame, wanted: list[str]) -> DataFrame:
     return lowered.select("doc", F.explode(present).alias("trigram"))
 
 
+def _literals(rows: DataFrame, names: tuple[str, ...], values: list[tuple]) -> DataFrame:
+    """A small table of literals."""
+    entries = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row, strict=True)]) for row in values]
+    return rows.sparkSession.range(1).select(F.inline(F.array(*entries)))
+
+
 def candidates(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame | None:
     """Per document the kinds whose demands it meets, for rules that have demands."""
     terms, runs = [], []
@@ -146,9 +152,8 @@ def candidates(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame | None:
                 terms += [(t, rule.kind, r, s, len(choice)) for t in sorted(choice)]
     if not terms:
         return None
-    spark = rows.sparkSession
-    query = spark.createDataFrame(terms, "trigram string, kind string, run int, choice int, size int")
-    needed = spark.createDataFrame(runs, "kind string, runs int")
+    query = _literals(rows, ("trigram", "kind", "run", "choice", "size"), terms)
+    needed = _literals(rows, ("kind", "runs"), runs)
     posted = postings(rows, sorted({t[0] for t in terms})).distinct()
     # Both tables have a fixed size, a few rows for each rule.
     hits = posted.join(F.broadcast(query), "trigram").groupBy("doc", "kind", "run", "choice", "size").count()
