@@ -12,13 +12,14 @@ next, and hands on what is still tied:
    windows that chose it, its *span*. A suffix alone in its bucket leaves.
 2. The second digit is the whole span. Of equal spans, all but the first are repeats.
 3. Where a bucket has several spans, the first of each goes on to full depth: every
-   window of its span is a suffix of its own, dealt out by all its ``window`` bytes
-   (128 bits of fingerprint). Equal groups are exactly the repeated windows; all but
-   the first are repeats.
+   window of its span is a suffix of its own, ordered inside the bucket by all its
+   ``window`` bytes (with the digit, 112 bits of fingerprint). Equal groups are exactly
+   the repeated windows; all but the first are repeats.
 
 Before each exchange a task settles equal spans and windows among its own rows, so a
 passage that a third of all documents share is a row per task. A first digit with many
-different spans in one task skips pass 2 there and tells the other tasks so.
+different spans in one task skips pass 2 there and tells the other tasks so; in pass 3
+its windows are dealt out one by one, by all their bytes.
 
 Null texts are empty. A null id sorts before all others. Rows that share an id are
 ordered by a tag of their text; equal rows count as one document. Other columns are not
@@ -41,18 +42,25 @@ DIGIT = 40
 SPANS_PER_DIGIT = 32
 CHUNK_ROWS = 1 << 20
 
-OPEN, WITNESS, REPEAT, DEEPER = 0, 1, 2, 3
+OPEN, WITNESS, REPEAT, DEEPER, CROWDED = 0, 1, 2, 3, 4
 PLACE_BITS = 23
 
-SPAN_FIELDS = "digit long, span long, doc long, tag long, pos int, low int, high int, flag byte"
-SPANS = pa.schema(
-    [("digit", pa.int64()), ("span", pa.int64()), ("doc", pa.int64()), ("tag", pa.int64())]
-    + [("pos", pa.int32()), ("low", pa.int32()), ("high", pa.int32()), ("flag", pa.int8())]
+# Spans travel in columns, a row for each bucket of a task, at half the bytes of rows.
+# Digits and spans are 48 bits each: two low halves, and the high quarters of both.
+SPAN_COLUMNS = {
+    "digit": pa.int32(), "span": pa.int32(), "high": pa.int32(), "doc": pa.int64(), "tag": pa.int32(),
+    "pos": pa.int32(), "flag": pa.int8(),
+}
+SPAN_FIELDS = (
+    "bucket int, digit array<int>, span array<int>, high array<int>, doc array<long>, tag array<int>, "
+    "pos array<int>, flag array<byte>"
 )
-DEEP_FIELDS = "key long, key2 long, doc long, tag long, low int, high int, flag byte"
+BUCKETS_PER_PARTITION = 4
+FULL = np.uint64((1 << 48) - 1)
+DEEP_FIELDS = "key long, doc long, tag long, low int, high int, prints array<int>, more array<short>"
 DEEP = pa.schema(
-    [("key", pa.int64()), ("key2", pa.int64()), ("doc", pa.int64()), ("tag", pa.int64())]
-    + [("low", pa.int32()), ("high", pa.int32()), ("flag", pa.int8())]
+    [("key", pa.int64()), ("doc", pa.int64()), ("tag", pa.int64()), ("low", pa.int32())]
+    + [("high", pa.int32()), ("prints", pa.list_(pa.int32())), ("more", pa.list_(pa.int16()))]
 )
 
 
@@ -110,24 +118,27 @@ def _wide_choice(prints: np.ndarray, width: int) -> np.ndarray:
 
 
 def _settled(rows: dict[str, np.ndarray], *keys: str) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """Rows by the keys, and whether each opens a new group of the leading two.
+    """The rows, and whether each is the first of its group of equal leading two keys.
 
-    Rows with the place of their group's first are that row again and are left out.
+    Rows with the place of their group's first are that row again and are left out. The
+    others keep their order, which compresses better than that of their fingerprints.
     """
     order = np.lexsort([rows[k] for k in keys[::-1]])
-    rows = {k: v[order] for k, v in rows.items()}
+    ordered = {k: rows[k][order] for k in keys}
     new = np.ones(len(order), bool)
-    new[1:] = np.any([np.diff(rows[k]) != 0 for k in keys[:2]], axis=0)
+    new[1:] = np.any([np.diff(ordered[k]) != 0 for k in keys[:2]], axis=0)
     first = np.flatnonzero(new)[np.cumsum(new) - 1]
-    keep = new | np.any([rows[k] != rows[k][first] for k in keys[2:]], axis=0)
-    return {k: v[keep] for k, v in rows.items()}, new[keep]
+    other = np.any([ordered[k] != ordered[k][first] for k in keys[2:]], axis=0)
+    is_first, keep = np.zeros(len(order), bool), np.zeros(len(order), bool)
+    is_first[order], keep[order] = new, new | other
+    return {k: v[keep] for k, v in rows.items()}, is_first[keep]
 
 
 class Rows:
     """Rows of a task, settled among themselves before they leave it."""
 
-    def __init__(self, schema: pa.Schema, settle, limit: int = CHUNK_ROWS) -> None:
-        self.schema, self.settle, self.limit = schema, settle, limit
+    def __init__(self, settle, limit: int = CHUNK_ROWS) -> None:
+        self.settle, self.limit = settle, limit
         self.parts: list[dict[str, np.ndarray]] = []
         self.size = 0
 
@@ -138,45 +149,91 @@ class Rows:
             yield from self.flush()
 
     def flush(self) -> Iterator[pa.RecordBatch]:
-        if not self.size:
-            return
-        rows = {k: np.concatenate([p[k] for p in self.parts]) for k in self.parts[0]}
-        self.parts, self.size = [], 0
-        rows = self.settle(rows)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(rows[f.name]).cast(f.type) for f in self.schema], schema=self.schema
-        )
+        if self.size:
+            rows = {k: np.concatenate([p[k] for p in self.parts]) for k in self.parts[0]}
+            self.parts, self.size = [], 0
+            yield self.settle(rows)
 
 
-def settle_spans(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+def settle_spans(rows: dict[str, np.ndarray], buckets: int) -> pa.RecordBatch:
     rows, new = _settled(rows, "digit", "span", "doc", "tag", "pos")
     flag = np.where(new, OPEN, REPEAT)
-    digit = rows["digit"]
-    bucket = np.cumsum(np.r_[True, digit[1:] != digit[:-1]]) - 1
-    spans = np.bincount(bucket, weights=new)[bucket]
-    crowded = new & (spans > SPANS_PER_DIGIT)
-    flag[crowded] = DEEPER
+    at = np.flatnonzero(new)
+    at = at[np.argsort(rows["digit"][at], kind="stable")]
+    digits = rows["digit"][at]
+    start = np.searchsorted(digits, digits)
+    crowded = np.searchsorted(digits, digits, "right") - start > SPANS_PER_DIGIT
+    flag[at[crowded]] = CROWDED
     rows["flag"] = flag
     # Two witnesses with different spans show every other task that the bucket is shared.
-    at = np.flatnonzero(crowded)
-    number = np.arange(len(at)) - np.searchsorted(bucket[at], bucket[at])
-    sent = at[number < 2]
+    sent = at[crowded & (np.arange(len(at)) - start < 2)]
     witness = {k: v[sent] for k, v in rows.items()}
     witness["flag"] = np.full(len(sent), WITNESS)
-    return {k: np.concatenate([v, witness[k]]) for k, v in rows.items()}
-
-
-def settle_windows(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    rows, new = _settled(rows, "key", "key2", "doc", "tag", "low")
-    rows["flag"] = np.where(new & (rows["flag"] != REPEAT), OPEN, REPEAT)
-    return rows
+    rows = {k: np.concatenate([v, witness[k]]) for k, v in rows.items()}
+    # What is settled travels anywhere, not to the bucket of a frequent digit.
+    passing = np.isin(rows["flag"], (REPEAT, CROWDED))
+    spread = texts.mix((rows["digit"] ^ rows["pos"] ^ (rows["doc"] << 20)).view(np.uint64)) & FULL
+    digit = np.where(passing, spread, rows["digit"].view(np.uint64))
+    span = rows["span"].view(np.uint64)
+    bucket = (digit % np.uint64(buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    present, first = np.unique(bucket[order], return_index=True)
+    offsets = pa.array(np.append(first, len(order)), pa.int32())
+    rows["high"] = _low_half(digit >> np.uint64(32) << np.uint64(16) | span >> np.uint64(32))
+    rows["digit"], rows["span"] = _low_half(digit), _low_half(span)
+    columns = [
+        pa.ListArray.from_arrays(offsets, pa.array(rows[name][order]).cast(kind))
+        for name, kind in SPAN_COLUMNS.items()
+    ]
+    return pa.RecordBatch.from_arrays([pa.array(present, pa.int32()), *columns], ["bucket", *SPAN_COLUMNS])
+
+
+def _low_half(values: np.ndarray) -> np.ndarray:
+    return (values & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+
+
+def settle_windows(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """Runs of neighbouring windows: open ones of a span with their fingerprints, and
+    known repeats without."""
+    rows, new = _settled(rows, "key", "print", "doc", "tag", "low")
+    open_ = new & ~rows["repeat"]
+    cut = np.ones(len(open_) + 1, bool)
+    same = rows["low"][1:] == rows["high"][:-1] + 1
+    for column in ("doc", "tag"):
+        same &= rows[column][1:] == rows[column][:-1]
+    both_open = open_[1:] & open_[:-1] & (rows["span"][1:] == rows["span"][:-1]) & ~rows["crowded"][1:]
+    cut[1:-1] = ~(same & (both_open | ~open_[1:] & ~open_[:-1]))
+    first = np.flatnonzero(cut[:-1])
+    last = np.flatnonzero(cut[1:])
+    is_open = open_[first]
+    lengths = np.where(is_open, last - first + 1, 0)
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    key, doc, tag = rows["key"][first], rows["doc"][first], rows["tag"][first]
+    crowded = rows["crowded"][first]
+    alone = texts.mix(rows["print"][first].view(np.uint64) ^ key.view(np.uint64))
+    key = np.where(is_open & ~crowded, key, texts.signed(alone))
+    prints = rows["print"][open_].view(np.uint64)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(key),
+            pa.array(doc),
+            pa.array(tag),
+            pa.array(rows["low"][first].astype(np.int32)),
+            pa.array(rows["high"][last].astype(np.int32)),
+            pa.ListArray.from_arrays(offsets, pa.array(_low_half(prints))),
+            pa.ListArray.from_arrays(
+                offsets, pa.array((prints >> np.uint64(48)).astype(np.uint16).view(np.int16))
+            ),
+        ],
+        schema=DEEP,
+    )
 
 
-def _span_map(window: int):
+def _span_map(window: int, buckets: int):
     digit = digit_of(window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = Rows(SPANS, settle_spans)
+        rows = Rows(lambda r: settle_spans(r, buckets))
         for batch in batches:
             ids = texts.numbers(batch.column(0))
             for block in texts.blocks(batch.column(1)):
@@ -186,13 +243,11 @@ def _span_map(window: int):
                 span = texts.ranges(block.sums(1), low, high + window)
                 span ^= texts.mix((place - low).astype(np.uint64))
                 yield from rows.add(
-                    digit=texts.signed(texts.ranges(block.sums(), place, place + digit)),
-                    span=texts.signed(span),
+                    digit=texts.signed(texts.ranges(block.sums(), place, place + digit) & FULL),
+                    span=texts.signed(span & FULL),
                     doc=ids[block.first + row],
                     tag=block.tags()[row],
                     pos=place - base,
-                    low=low - base,
-                    high=high - base,
                 )
         yield from rows.flush()
 
@@ -200,38 +255,46 @@ def _span_map(window: int):
 
 
 def _deep_map(window: int):
+    digit = digit_of(window)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = Rows(DEEP, settle_windows)
+        rows = Rows(settle_windows)
         for batch in batches:
             ids = texts.numbers(batch.column(0))
-            spans = batch.column(2).to_pylist()
+            offsets, spans = texts.lists_of(batch.column(2))
             for block in texts.blocks(batch.column(1)):
                 doc, tag = ids[block.first : block.first + block.rows], block.tags()
-                deep: list[tuple[int, int, int]] = []
-                repeats: list[tuple[int, int, int]] = []
-                for row in range(block.rows):
-                    for s in spans[block.first + row]:
-                        if s["tag"] == tag[row]:
-                            (deep if s["flag"] == DEEPER else repeats).append((row, s["low"], s["high"]))
-                if repeats:
-                    row, low, high = np.array(repeats, np.int64).T
-                    key = texts.signed(texts.mix((low + block.offsets[row]).astype(np.uint64)))
-                    yield from rows.add(
-                        key=key, key2=doc[row], doc=doc[row], tag=tag[row], low=low, high=high,
-                        flag=np.full(len(row), REPEAT),
-                    )
-                if deep:
-                    row, low, high = np.array(deep, np.int64).T
-                    count = high - low + 1
-                    of = np.repeat(np.arange(len(row)), count)
-                    low = low[of] + np.arange(len(of)) - (np.cumsum(count) - count)[of]
-                    row = row[of]
-                    start = block.offsets[row] + low
-                    yield from rows.add(
-                        key=texts.signed(texts.ranges(block.sums(), start, start + window)),
-                        key2=texts.signed(texts.ranges(block.sums(1), start, start + window)),
-                        doc=doc[row], tag=tag[row], low=low, high=low, flag=np.full(len(row), OPEN),
-                    )
+                own = spans[offsets[block.first] : offsets[block.first + block.rows]]
+                row = texts.rows_of(offsets[block.first : block.first + block.rows + 1])
+                place, low, high = synchronised(block, window, digit)
+                # Spans are named by their place; those of another text of this id are not here.
+                asked = block.offsets[row] + ((own >> 2) & 0x7FFFFFFF)
+                at = np.minimum(np.searchsorted(place, asked), max(len(place) - 1, 0))
+                mine = (own >> 33 & 0x7FFFFFFF) == tag[row]
+                mine &= (place[at] == asked) if len(place) else False
+                order = np.flatnonzero(mine)[np.argsort(asked[mine])]
+                row, at, flag = row[order], at[order], (own[order] & 3) + REPEAT
+                base = block.offsets[row]
+                pos, low, high = place[at] - base, low[at] - base, high[at] - base
+                key = texts.ranges(block.sums(), base + pos, base + pos + digit)
+                # A repeated span is one window here, with its last window beside it.
+                count = np.where(flag == REPEAT, 1, high - low + 1)
+                of = np.repeat(np.arange(len(row)), count)
+                start = low[of] + np.arange(len(of)) - (np.cumsum(count) - count)[of]
+                repeat = flag[of] == REPEAT
+                begin = base[of] + start
+                prints = texts.ranges(block.sums(1), begin, begin + window)
+                yield from rows.add(
+                    key=texts.signed(np.where(repeat, texts.mix(of.astype(np.uint64)), key[of])),
+                    print=texts.signed(prints),
+                    doc=doc[row[of]],
+                    tag=tag[row[of]],
+                    low=start,
+                    high=np.where(repeat, high[of], start),
+                    span=of,
+                    repeat=repeat,
+                    crowded=flag[of] == CROWDED,
+                )
         yield from rows.flush()
 
     return run
@@ -276,38 +339,52 @@ def _apply_map(window: int):
 def tied_spans(spans: DataFrame) -> DataFrame:
     """Passes 1 and 2: per document the spans that repeat or go deeper."""
     flag = F.col("flag")
-    passing = flag.isin(REPEAT, DEEPER)
-    digit = F.when(passing, F.xxhash64("doc", "pos", "digit")).otherwise(F.col("digit"))
-    bucket = Window.partitionBy("digit")
+    passing = flag.isin(REPEAT, CROWDED)
+    columns = F.inline(F.arrays_zip(*SPAN_COLUMNS))
+    bucket = Window.partitionBy("bucket", "digit")
     ordered = bucket.orderBy("span", F.when(flag == OPEN, 0).otherwise(1), "doc", "tag", "pos")
-    place = F.struct("doc", "tag", "pos")
-    found = spans.withColumn("digit", digit).withColumns(
+    here = F.struct("doc", "tag", "pos")
+    quarter = lambda c: F.shiftleft(c.cast("long"), 32)
+    digit = quarter(F.shiftrightunsigned("high", 16)).bitwiseOR(F.col("digit").bitwiseAND(F.lit(0xFFFFFFFF)))
+    span = quarter(F.col("high").bitwiseAND(F.lit(0xFFFF))).bitwiseOR(F.col("span").bitwiseAND(F.lit(0xFFFFFFFF)))
+    rows = spans.repartition("bucket").select("bucket", columns)
+    found = rows.withColumns({"digit": digit, "span": span}).withColumns(
         {
-            "_before": F.lag("span").over(ordered),
-            "_place": F.lag(place).over(ordered),
+            "_span": F.lag("span").over(ordered),
+            "_here": F.lag(here).over(ordered),
             "_least": F.min("span").over(bucket),
             "_most": F.max("span").over(bucket),
+            "_crowded": F.max(flag == WITNESS).over(bucket),
         }
     )
-    same = F.coalesce(F.col("_before") == F.col("span"), F.lit(False))
-    again = same & (F.col("_place") != place)
     state = (
         F.when(passing, flag)
         .when(flag == WITNESS, F.lit(None))
-        .when(same & ~again, F.lit(None))
-        .when(again, F.lit(REPEAT))
+        .when((F.col("_span") == F.col("span")) & (F.col("_here") == here), F.lit(None))
+        .when(F.col("_span") == F.col("span"), F.lit(REPEAT))
+        .when(F.col("_crowded"), F.lit(CROWDED))
         .when(F.col("_least") != F.col("_most"), F.lit(DEEPER))
     )
-    found = found.withColumn("flag", state.cast("byte")).where("flag IS NOT NULL")
-    return found.groupBy("doc").agg(F.collect_list(F.struct("tag", "low", "high", "flag")).alias("spans"))
+    found = found.withColumn("state", state.cast("long")).where("state IS NOT NULL")
+    # Tag, place and state of a span in one number.
+    packed = F.shiftleft(F.col("tag").cast("long"), 33).bitwiseOR(F.shiftleft(F.col("pos").cast("long"), 2))
+    return found.groupBy("doc").agg(F.collect_list(packed.bitwiseOR(F.col("state") - REPEAT)).alias("spans"))
 
 
 def repeated_windows(deep: DataFrame) -> DataFrame:
     """Pass 3: per document the windows, or runs of windows, that stand earlier too."""
-    group = Window.partitionBy("key", "key2").orderBy("doc", "tag", "low")
-    place = F.struct("doc", "tag", "low")
-    found = deep.withColumn("_first", F.first(place).over(group))
-    found = found.where((F.col("flag") == REPEAT) | (F.col("_first") != place))
+    known = F.size("prints") == 0
+    windows = deep.repartition("key").select(
+        "key", "doc", "tag", "low", "high", known.alias("known"),
+        F.posexplode_outer(F.arrays_zip("prints", "more")).alias("at", "print"),
+    )
+    low = F.when(F.col("known"), F.col("low")).otherwise(F.col("low") + F.col("at"))
+    high = F.when(F.col("known"), F.col("high")).otherwise(low)
+    windows = windows.select("key", "print", "doc", "tag", low.alias("low"), high.alias("high"), "known")
+    here = F.struct("doc", "tag", "low")
+    group = Window.partitionBy("key", "print").orderBy("doc", "tag", "low")
+    found = windows.withColumn("_first", F.first(here).over(group))
+    found = found.where(F.col("known") | (F.col("_first") != here))
     return found.groupBy("doc").agg(F.collect_list(F.struct("tag", "low", "high")).alias("gone"))
 
 
@@ -318,7 +395,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     smaller document, or before it in the same one.
     """
     rows = tables.keyed(docs)
-    spans = tied_spans(rows.mapInArrow(_span_map(window), SPAN_FIELDS))
+    buckets = BUCKETS_PER_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spans = tied_spans(rows.mapInArrow(_span_map(window, buckets), SPAN_FIELDS))
     tied = rows.join(spans, "doc").select("doc", "text", "spans")
     gone = repeated_windows(tied.mapInArrow(_deep_map(window), DEEP_FIELDS))
     applied = rows.join(gone, "doc", "left").select("doc", "text", "gone")
