@@ -389,7 +389,7 @@ SELECT {_sql_copy([
 FROM (SELECT *, {sql_hash((str(SEED), "conversations", "role"), "role")} AS h FROM conversations)
 """
 
-MANIFEST_TABLES = ["conversations", "customer", "orders", "lineitem", "no_such_table"]
+MANIFEST_TABLES = ["conversations", "customer", "orders", "lineitem"]
 
 
 def _manifest(spark: SparkSession, folder: str) -> DataFrame:
