@@ -13,16 +13,17 @@ def components(edges: DataFrame) -> DataFrame:
 
     Every node points to the smallest node it knows. A round joins pointers along the
     edges, takes the smallest, and then follows pointers once more, so that chains halve.
-    Each round is checkpointed; rounds end when no pointer moves. The minima are partial
+    Each round is written and read again; rounds end when no pointer moves. The minima are partial
     before every shuffle, so a node with many edges is a row per task.
     """
-    both = tables.checkpointed(
+    both = tables.staged(
         edges.select(F.col("a").alias("doc"), F.col("b").alias("other"))
         .unionByName(edges.select(F.col("b").alias("doc"), F.col("a").alias("other")))
-        .distinct()
+        .distinct(),
+        "edges",
     )
     points = both.groupBy("doc").agg(F.min("other").alias("other"))
-    points = tables.checkpointed(points.select("doc", F.least("doc", "other").alias("component")))
+    points = tables.staged(points.select("doc", F.least("doc", "other").alias("component")), "points")
     while True:
         far = points.select(F.col("doc").alias("other"), F.col("component").alias("near"))
         offered = both.join(far, "other").groupBy("doc").agg(F.min("near").alias("near"))
@@ -33,8 +34,8 @@ def components(edges: DataFrame) -> DataFrame:
         moved = lower.join(jump, "component", "left").select(
             "doc", F.least("component", F.coalesce("further", "component")).alias("component"), "old"
         )
-        moved = tables.checkpointed(moved)
-        changed = moved.where(F.col("component") != F.col("old")).limit(1).count()
+        moves = F.count_if(F.col("component") != F.col("old"))
+        moved, seen = tables.staged_counting(moved, "points", moves=moves)
         points = moved.select("doc", "component")
-        if not changed:
+        if not seen["moves"]:
             return points

@@ -7,8 +7,8 @@
    all documents. Neighbouring bins form bands; documents with an equal band share a
    bucket.
 3. Each bucket gives star-shaped edges: one centre against all others. Edges are
-   confirmed on full sets, one edge of each document at a time, and edges whose ends have
-   been joined meanwhile are dropped. Buckets whose members are not all joined then go on
+   confirmed on full sets: first one edge of each document, then those whose ends have
+   not been joined by it. Buckets whose members are not all joined then go on
    with twice as many centres among those that have been none, until all are joined or
    have been centres. So a bucket of copies costs one star, and no pair that shares a
    bucket is left out, unless both are known to be joined already.
@@ -127,33 +127,48 @@ def _long(members: bytes) -> np.ndarray:
     return wide.view(">u8").ravel().astype(np.uint64)
 
 
+SETS = "center long, lot int, member int, node long, prints binary"
+LOT = 500
+MAX_BROADCAST_ENDS = 200_000
+
+
 def _sets(size: int):
+    """The sets of edges' ends, each beside its centre."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in texts.blocks(batch.column(1)):
+            for block in texts.blocks(batch.column(4)):
                 prints, first = shingle_sets(block, size)
+                own = [c.slice(block.first, block.rows) for c in batch.columns[:4]]
+                sets = [_short(prints[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(block.first, block.rows),
-                        pa.array(
-                            [_short(prints[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary()
-                        ),
-                    ],
-                    ["node", "members"],
+                    [*own, pa.array(sets, pa.binary())], ["center", "lot", "member", "node", "prints"]
                 )
 
     return run
 
 
 def _confirmed(percent: int):
+    """Links of each lot, whose centre comes before its members."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, centers = None, []
         for batch in batches:
-            keep = []
-            for one, two in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = _long(one.as_py()), _long(two.as_py())
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(100 * both >= percent * (len(a) + len(b) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
+            links: list[tuple[int, int]] = []
+            for center, lot, member, node, prints in zip(*batch.columns, strict=True):
+                center, lot, own = center.as_py(), lot.as_py(), _long(prints.as_py())
+                if (center, lot) != current:
+                    current, centers = (center, lot), []
+                if not member.as_py():
+                    centers.append(own)
+                    continue
+                for other in centers:
+                    both = len(np.intersect1d(own, other, assume_unique=True))
+                    if 100 * both >= percent * (len(own) + len(other) - both):
+                        links.append((center, node.as_py()))
+                        break
+            ends = (pa.array([x[k] for x in links], pa.int64()) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([*ends], ["a", "b"])
 
     return run
 
@@ -180,42 +195,72 @@ def _with_components(df: DataFrame, node: str, joined: DataFrame | None, name: s
     return df.join(known, node, "left").withColumn(name, F.coalesce("_known", node)).drop("_known")
 
 
-def _confirm(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    one = sets.select(F.col("node").alias("a"), F.col("members").alias("one"))
-    two = sets.select(F.col("node").alias("b"), F.col("members").alias("two"))
-    both = edges.join(two, "b").join(one, "a").select("a", "b", "one", "two")
-    return both.mapInArrow(_confirmed(percent), "a long, b long")
+def _confirm(rows: DataFrame, edges: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Those edges (a, b) whose full sets are similar.
+
+    The sets travel once, to the centre ``a``. A centre with many members is split into
+    lots of about ``LOT`` of them, each with a copy of the centre's set.
+    """
+    sizes = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.select("a", F.ceil(F.col("n") / LOT).cast("int").alias("lots"))
+    lot = F.pmod(F.xxhash64("b"), F.col("lots")).cast("int")
+    members = edges.join(sizes, "a").select(F.col("a").alias("center"), lot.alias("lot"), F.lit(1).alias("member"), F.col("b").alias("doc"))
+    lots = F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot")
+    centers = sizes.select(F.col("a").alias("center"), lots, F.lit(0).alias("member"), F.col("a").alias("doc"))
+    ends = _small(members.unionByName(centers), "ends")
+    asked = rows.join(ends, "doc").select("center", "lot", "member", "doc", "text")
+    sets = asked.mapInArrow(_sets(shingle), SETS)
+    dealt = sets.repartition("center", "lot").sortWithinPartitions("center", "lot", "member")
+    return dealt.mapInArrow(_confirmed(percent), "a long, b long").distinct()
+
+
+def _small(df: DataFrame, purpose: str) -> DataFrame:
+    """The rows as a written table, to be broadcast where counting shows that they are few."""
+    df, seen = tables.staged_counting(df, purpose, n=F.count(F.lit(1)))
+    return F.broadcast(df) if seen["n"] <= MAX_BROADCAST_ENDS else df
+
+
+def _candidates(rows: DataFrame, live: DataFrame) -> DataFrame:
+    """Texts of documents that share a bucket, written once for all turns."""
+    nodes = _small(live.select(F.col("node").alias("doc")).distinct(), "nodes")
+    return tables.staged(rows.join(nodes, "doc", "left_semi"), "candidates")
 
 
 def confirmed_links(rows: DataFrame, members: DataFrame, shingle: int, percent: int) -> DataFrame | None:
     """Components (doc, component) of all nodes that share a bucket with a similar one."""
-    sets = links = joined = tested = None
+    links = joined = tested = None
     turn = 0
     while True:
         live = _with_components(members, "node", joined)
         span = live.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        live = tables.staged(live.join(span.where("low <> high").select("bucket"), "bucket"), "buckets")
-        if live.isEmpty():
+        live = live.join(span.where("low <> high").select("bucket"), "bucket")
+        live, seen = tables.staged_counting(live, "buckets", n=F.count(F.lit(1)))
+        if not seen["n"]:
             return joined
-        if sets is None:
-            nodes = live.select(F.col("node").alias("doc")).distinct()
-            sets = tables.staged(rows.join(nodes, "doc").select("doc", "text").mapInArrow(_sets(shingle), "node long, members binary"), "sets")
+        if turn == 0:
+            rows = _candidates(rows, live)
         centers, pending = _stars(live, turn, percent)
         members = live.join(centers, ["bucket", "node"], "left_anti").select("bucket", "node", "n")
         if tested is not None:
             pending = pending.join(tested, ["a", "b"], "left_anti")
-        pending = tables.staged(pending, "pending")
-        while not pending.isEmpty():
-            now = pending.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-            now = tables.staged(now, "edges")
+        pending, seen = tables.staged_counting(pending, "pending", n=F.count(F.lit(1)))
+        # First an edge for each document; most ends are joined then, and the rest follows.
+        for first in (True, False):
+            if not seen["n"]:
+                break
+            now = pending
+            if first:
+                now = tables.staged(pending.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "edges")
             tested = now if tested is None else tested.unionByName(now)
-            found = tables.staged(_confirm(now, sets, percent), "links")
-            if not found.isEmpty():
+            found, new = tables.staged_counting(_confirm(rows, now, shingle, percent), "links", n=F.count(F.lit(1)))
+            if new["n"]:
                 links = found if links is None else links.unionByName(found)
                 joined = components(links)
-            pending = pending.join(now, ["a", "b"], "left_anti")
-            pending = _with_components(_with_components(pending, "a", joined, "ca"), "b", joined, "cb")
-            pending = tables.staged(pending.where("ca <> cb").select("a", "b"), "pending")
+            if first:
+                pending = pending.join(now, ["a", "b"], "left_anti")
+                pending = _with_components(_with_components(pending, "a", joined, "ca"), "b", joined, "cb")
+                pending = pending.where("ca <> cb").select("a", "b")
+                pending, seen = tables.staged_counting(pending, "pending", n=F.count(F.lit(1)))
         turn += 1
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # A null document id sorts before every other and stands as this number inside.
@@ -47,9 +47,8 @@ def staged(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows as a reliable checkpoint, which goes with its last reference."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+def staged_counting(df: DataFrame, purpose: str, **counts: Column) -> tuple[DataFrame, dict]:
+    """The rows as a written table, and aggregates of them seen while they were written."""
+    seen = Observation()
+    out = staged(df.observe(seen, *[c.alias(n) for n, c in counts.items()]), purpose)
+    return out, seen.get
