@@ -102,6 +102,13 @@ def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.cumsum(new) - 1
 
 
+def _flagged(rows: dict[str, np.ndarray], settled: np.ndarray) -> dict[str, np.ndarray]:
+    """Settled rows get a fingerprint of their own, so that they gather nowhere."""
+    own = (rows["key"] ^ (rows["doc"] << 24) ^ rows["pos"]).view(np.uint64)
+    key = np.where(settled, texts.signed(texts.mix(own)), rows["key"])
+    return rows | {"key": key, "flag": np.where(settled, SETTLED, ALONE)}
+
+
 def settle_windows(rows: dict[str, np.ndarray]) -> Iterator[dict[str, np.ndarray]]:
     """As :func:`settle_first`; whole documents are known copies by now."""
     return settle_first(rows, whole_settled=True)
@@ -110,13 +117,16 @@ def settle_windows(rows: dict[str, np.ndarray]) -> Iterator[dict[str, np.ndarray
 def settle_first(
     rows: dict[str, np.ndarray], whole_settled: bool = False
 ) -> Iterator[dict[str, np.ndarray]]:
-    """Within a chunk only the smallest document of a fingerprint stays open."""
+    """Within a chunk only the smallest document of a fingerprint stays open.
+
+    Rows keep their order, which compresses better than that of their fingerprints.
+    """
     order, group = _groups(rows["key"], rows["key2"], rows["doc"])
-    rows = {k: v[order] for k, v in rows.items()}
-    starts = np.flatnonzero(np.diff(group, prepend=-1))
-    first = rows["doc"][starts][group]
-    rows["flag"] = np.where((rows["doc"] > first) | (rows["pos"] == WHOLE) & whole_settled, SETTLED, ALONE)
-    yield rows
+    doc = rows["doc"][order]
+    first = doc[np.flatnonzero(np.diff(group, prepend=-1))][group]
+    later = np.zeros(len(order), bool)
+    later[order] = doc > first
+    yield _flagged(rows, later | (rows["pos"] == WHOLE) & whole_settled)
 
 
 def settle_anchors(rows: dict[str, np.ndarray]) -> Iterator[dict[str, np.ndarray]]:
@@ -128,16 +138,15 @@ def settle_anchors(rows: dict[str, np.ndarray]) -> Iterator[dict[str, np.ndarray
     yield from settle_first({k: v[whole] for k, v in rows.items()})
     rows = {k: v[~whole] for k, v in rows.items()}
     order, group = _groups(rows["key"], rows["doc"])
-    rows = {k: v[order] for k, v in rows.items()}
+    doc = rows["doc"][order]
     starts = np.flatnonzero(np.diff(group, prepend=-1))
     ends = np.append(starts[1:], len(group)) - 1
-    shared = (rows["doc"][starts] != rows["doc"][ends])[group]
-    sent = np.zeros(len(group), bool)
-    sent[starts] = True
-    rows["flag"] = np.where(shared, SETTLED, ALONE)
-    yield rows
-    sent &= shared
-    yield {k: np.full(sent.sum(), SENT) if k == "flag" else v[sent] for k, v in rows.items()}
+    shared = (doc[starts] != doc[ends])[group]
+    settled = np.zeros(len(order), bool)
+    settled[order] = shared
+    yield _flagged(rows, settled)
+    sent = order[starts[shared[starts]]]
+    yield {k: v[sent] for k, v in rows.items()} | {"flag": np.full(len(sent), SENT)}
 
 
 def _anchor_map(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -284,9 +293,8 @@ def marked(anchors: DataFrame) -> DataFrame:
     """
     whole = F.col("pos") == WHOLE
     settled = F.col("flag") == SETTLED
-    alone = F.when(settled, F.xxhash64("doc", "pos", "key")).otherwise(F.col("key"))
     by_key = Window.partitionBy("key", "key2")
-    found = anchors.withColumn("key", alone).withColumns(
+    found = anchors.withColumns(
         {
             "_low": F.min("doc").over(by_key),
             "_high": F.max("doc").over(by_key),
