@@ -40,7 +40,7 @@ from tablekit.llm import tables, texts
 WINDOW = 100
 DIGIT = 40
 SPANS_PER_DIGIT = 32
-CHUNK_ROWS = 1 << 20
+CHUNK_ROWS = 1 << 19
 
 OPEN, WITNESS, REPEAT, DEEPER, CROWDED = 0, 1, 2, 3, 4
 PLACE_BITS = 23
