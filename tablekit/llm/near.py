@@ -20,7 +20,8 @@ Two documents at the threshold of 0.8 share no bucket with a chance of
 Null texts are empty. Documents without words have an empty set and are linked with
 nothing, not even with each other. A null id sorts before all others; rows that share an
 id are one document with several texts, each with a row of its own, all linked through
-the id. Other columns are not looked at. An empty table gives an empty result.
+the id. ``without_duplicates`` does not link through the id: there each row is a document
+by itself. Other columns are not looked at. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablekit.llm import tables, texts
@@ -264,10 +265,13 @@ def confirmed_links(rows: DataFrame, members: DataFrame, shingle: int, percent:
         turn += 1
 
 
-def linked(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Per row of ``docs``: doc, n_shingles and component, the smallest linked document."""
-    rows = tables.keyed(docs)
-    signed = tables.staged(rows.mapInArrow(_signatures(shingle), SIGNED), "signatures")
+def _signed(rows: DataFrame, shingle: int) -> DataFrame:
+    return tables.staged(rows.mapInArrow(_signatures(shingle), SIGNED), "signatures")
+
+
+def _alike(rows: DataFrame, signed: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """Per row (doc, text): doc, n_shingles and node, the smallest document with an equal
+    set; and the components (doc, component) of nodes that are similar to others."""
     some = signed.where("n_shingles > 0")
     smallest = F.min_by(F.struct("n_shingles", "bands"), "doc").alias("x")
     classes = tables.staged(
@@ -279,7 +283,13 @@ def linked(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> D
     owned = signed.select("doc", "n_shingles", "set1", "set2").join(
         classes.select("set1", "set2", "node"), ["set1", "set2"], "left"
     )
-    owned = owned.select("doc", "n_shingles", F.coalesce("node", "doc").alias("node"))
+    return owned.select("doc", "n_shingles", F.coalesce("node", "doc").alias("node")), joined
+
+
+def linked(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """Per row of ``docs``: doc, n_shingles and component, the smallest linked document."""
+    rows = tables.keyed(docs)
+    owned, joined = _alike(rows, _signed(rows, shingle), shingle, percent)
     # Texts of one id in unlike classes link these classes.
     several = owned.groupBy("doc").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b")
     if not several.isEmpty():
@@ -301,14 +311,46 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 
 
 def without_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` that stand for their class: those of its smallest id, and of
-    several rows with that id the one with the smallest text."""
-    kept = linked(docs, shingle, percent).where("doc = component").select(F.col("doc").alias("_doc")).distinct()
+    """One row of each group of near duplicates in ``docs``: that of its smallest id, and of
+    several rows with that id the one with the smallest text. Rows are linked by similarity
+    only, whatever ids they share, so rows without words all stay."""
     row = F.struct(*[docs[c].alias(c) for c in docs.columns]).alias("_row")
-    rows = docs.select(row, F.coalesce(docs["doc_id"].cast("long"), F.lit(tables.NULL_ID)).alias("_doc"))
-    order = Window.partitionBy("_doc").orderBy("_row.text")
-    first = rows.join(kept, "_doc").withColumn("_number", F.row_number().over(order)).where("_number = 1")
-    return first.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
+    number, text = F.coalesce(docs["doc_id"].cast("long"), F.lit(tables.NULL_ID)), F.coalesce(docs["text"], F.lit(""))
+    seed, clash = 0, True
+    while clash:
+        rows = docs.select(row, number.alias("_id"), F.xxhash64(F.lit(seed), number, text).alias("_key"))
+        keyed = rows.select(F.col("_key").alias("doc"), F.coalesce("_row.text", F.lit("")).alias("text"))
+        signed = _signed(keyed, shingle)
+        one = F.struct("set1", "set2")
+        sets = signed.groupBy("doc").agg(F.min(one).alias("low"), F.max(one).alias("high"))
+        # Keys that unlike sets share are drawn anew.
+        seed, clash = seed + 1, not sets.where("low <> high").isEmpty()
+    ids = rows.groupBy("_key").agg(F.min("_id").alias("id"), F.count(F.lit(1)).alias("n"))
+    ids, seen = tables.staged_counting(ids.withColumnRenamed("_key", "doc"), "ids", repeats=F.count_if(F.col("n") > 1))
+    if seen["repeats"]:
+        keyed = keyed.dropDuplicates(["doc"])
+    owned, joined = _alike(keyed, signed, shingle, percent)
+    owned = _with_components(owned, "node", joined).select("doc", "n_shingles", "component").distinct()
+    grouped = tables.staged(owned.join(ids, "doc"), "grouped")
+    least = F.min(F.struct("doc", "n", "n_shingles")).alias("x")
+    counted = grouped.groupBy("component", "id").agg(F.count(F.lit(1)).alias("keys"), least)
+    lowest = counted.groupBy("component").agg(F.min(F.struct("id", "keys", "x")).alias("y")).select("component", "y.*")
+    lowest = tables.staged(lowest, "lowest")
+    kept = lowest.where("keys = 1").select(F.col("x.doc").alias("_key"), "x.n", "x.n_shingles")
+    several = lowest.where("keys > 1").select("component", "id")
+    if not several.isEmpty():
+        tied = grouped.join(_small(several, "several"), ["component", "id"])
+        tied = tied.select("component", F.col("doc").alias("_key"), "n", "n_shingles")
+        said = rows.select("_key", F.col("_row.text").alias("text")).join(tied, "_key")
+        first = said.groupBy("component").agg(F.min(F.struct("text", "_key", "n", "n_shingles")).alias("x"))
+        kept = kept.unionByName(first.select("x._key", "x.n", "x.n_shingles"))
+    every = F.col("n_shingles") == 0
+    out = rows.join(kept.where((F.col("n") == 1) | every).select("_key"), "_key", "left_semi").select("_row")
+    if seen["repeats"]:
+        copies = rows.join(_small(kept.where((F.col("n") > 1) & ~every).select("_key"), "copies"), "_key")
+        copies = copies.groupBy("_key").agg(F.min_by("_row", F.struct("_id", "_row.text")).alias("_row"))
+        out = out.unionByName(copies.select("_row"))
+    return out.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def query(spark, folder: str) -> DataFrame:

@@ -45,6 +45,21 @@ def test_one_row_of_each_class_stays(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["3", "7", "None"]
 
 
+def test_unlike_rows_that_share_an_id_stay(spark):
+    unlike = ["q r s t", "other words stand here", "nothing of this is said twice"]
+    rows = [(d, f"{text} {d}") for d in (None, 3) for text in unlike]
+    rows += [(3, None), (3, ""), (3, "x y z x y z"), (3, "X y z x y z"), (None, "k l m n"), (4, "k l m n"), (2, "x  y z x y z")]
+    kept = near.without_duplicates(frame(spark, rows)).collect()
+    expected = [*rows[:8], (None, "k l m n"), (2, "x  y z x y z")]
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept) == sorted((str(d), str(t)) for d, t in expected)
+
+
+def test_smallest_text_of_the_smallest_id_stays(spark):
+    rows = [(5, "b c d e"), (5, "B c d e"), (5, "B  c d e"), (None, "v w x y"), (None, "V w x y"), (7, "A c d e"), (7, "b c d e")]
+    kept = near.without_duplicates(frame(spark, rows)).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == [("5", "B  c d e"), ("7", "A c d e"), ("None", "V w x y")]
+
+
 def test_rows_that_share_an_id_are_linked(spark):
     rows = [(1, "a b c d e"), (2, "a b c d e"), (2, "v w x y z"), (4, "v w x y z"), (9, "alone it is")]
     got = {(r.doc_id, r.component_id) for r in near.near_duplicates(frame(spark, rows)).collect()}
