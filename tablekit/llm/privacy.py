@@ -6,19 +6,19 @@ another word reveals an entity is measured on the corpus: for a word ``t`` among
 
     PMI(t, e) = log2( n(t, e) * N / (n(t) * n(e)) ),
 
-is compared with all the information that ``e`` carries, IC(e) = log2(N / n(e)). ``N`` is
-the number of documents, ``n(t)`` those with the word, ``n(e)`` and ``n(t, e)`` the
-distinct contexts of the entity, and those with the word; copies of a text are one
-context. A word that shares at least ``SHARE`` of the entity's information, in
-``MIN_CONTEXTS`` contexts or more, discloses it, and is a span of kind ``term`` wherever it
-stands in a context of that entity. Sanitising writes a placeholder of its kind for a base
-span (it is removed), and a more general word for a term.
-
-Contexts are few, and only they are shuffled: pairs of entity and word are counted with
-partial sums. Words of pairs with enough contexts are counted in all documents; each task
-sends a word's count once. If there are few such words, checked by number, tasks know
-them and count no others. No list of a key is ever collected, except the spans of one
-document.
+is compared with all the information that ``e`` carries, IC(e) = log2(N / n(e)). All four
+are numbers of distinct texts, copies of a text being one: ``N`` of all, ``n(t)`` of those
+with the word, ``n(e)`` of those with the entity beside some word, and ``n(t, e)`` of those
+with the word in a context of the entity. A word that shares at least ``SHARE`` of the
+entity's information, in ``MIN_CONTEXTS`` distinct contexts or more, discloses it, and is a
+span of kind ``term`` wherever it stands in a context of that entity. Sanitising writes a
+placeholder of its kind for a base span (it is removed), and a more general word for a term.
+
+Contexts are few, and they are shuffled once for each text: pairs of entity and word are
+counted with partial sums. Words of pairs with enough contexts are counted in all texts; each
+task sends a word's count once. If there are few such words, checked by number, tasks know
+them and count no others. Of the texts only those that repeat are shuffled, if these are few,
+else all, a copy per task. No list of a key is ever collected, except the spans of one document.
 
 Null texts are empty. Rows with equal id and text are one document with a row each; a null
 id is an id of its own. Other columns are not looked at. An empty table gives an empty
@@ -46,6 +46,7 @@ SHARE = 0.5
 MIN_TERM = 3
 COUNT_CHUNK = 1 << 19
 MAX_BROADCAST_TERMS = 100_000
+MAX_BROADCAST_REPEATS = 100_000
 
 # The kinds in the order in which spans at one place are listed.
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -199,8 +200,20 @@ def _count_terms(known):
     return run
 
 
+def _distinct_texts(rows: DataFrame, repeated: DataFrame) -> DataFrame:
+    """``text`` of each distinct text once; ``repeated`` holds the hashes of those with copies."""
+    rows = rows.select("text_hash", "text")
+    if repeated.isEmpty():
+        return rows.select("text")
+    if repeated.limit(MAX_BROADCAST_REPEATS + 1).count() > MAX_BROADCAST_REPEATS:
+        return rows.dropDuplicates(["text_hash"]).select("text")
+    repeated = F.broadcast(repeated)
+    copies = rows.join(repeated, "text_hash", "left_semi").dropDuplicates(["text_hash"])
+    return rows.join(repeated, "text_hash", "left_anti").unionByName(copies).select("text")
+
+
 def _document_counts(rows: DataFrame, terms: DataFrame) -> DataFrame:
-    """``term`` and ``n_t``, the documents that have it."""
+    """``term`` and ``n_t``, the rows that have it."""
     known = None
     if terms.limit(MAX_BROADCAST_TERMS + 1).count() <= MAX_BROADCAST_TERMS:
         known = rows.sparkSession.sparkContext.broadcast([r["term"] for r in terms.collect()])
@@ -210,19 +223,28 @@ def _document_counts(rows: DataFrame, terms: DataFrame) -> DataFrame:
     return counted.groupBy("term").agg(F.sum("n").alias("n_t"))
 
 
-def disclosures(rows: DataFrame, near: DataFrame) -> DataFrame:
+def disclosures(rows: DataFrame, base: DataFrame) -> DataFrame:
     """``entity`` and ``term`` of every pair in which the term discloses the entity."""
-    once = near.select("entity", "term", "context").distinct()
-    pairs = once.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te")).where(F.col("n_te") >= MIN_CONTEXTS)
-    pairs = tables.staged(pairs, "pairs")
+    some = base.where(F.size("around") > 0).groupBy("text_hash").agg(F.first("around").alias("around"))
+    some = tables.staged(some, "contexts")
+    once = some.select(F.explode("around").alias("x")).select("x.entity", "x.term", "x.context").distinct()
+    pairs = once.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_contexts"))
+    pairs = tables.staged(pairs.where(F.col("n_contexts") >= MIN_CONTEXTS).select("entity", "term"), "pairs")
     if pairs.isEmpty():
-        return pairs.select("entity", "term")
-    entities = near.select("entity", "context").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    terms = _document_counts(rows, pairs.select("term").distinct())
-    total = F.lit(float(rows.count()))
+        return pairs
+    both = F.array_distinct(F.transform("around", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))
+    beside = some.select(F.explode(both).alias("x")).select("x.*").groupBy("entity", "term")
+    beside = beside.agg(F.count(F.lit(1)).alias("n_te"))
+    own = F.array_distinct(F.transform("around", lambda x: x["entity"]))
+    entities = some.select(F.explode(own).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
+    copies = base.groupBy("text_hash").agg(F.count(F.lit(1)).alias("n"))
+    copies, seen = tables.staged_counting(copies, "copies", n=F.count(F.lit(1)))
+    distinct = _distinct_texts(rows, copies.where("n > 1").select("text_hash"))
+    terms = _document_counts(distinct, pairs.select("term").distinct())
+    total = F.lit(float(seen["n"]))
     shared = F.log2(F.col("n_te") * total / (F.col("n_t") * F.col("n_e")))
     carried = F.log2(total / F.col("n_e"))
-    known = pairs.join(entities, "entity").join(terms, "term")
+    known = pairs.join(beside, ["entity", "term"]).join(entities, "entity").join(terms, "term")
     return tables.staged(known.where((carried > 0) & (shared >= carried * SHARE)).select("entity", "term"), "disclosures")
 
 
@@ -237,7 +259,7 @@ def found(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     base = tables.staged(rows.mapInArrow(_find, FOUND), "private")
     near = base.where(F.size("around") > 0).select("doc", "text_hash", F.explode("around").alias("x"))
     near = near.select("doc", "text_hash", "x.*")
-    disclosed = disclosures(rows, near)
+    disclosed = disclosures(rows, base)
     terms = None
     if not disclosed.isEmpty():
         span = F.struct("start", F.lit(len(KINDS) - 1).alias("rank"), "stop")

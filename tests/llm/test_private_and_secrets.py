@@ -53,6 +53,19 @@ def test_copies_of_one_context_disclose_nothing(spark):
     assert all("term" not in r.spans for r in privacy.reported(docs_of(spark, rows)).collect())
 
 
+@pytest.mark.parametrize("limit", [privacy.MAX_BROADCAST_REPEATS, 0])
+@pytest.mark.parametrize("tail", ["", " and number{} of them"])
+def test_copies_hide_no_term(spark, monkeypatch, tail, limit):
+    monkeypatch.setattr(privacy, "MAX_BROADCAST_REPEATS", limit)
+    said = [f"{'abcdefgh'[i] * 4} of Zorblax at zed@corp.example.com {'qrstuvwx'[i] * 4} one two three four five six" for i in range(3)]
+    rows = [(i, text) for i, text in enumerate(said)] + [(10_000 + i, said[0] + tail.format(i)) for i in range(400)]
+    rows += [(100 + i, f"the plain text number{i} of that day") for i in range(300 if not tail else 3000)]
+    for r in privacy.reported(docs_of(spark, rows)).collect():
+        if r.doc_id < 3 or r.doc_id >= 10_000:
+            start = said[0].index("Zorblax")
+            assert f"term:{start}:{start + 7}" in r.spans
+
+
 def test_counts_of_terms_without_broadcast(spark, monkeypatch):
     rows = [(i, f"Zorblax {'abcdefgh'[i] * 4} zed@corp.example.com {'qrstuvwx'[i] * 4}") for i in range(6)]
     rows += [(100 + i, f"plain words {i}") for i in range(50)]
