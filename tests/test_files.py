@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from tablekit.operators import dump
 from tablekit.operators.anonymize import Rule
 from tablekit.plans.contract import Contract
+from tablekit.registry import writes
 from tablekit.sources.catalog import Catalog
 from tablekit.sources.copy_text import read_copy_text
 from tablekit.sources.csv_files import (
@@ -181,3 +182,15 @@ def test_files_read_alike_whole_and_in_blocks(spark, tmp_path, tiny_blocks):
     for multi_line in (True, False):
         read = read_csv_text(spark, str(tmp_path), multi_line=multi_line)
         assert sorted(cells(read, "id", "name")) == sorted(wanted)
+
+
+def test_ragged_lines_are_not_collected(spark, folder, monkeypatch):
+    monkeypatch.setattr(writes.F, "collect_list", None)
+    written = writes.write_faulty_files(spark, folder)
+    files = glob.glob(written.removeprefix("file:").removesuffix("*") + "3_ragged/part-*")
+    lines = [line for f in files for line in Path(f).read_text().splitlines()[1:]]
+    heads = {Path(f).read_text().splitlines()[0] for f in files}
+    orders = spark.read.parquet(f"{folder}/orders.parquet")
+    assert heads == {",".join(f'"{h}"' for h in [*writes.HEADERS.values(), writes.NOTE])}
+    assert len(lines) == orders.where("o_orderkey % 71 = 0").count()
+    assert all(line.endswith(',"ragged","extra"') for line in lines)
