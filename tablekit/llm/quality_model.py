@@ -6,9 +6,10 @@ stands among the ``NEAR`` words before it has one vector more, the same for all
 layer over the average gives the classes. Table and layer are learned together by
 stochastic gradient descent in numpy, on a bounded number of labelled documents.
 
-Training takes the ``TRAIN_DOCS`` labelled documents with the smallest hash of their id
-(a documented bound; fewer if there are fewer) and, of each, its whole text. They are
-trained in one task, whose memory the bound limits. Scoring reads every whole text. As
+Training takes the ``TRAIN_DOCS`` labels with the smallest hash of their id (a documented
+bound; fewer if there are fewer) and, of each, one whole text: of several rows with the id
+that with the smallest hash. Texts become slots where they lie; one task trains on these,
+at most ``SLOTS`` of a document however long, so its memory has a bound. Scoring reads every whole text. As
 everything after the table is linear, a trained table is folded into one number per
 hash; it has a fixed size and goes to every task.
 
@@ -127,13 +128,27 @@ def train(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> tupl
 MODEL = "table binary, bias double"
 
 
+SPARSE = "doc_id string, slots binary, weights binary"
+
+
+def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for block in texts.blocks(batch.column(1)):
+            docs = sparse(block)
+            slots = pa.array([s.astype(np.int32).tobytes() for s, _ in docs], pa.binary())
+            weights = pa.array([w.tobytes() for _, w in docs], pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).slice(block.first, block.rows), slots, weights], ["doc_id", "slots", "weights"]
+            )
+
+
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     docs: list[tuple[np.ndarray, np.ndarray]] = []
     labels: list[int] = []
     for batch in batches:
-        labels += batch.column(1).to_pylist()
-        for block in texts.blocks(batch.column(0)):
-            docs += sparse(block)
+        labels += batch.column(2).to_pylist()
+        for slots, weights in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            docs.append((np.frombuffer(slots, np.int32), np.frombuffer(weights, np.float64)))
     table, bias = train(docs, np.array(labels, np.int64))
     yield pa.RecordBatch.from_pydict(
         {"table": pa.array([table.astype(np.float32).tobytes()], pa.binary()), "bias": [bias]}
@@ -146,10 +161,15 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> tup
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & (fold != HELD_OUT))
     chosen = usable.select("doc_id", F.col("quality").cast("long").alias("label"))
     chosen = chosen.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id", "label").limit(train_docs)
+    chosen = tables.staged(chosen, "chosen")
     # At most ``train_docs`` rows of two numbers.
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    ordered = found.select(F.coalesce("text", F.lit("")).alias("text"), "label", "doc_id")
-    one = ordered.repartition(1).sortWithinPartitions("doc_id", "label", "text").select("text", "label")
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    found = found.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
+    first = found.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("x"))
+    slots = first.select(F.col("doc_id").cast("string").alias("doc_id"), "x.text").mapInArrow(_sparse, SPARSE)
+    slots = slots.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
+    one = slots.join(F.broadcast(chosen), "doc_id").repartition(1).sortWithinPartitions("doc_id", "label")
+    one = one.select("slots", "weights", "label")
     model = one.mapInArrow(_train, MODEL).collect()
     if not model:
         return np.zeros(SLOTS), 0.0

@@ -71,3 +71,13 @@ def test_scores_of_odd_tables(spark):
     none = quality_model.scored(docs, *quality_model.fit(docs, labels.limit(0))).collect()
     assert {r.score for r in none} == {0.5}
     assert quality_model.scored(docs.limit(0), np.zeros(quality_model.SLOTS), 0.0).collect() == []
+
+
+def test_one_row_of_each_id_is_trained_on(spark):
+    rows = [(1, f"good words number{i} here") for i in range(30)] + [(2, "bad stuff of all kinds"), (3, "more good words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 1), (4, 0)], "doc_id long, quality int")
+    smallest = docs.selectExpr("doc_id", "text", "row_number() over (partition by doc_id order by xxhash64(text)) AS n").where("n = 1")
+    table, bias = quality_model.fit(docs, labels)
+    expected, other = quality_model.fit(smallest.select("doc_id", "text"), labels)
+    assert bias == other and table.any() and (table == expected).all()
