@@ -2,7 +2,20 @@
 
 from __future__ import annotations
 
-from tablekit.llm import chat, leaks, near, packing, privacy, quality_model, rules, secrets, substring, suffixes
+from tablekit.llm import (
+    chat,
+    leaks,
+    licenses,
+    near,
+    negatives,
+    packing,
+    privacy,
+    quality_model,
+    rules,
+    secrets,
+    substring,
+    suffixes,
+)
 from tablekit.registry.base import Query
 
 QUERIES = [
@@ -16,4 +29,6 @@ QUERIES = [
     Query("op8_pii", privacy.query),
     Query("op9_quality_rules", rules.query, rules.SQL),
     Query("op10_secret_scan", secrets.query, secrets.SQL),
+    Query("op11_license_scan", licenses.query),
+    Query("op12_hard_negatives", negatives.query, negatives.SQL),
 ]
