@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tablekit.llm import (
     chat,
+    collocations,
     leaks,
     licenses,
     near,
@@ -31,4 +32,5 @@ QUERIES = [
     Query("op10_secret_scan", secrets.query, secrets.SQL),
     Query("op11_license_scan", licenses.query),
     Query("op12_hard_negatives", negatives.query, negatives.SQL),
+    Query("op13_phrase_collocation", collocations.query, collocations.SQL),
 ]
