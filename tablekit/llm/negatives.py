@@ -239,7 +239,7 @@ def mined(
     spark = vectors.sparkSession
     rows = _taking_part(vectors)
     # Footers hold this count; rows that take no part only make blocks smaller.
-    n_blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-vectors.count() // block_rows))
+    n_blocks = max(2 * spark.sparkContext.defaultParallelism, -(-vectors.count() // block_rows))
     anchors = rows.where(is_anchor & (F.col("id") != tables.NULL_ID))
     # Written, so that an anchor keeps its number when a task is repeated.
     anchors = tables.staged(anchors.withColumn("anchor", F.monotonically_increasing_id()), "anchors")
