@@ -9,28 +9,33 @@ words of a language, without another pass over the texts for each order.
 Only phrases that reach the least count are wanted, and each pair of neighbours in such
 a phrase reaches it too. A first pass counts pairs by a 64-bit hash; windows are then
 padded from the first pair on that stays below. Pairs that share a hash only leave more
-in the windows, so no count changes. The frequent hashes are broadcast modulo
-``FILTER_SLOTS``, so that table has at most that many rows whatever the corpus holds;
-slots that are shared keep more, never less. Windows are pre-aggregated before their
-shuffle, and a window, pair or language that is very frequent is one row for each task.
+in the windows, so no count changes. Tasks get the frequent hashes modulo
+``FILTER_SLOTS``, as one bit for each slot whatever the corpus holds; slots that are
+shared keep more, never less. Words of a block of texts are found by array operations,
+and a block's pairs and windows are counted before they leave it, so one that is very
+frequent is a row for each block and, after partial aggregation, for each task.
 
 A phrase is attached to what it is cut into by joins with unique keys on the other side.
 
 Null texts have no words; a null language counts as ``und``. Rows that repeat, or share
 an id, all count. Ties of score and count go by the phrase's bytes, so the result has one
-order. A very long text is split whole in its row, and sent on word by word. Other
+order. A very long text is a block of its own, held whole in a task. Other
 columns are not looked at. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import string
+import zlib
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tablekit.llm import tables
+from tablekit.llm import tables, texts
 
 LONGEST = 4
 MIN_COUNT = 30
@@ -39,69 +44,116 @@ TOP = 2000
 SCALE = 2_000_000
 PAD = ""
 NO_LANGUAGE = "und"
-FILTER_SLOTS = 1 << 20
+FILTER_SLOTS = 1 << 27
 
 # Where pieces and words end.
-PIECE_ENDS = "[.,;:!?\n\u000b\f\r]"
-BLANKS = "[ \t]+"
+BREAK = texts.table_of(b".,;:!?\n\x0b\x0c\r")
+MEMBER = ~(BREAK | texts.table_of(b" \t"))
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[0x41:0x5B] += 32
 
 
-def pieces(docs: DataFrame) -> DataFrame:
-    """``lang`` and the ``words`` of each piece, pieces without words left out."""
-    text = F.translate(F.coalesce(docs["text"], F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
-    rows = docs.select(F.coalesce(docs["lang"], F.lit(NO_LANGUAGE)).alias("lang"), text.alias("text"))
-    parts = rows.select("lang", F.explode(F.split("text", PIECE_ENDS)).alias("piece"))
-    words = F.filter(F.split("piece", BLANKS), lambda w: w != "")
-    return parts.select("lang", words.alias("words")).where(F.size("words") > 0)
+def _worded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[texts.Block, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks in lower case with starts and ends of their words, the row of each word, and
+    for each word but the last whether the next one follows it in the same piece."""
+    for batch in batches:
+        for block in texts.blocks(batch["text"]):
+            lower = texts.Block(block.first, LOWER[block.data], block.offsets)
+            starts, ends, first = lower.words(MEMBER)
+            row = texts.rows_of(first)
+            breaks = np.cumsum(BREAK[lower.data])[starts] if len(starts) else starts
+            yield lower, starts, ends, row, (row[1:] == row[:-1]) & (breaks[1:] == breaks[:-1])
 
 
-def _slot(pair: Column) -> Column:
-    return F.pmod(pair, F.lit(FILTER_SLOTS)).cast("int")
+def _pairs(block: texts.Block, starts: np.ndarray, ends: np.ndarray, languages: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the language and two words that follow each other."""
+    words = texts.ranges(block.sums(), starts, ends)
+    return texts.mix(words[:-1] * np.uint64(3) + texts.mix(words[1:] ^ languages[:-1]))
 
 
-def frequent_slots(texts: DataFrame, min_count: int) -> DataFrame:
-    """Slots of the pairs of neighbours that may reach the least count."""
-    words = F.col("words")
-    pairs = F.when(
-        F.size(words) > 1,
-        F.transform(
-            F.sequence(F.lit(0), F.size(words) - 2),
-            lambda i: F.xxhash64("lang", F.get(words, i), F.get(words, i + 1)),
-        ),
-    )
-    counted = texts.select(F.explode(pairs).alias("pair")).groupBy("pair").count()
-    return counted.where(F.col("count") >= min_count).select(_slot(F.col("pair")).alias("slot")).distinct()
+def _language_numbers(batch: pa.RecordBatch) -> np.ndarray:
+    return np.array([zlib.crc32(x.encode()) for x in batch["lang"].to_pylist()], np.uint64)
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """The blocks of :func:`_worded` with their batch and the hash of each pair."""
+    for batch in batches:
+        languages = _language_numbers(batch)
+        for block, starts, ends, row, follows in _worded(iter([batch])):
+            yield batch, block, starts, ends, row, follows, _pairs(block, starts, ends, languages[block.first + row])
+
+
+def _counted_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for *_, follows, pairs in _numbered(batches):
+        found, n = np.unique(pairs[follows], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(texts.signed(found)), pa.array(n.astype(np.int64))], ["pair", "n"])
 
 
-def windows(texts: DataFrame, slots: DataFrame, longest: int) -> DataFrame:
-    """The padded longest window ``w1, w2, ...`` at each word, cut where a pair is rare."""
-    words = F.col("words")
+def frequent_slots(rows: DataFrame, min_count: int) -> np.ndarray:
+    """A bit for each slot: whether a pair of neighbours that falls in it may reach the
+    least count. Words of 64 bits come to the driver, at most one for 64 slots."""
+    counted = rows.mapInArrow(_counted_pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    slots = counted.where(F.col("n") >= min_count).select(F.pmod("pair", F.lit(FILTER_SLOTS)).alias("slot"))
+    bit = F.expr("shiftleft(1L, CAST(slot & 63 AS INT))")
+    words = slots.groupBy((F.col("slot") / 64).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits"))
+    found = words.toArrow()
+    bits = np.zeros(-(-FILTER_SLOTS // 64), np.uint64)
+    bits[texts.numbers(found["word"].combine_chunks())] = texts.numbers(found["bits"].combine_chunks()).view(np.uint64)
+    return bits
 
-    def window(word: Column, i: Column) -> Column:
-        ahead = [F.coalesce(F.get(words, i + k), F.lit(PAD)) for k in range(1, longest)]
-        return F.struct(word.alias("w1"), *[w.alias(f"w{k + 2}") for k, w in enumerate(ahead)])
 
-    rows = texts.select("lang", F.inline(F.transform(words, window)))
-    usable = F.lit(True)
-    for k in range(1, longest):
-        known = F.broadcast(slots.select(F.col("slot").alias(f"slot{k}")))
-        pair = F.when(F.col(f"w{k + 1}") != PAD, _slot(F.xxhash64("lang", f"w{k}", f"w{k + 1}")))
-        rows = rows.withColumn(f"pair{k}", pair).join(known, F.col(f"pair{k}") == F.col(f"slot{k}"), "left")
-    kept = {}
-    for k in range(2, longest + 1):
-        usable = usable & F.col(f"slot{k - 1}").isNotNull()
-        kept[f"w{k}"] = F.when(usable, F.col(f"w{k}")).otherwise(F.lit(PAD))
-    return rows.select("lang", "w1", *[c.alias(n) for n, c in kept.items()])
+def _flagged(bits: np.ndarray, pairs: np.ndarray, n_slots: int) -> np.ndarray:
+    slots = np.mod(texts.signed(pairs), n_slots)
+    return (bits[slots >> 6] >> (slots & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
+def _strings(block: texts.Block, starts: np.ndarray, ends: np.ndarray) -> pa.StringArray:
+    """The texts of ranges of a block."""
+    sizes = ends - starts
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    data = block.data[np.arange(offsets[-1]) + np.repeat(starts - offsets[:-1], sizes)]
+    return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data))
+
+
+def windows(rows: DataFrame, bits: np.ndarray, longest: int) -> DataFrame:
+    """``n`` of each padded longest window ``w1, w2, ...`` of a block, cut where a pair is rare."""
+    names = [f"w{k}" for k in range(1, longest + 1)]
+    n_slots = FILTER_SLOTS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, block, starts, ends, row, follows, pairs in _numbered(batches):
+            usable = np.append(follows & _flagged(bits, pairs, n_slots), np.zeros(longest, bool))
+            words = _strings(block, starts, ends).dictionary_encode()
+            codes = np.append(texts.numbers(words.indices), np.zeros(longest, np.int32))
+            lead, ahead = usable[: len(starts)], [codes[: len(starts)]]
+            for k in range(1, longest):
+                # Lead column k: the word k places on, or the pad, code -1.
+                ahead.append(np.where(lead, codes[k : k + len(starts)], -1))
+                lead = lead & usable[k : k + len(starts)]
+            languages = batch["lang"].take(pa.array(block.first + row)).dictionary_encode()
+            table = pa.table([pa.array(texts.numbers(languages.indices)), *map(pa.array, ahead)], ["lang", *names])
+            table = table.group_by(table.column_names).aggregate([([], "count_all")])
+            texts_of = pa.concat_arrays([words.dictionary, pa.array([PAD], pa.large_string())])
+            columns = [languages.dictionary.take(table["lang"].combine_chunks())]
+            for name in names:
+                code = texts.numbers(table[name].combine_chunks())
+                columns.append(texts_of.take(pa.array(np.where(code < 0, len(texts_of) - 1, code))).cast(pa.string()))
+            yield pa.RecordBatch.from_arrays([*columns, table["count_all"].combine_chunks()], ["lang", *names, "n"])
+
+    schema = ", ".join(["lang string", *(f"{n} string" for n in names), "n long"])
+    return rows.mapInArrow(count, schema)
 
 
 def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST) -> DataFrame:
     """``lang``, ``words`` and ``f`` of all phrases of up to ``longest`` words with at least
     ``min_count`` occurrences, and one row without words for each language: its number of
     words."""
-    texts = pieces(docs)
+    rows = docs.select(
+        F.coalesce(docs["lang"], F.lit(NO_LANGUAGE)).alias("lang"), F.coalesce(docs["text"], F.lit("")).alias("text")
+    )
     names = [f"w{k}" for k in range(1, longest + 1)]
-    counted = windows(texts, frequent_slots(texts, min_count), longest).groupBy("lang", *names).count()
-    summed = counted.rollup("lang", *names).agg(F.sum("count").alias("f"), F.grouping_id().alias("above"))
+    counted = windows(rows, frequent_slots(rows, min_count), longest).groupBy("lang", *names).agg(F.sum("n").alias("n"))
+    summed = counted.rollup("lang", *names).agg(F.sum("n").alias("f"), F.grouping_id().alias("above"))
     # Columns that a row sums over are null; grouping ids below the last leave the language.
     words = F.array_compact(F.array(*[F.col(n) for n in names]))
     rows = summed.where(F.col("above") < 2 ** (longest + 1) - 1).select("lang", words.alias("words"), "f")
