@@ -6,13 +6,14 @@ Every shorter phrase is a prefix of the windows that start where it starts, so R
 over the window's columns sums the counts of all orders, down to single words and to all
 words of a language, without another pass over the texts for each order.
 
-Only phrases that reach the least count are wanted, and each pair of neighbours in such
-a phrase reaches it too. A first pass counts pairs by a 64-bit hash; windows are then
-padded from the first pair on that stays below. Pairs that share a hash only leave more
-in the windows, so no count changes. Tasks get the frequent hashes modulo
+Only phrases that reach the least count are wanted, and each phrase in such a phrase
+reaches it too. So windows are padded from where a shorter phrase in them stays below.
+Which do is told by passes that count pairs, and then those triples whose pairs are left,
+by 64-bit hashes. Phrases that share a hash only leave more in the windows, so no count
+changes. Tasks get the frequent hashes modulo
 ``FILTER_SLOTS``, as one bit for each slot whatever the corpus holds; slots that are
 shared keep more, never less. Words of a block of texts are found by array operations,
-and a block's pairs and windows are counted before they leave it, so one that is very
+and a block's phrases and windows are counted before they leave it, so one that is very
 frequent is a row for each block and, after partial aggregation, for each task.
 
 A phrase is attached to what it is cut into by joins with unique keys on the other side.
@@ -65,45 +66,60 @@ def _worded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[texts.Block, np
             yield lower, starts, ends, row, (row[1:] == row[:-1]) & (breaks[1:] == breaks[:-1])
 
 
-def _pairs(block: texts.Block, starts: np.ndarray, ends: np.ndarray, languages: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the language and two words that follow each other."""
-    words = texts.ranges(block.sums(), starts, ends)
-    return texts.mix(words[:-1] * np.uint64(3) + texts.mix(words[1:] ^ languages[:-1]))
-
-
 def _language_numbers(batch: pa.RecordBatch) -> np.ndarray:
     return np.array([zlib.crc32(x.encode()) for x in batch["lang"].to_pylist()], np.uint64)
 
 
-def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """The blocks of :func:`_worded` with their batch and the hash of each pair."""
+def _hashed(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[tuple]:
+    """The blocks of :func:`_worded` with their batch, and for each order from 2 up to
+    ``longest`` a 64-bit hash of the phrase at each word, and whether its piece holds it."""
     for batch in batches:
         languages = _language_numbers(batch)
         for block, starts, ends, row, follows in _worded(iter([batch])):
-            yield batch, block, starts, ends, row, follows, _pairs(block, starts, ends, languages[block.first + row])
-
-
-def _counted_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for *_, follows, pairs in _numbered(batches):
-        found, n = np.unique(pairs[follows], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(texts.signed(found)), pa.array(n.astype(np.int64))], ["pair", "n"])
-
+            words = texts.ranges(block.quick_sums(), starts, ends)
+            phrase, held = words ^ languages[block.first + row], np.ones(len(words), bool)
+            grams = {}
+            for order in range(2, longest + 1):
+                held = held[:-1] & follows[order - 2 :]
+                phrase = texts.mix(phrase[:-1] * np.uint64(3) + texts.mix(words[order - 1 :]))
+                grams[order] = phrase, held
+            yield batch, block, starts, ends, row, grams
+
+
+def _usable(grams: dict, order: int, known: dict[int, np.ndarray], n_slots: int) -> np.ndarray:
+    """Where a piece holds a phrase of an order whose hash is flagged, if flags are known."""
+    phrase, held = grams[order]
+    return held & _flagged(known[order], phrase, n_slots) if order in known else held
+
+
+def frequent_slots(rows: DataFrame, min_count: int, order: int, known: dict[int, np.ndarray]) -> np.ndarray:
+    """A bit for each slot: whether a phrase of an order that falls in it may reach the least
+    count. Phrases in which a shorter one is known to stay below are not counted. Words of
+    64 bits come to the driver, at most one for 64 slots."""
+    n_slots = FILTER_SLOTS
 
-def frequent_slots(rows: DataFrame, min_count: int) -> np.ndarray:
-    """A bit for each slot: whether a pair of neighbours that falls in it may reach the
-    least count. Words of 64 bits come to the driver, at most one for 64 slots."""
-    counted = rows.mapInArrow(_counted_pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    slots = counted.where(F.col("n") >= min_count).select(F.pmod("pair", F.lit(FILTER_SLOTS)).alias("slot"))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for *_, grams in _hashed(batches, order):
+            phrase, held = grams[order]
+            for shorter in known:
+                usable = _usable(grams, shorter, known, n_slots)
+                for first in range(order - shorter + 1):
+                    held = held & usable[first : first + len(held)]
+            found, n = np.unique(phrase[held], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(texts.signed(found)), pa.array(n.astype(np.int64))], ["phrase", "n"])
+
+    counted = rows.mapInArrow(count, "phrase long, n long").groupBy("phrase").agg(F.sum("n").alias("n"))
+    slots = counted.where(F.col("n") >= min_count).select(F.pmod("phrase", F.lit(n_slots)).alias("slot"))
     bit = F.expr("shiftleft(1L, CAST(slot & 63 AS INT))")
     words = slots.groupBy((F.col("slot") / 64).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits"))
     found = words.toArrow()
-    bits = np.zeros(-(-FILTER_SLOTS // 64), np.uint64)
+    bits = np.zeros(-(-n_slots // 64), np.uint64)
     bits[texts.numbers(found["word"].combine_chunks())] = texts.numbers(found["bits"].combine_chunks()).view(np.uint64)
     return bits
 
 
-def _flagged(bits: np.ndarray, pairs: np.ndarray, n_slots: int) -> np.ndarray:
-    slots = np.mod(texts.signed(pairs), n_slots)
+def _flagged(bits: np.ndarray, phrases: np.ndarray, n_slots: int) -> np.ndarray:
+    slots = np.mod(texts.signed(phrases), n_slots)
     return (bits[slots >> 6] >> (slots & 63).astype(np.uint64)) & np.uint64(1) == 1
 
 
@@ -115,21 +131,26 @@ def _strings(block: texts.Block, starts: np.ndarray, ends: np.ndarray) -> pa.Str
     return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data))
 
 
-def windows(rows: DataFrame, bits: np.ndarray, longest: int) -> DataFrame:
-    """``n`` of each padded longest window ``w1, w2, ...`` of a block, cut where a pair is rare."""
-    names = [f"w{k}" for k in range(1, longest + 1)]
-    n_slots = FILTER_SLOTS
+def windows(rows: DataFrame, known: dict[int, np.ndarray], longest: int) -> DataFrame:
+    """``n`` of each padded longest window ``w1, w2, ...`` of a block, cut where a phrase in
+    it is known to stay below the least count."""
+    names, n_slots = [f"w{k}" for k in range(1, longest + 1)], FILTER_SLOTS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, block, starts, ends, row, follows, pairs in _numbered(batches):
-            usable = np.append(follows & _flagged(bits, pairs, n_slots), np.zeros(longest, bool))
+        for batch, block, starts, ends, row, grams in _hashed(batches, max(longest - 1, 2)):
+            size = len(starts)
+            padded = lambda flags: np.append(flags, np.zeros(size + longest - len(flags), flags.dtype))
+            usable = {order: padded(_usable(grams, order, known, n_slots)) for order in grams}
             words = _strings(block, starts, ends).dictionary_encode()
-            codes = np.append(texts.numbers(words.indices), np.zeros(longest, np.int32))
-            lead, ahead = usable[: len(starts)], [codes[: len(starts)]]
+            codes = padded(texts.numbers(words.indices))
+            lead, ahead = np.ones(size, bool), [codes[:size]]
             for k in range(1, longest):
-                # Lead column k: the word k places on, or the pad, code -1.
-                ahead.append(np.where(lead, codes[k : k + len(starts)], -1))
-                lead = lead & usable[k : k + len(starts)]
+                # Lead column k: the word k places on, or the pad, code -1. All phrases that
+                # end with it and start in the window have to be usable.
+                for order, flags in usable.items():
+                    if order <= k + 1:
+                        lead = lead & flags[k + 1 - order : k + 1 - order + size]
+                ahead.append(np.where(lead, codes[k : k + size], -1))
             languages = batch["lang"].take(pa.array(block.first + row)).dictionary_encode()
             table = pa.table([pa.array(texts.numbers(languages.indices)), *map(pa.array, ahead)], ["lang", *names])
             table = table.group_by(table.column_names).aggregate([([], "count_all")])
@@ -152,7 +173,10 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, longest: int =
         F.coalesce(docs["lang"], F.lit(NO_LANGUAGE)).alias("lang"), F.coalesce(docs["text"], F.lit("")).alias("text")
     )
     names = [f"w{k}" for k in range(1, longest + 1)]
-    counted = windows(rows, frequent_slots(rows, min_count), longest).groupBy("lang", *names).agg(F.sum("n").alias("n"))
+    known: dict[int, np.ndarray] = {}
+    for order in range(2, max(longest, 3)):
+        known[order] = frequent_slots(rows, min_count, order, known)
+    counted = windows(rows, known, longest).groupBy("lang", *names).agg(F.sum("n").alias("n"))
     summed = counted.rollup("lang", *names).agg(F.sum("n").alias("f"), F.grouping_id().alias("above"))
     # Columns that a row sums over are null; grouping ids below the last leave the language.
     words = F.array_compact(F.array(*[F.col(n) for n in names]))
