@@ -47,7 +47,7 @@ NEAR = 8
 def features(block: texts.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Slots of words, slots and words of n-grams, words' rows, and words per row."""
     starts, ends, first = block.words()
-    sums = block.sums()
+    sums = block.quick_sums()
     row = texts.rows_of(first)
     mask = np.uint64(SLOTS - 1)
     words = (texts.ranges(sums, starts, ends) & mask).astype(np.int64)

@@ -168,7 +168,7 @@ def _anchor_map(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
                 yield from chunk.add(
                     key=texts.signed(texts.ranges(sums, first[long], first[long + 1])),
                     key2=texts.signed(
-                        texts.ranges(texts.prefix_sums(other), first[long], first[long + 1])
+                        texts.ranges(texts.prefix_sums(other, 1), first[long], first[long + 1])
                     ),
                     doc=doc[long],
                     tag=tag[long],
@@ -236,7 +236,7 @@ def _window_map(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
                 of = np.searchsorted(first, start, "right") - 1
                 yield from chunk.add(
                     key=texts.signed(texts.ranges(texts.prefix_sums(words), start, start + window)),
-                    key2=texts.signed(texts.ranges(texts.prefix_sums(other), start, start + window)),
+                    key2=texts.signed(texts.ranges(texts.prefix_sums(other, 1), start, start + window)),
                     doc=doc[of],
                     tag=tag[of],
                     pos=start - first[of],

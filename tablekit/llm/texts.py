@@ -3,8 +3,11 @@
 Texts are taken in blocks of about ``BLOCK_BYTES``, cut between rows only, so that a
 task holds a few arrays of that size (or of its longest text) and no more.
 
-Fingerprints are polynomials modulo 2^64 over randomly numbered bytes, mixed at the
-end. Where a result rests on equality of fingerprints, two independent ones are used.
+Fingerprints are polynomials over randomly numbered bytes, modulo two primes of 31 bits
+each, mixed at the end. Where a result rests on equality of fingerprints, two independent
+ones are used: other primes, other bases and other numbers of the bytes. Polynomials
+modulo 2^64 are quicker, but texts of a thousand letters can be made that collide for
+every base, so these ``quick`` ones only serve where a collision changes no result.
 """
 
 from __future__ import annotations
@@ -19,8 +22,12 @@ BLOCK_BYTES = 1 << 21
 BASE = 0x9E3779B97F4A7C15 | 1
 SEED = 20240607
 
-_NUMBERS = np.random.default_rng(SEED).integers(1, 2**63, (2, 256), dtype=np.uint64)
-_POWERS: dict[str, np.ndarray] = {}
+# Two primes below 2^31 for each of the two numberings, with a base each.
+PRIMES = ((2147483647, 2147483629), (2147483587, 2147483579))
+_RANDOM = np.random.default_rng(SEED)
+_NUMBERS = _RANDOM.integers(1, 2**63, (2, 256), dtype=np.uint64)
+_BASES = tuple(tuple(int(_RANDOM.integers(2**29, p - 1)) for p in pair) for pair in PRIMES)
+_POWERS: dict[object, np.ndarray] = {}
 
 
 def table_of(members: bytes) -> np.ndarray:
@@ -45,6 +52,19 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
+def _powers_modulo(prime: int, base: int, n: int) -> np.ndarray:
+    """Powers of a base modulo a prime, for exponents up to ``n``."""
+    have = _POWERS.get((prime, base))
+    if have is None or len(have) <= n:
+        size = max(n + 1, BLOCK_BYTES + 1)
+        have = np.ones(1, np.uint64)
+        while len(have) < size:
+            step = np.uint64(pow(base, len(have), prime))
+            have = np.concatenate([have, have * step % np.uint64(prime)])
+        _POWERS[prime, base] = have
+    return have
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A permutation of 64-bit numbers that spreads every bit."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -52,18 +72,49 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def prefix_sums(values: np.ndarray) -> np.ndarray:
-    """Sums of ``values[i] * BASE**i``, from which any range's fingerprint follows."""
+class Sums:
+    """Prefix sums of a polynomial modulo two primes, from which any range's value follows.
+
+    A sum of as many terms as memory holds stays below 2^64, so sums are not reduced.
+    """
+
+    def __init__(self, values: np.ndarray, which: int) -> None:
+        self.which = which
+        self.sums = []
+        for prime, base in zip(PRIMES[which], _BASES[which], strict=True):
+            p = np.uint64(prime)
+            sums = np.zeros(len(values) + 1, np.uint64)
+            np.cumsum((values % p) * _powers_modulo(prime, base, len(values))[: len(values)] % p, out=sums[1:])
+            self.sums.append(sums)
+
+    def ranges(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        parts = []
+        for prime, base, sums in zip(PRIMES[self.which], _BASES[self.which], self.sums, strict=True):
+            p = np.uint64(prime)
+            down = _powers_modulo(prime, pow(base, -1, prime), len(sums))
+            parts.append((sums[ends] - sums[starts]) % p * down[starts] % p)
+        return parts[0] << np.uint64(32) | parts[1]
+
+
+def prefix_sums(values: np.ndarray, which: int = 0) -> Sums:
+    """Sums of ``values[i] * base**i``; ``which`` chooses one of two independent families."""
+    return Sums(values, which)
+
+
+def quick_sums(values: np.ndarray) -> np.ndarray:
+    """The same modulo 2^64, for use where a collision changes no result."""
     up, _ = powers(len(values))
     sums = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * up[: len(values)], out=sums[1:])
     return sums
 
 
-def ranges(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def ranges(sums: Sums | np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Fingerprints of the ranges, equal for equal values wherever they stand."""
-    _, down = powers(len(sums))
     lengths = (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    if isinstance(sums, Sums):
+        return mix(sums.ranges(starts, ends) + lengths)
+    _, down = powers(len(sums))
     return mix((sums[ends] - sums[starts]) * down[starts] + lengths)
 
 
@@ -72,14 +123,19 @@ class Block:
 
     def __init__(self, first: int, data: np.ndarray, offsets: np.ndarray) -> None:
         self.first, self.data, self.offsets = first, data, offsets
-        self._sums: dict[int, np.ndarray] = {}
+        self._sums: dict[int | str, Sums | np.ndarray] = {}
 
-    def sums(self, which: int = 0) -> np.ndarray:
+    def sums(self, which: int = 0) -> Sums:
         """Prefix sums of the bytes; ``which`` chooses one of two numberings."""
         if which not in self._sums:
-            self._sums[which] = prefix_sums(_NUMBERS[which][self.data])
+            self._sums[which] = prefix_sums(_NUMBERS[which][self.data], which)
         return self._sums[which]
 
+    def quick_sums(self) -> np.ndarray:
+        if "quick" not in self._sums:
+            self._sums["quick"] = quick_sums(_NUMBERS[0][self.data])
+        return self._sums["quick"]
+
     def tags(self) -> np.ndarray:
         """31 bits of each text, to tell rows apart that share an id."""
         whole = ranges(self.sums(), self.offsets[:-1], self.offsets[1:])
