@@ -15,6 +15,7 @@ DIALECTS = (POSTGRES, MYSQL, SQLITE)
 
 # Output formats.
 ISO_TIMESTAMP = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
+ISO_MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
 ISO_DATE = "yyyy-MM-dd'T'00:00:00.000'Z'"
 BUCKET_FORMATS = {
     "hour": "yyyy-MM-dd HH:00:00",
@@ -56,10 +57,10 @@ def _without_zeros(value: Column) -> Column:
     return F.rtrim(value.cast("string"), F.lit("0"))
 
 
-def iso_text(value: Column, data_type: T.DataType) -> Column:
+def iso_text(value: Column, data_type: T.DataType, micros: bool = False) -> Column:
     if isinstance(data_type, T.DateType):
         return F.date_format(value, ISO_DATE)
-    return F.date_format(value, ISO_TIMESTAMP)
+    return F.date_format(value, ISO_MICROS if micros else ISO_TIMESTAMP)
 
 
 def json_text(value: Column, data_type: T.DataType) -> Column:
@@ -84,14 +85,14 @@ def finite_number_text(value: Column, data_type: T.DataType) -> Column:
     return F.when(usable, number_text(value, data_type))
 
 
-def text_of(value: Column, data_type: T.DataType) -> Column:
+def text_of(value: Column, data_type: T.DataType, micros: bool = False) -> Column:
     """Text of a value in files: plain numbers, ISO instants, JSON; null stays null."""
     if isinstance(data_type, T.StringType):
         return value
     if isinstance(data_type, T.NumericType):
         return number_text(value, data_type)
     if isinstance(data_type, (T.DateType, *kinds.TIMESTAMP_TYPES)):
-        return iso_text(value, data_type)
+        return iso_text(value, data_type, micros)
     if isinstance(data_type, (*kinds.NESTED_TYPES, T.VariantType)):
         return json_text(value, data_type)
     if isinstance(data_type, T.BinaryType):
@@ -117,9 +118,9 @@ def csv_header(names: list[str]) -> str:
     return ",".join('"' + name.replace('"', '""') + '"' for name in names)
 
 
-def copy_cell(value: Column, data_type: T.DataType) -> Column:
+def copy_cell(value: Column, data_type: T.DataType, micros: bool = False) -> Column:
     """COPY text cell. Backslashes go first, so later escapes are not doubled."""
-    escaped = text_of(value, data_type)
+    escaped = text_of(value, data_type, micros)
     if not is_plain(data_type):
         for raw, mark in (("\\", "\\\\"), ("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r")):
             escaped = F.replace(escaped, F.lit(raw), F.lit(mark))
@@ -141,7 +142,7 @@ def copy_cell_text(cell: Column, data_type: T.DataType) -> Column:
     return F.when(~cell.contains("\\"), cell).when(cell != COPY_NULL, F.array_join(pieces, "\\"))
 
 
-def sql_literal(value: Column, data_type: T.DataType, dialect: str) -> Column:
+def sql_literal(value: Column, data_type: T.DataType, dialect: str, micros: bool = False) -> Column:
     """Literal in an INSERT statement; null, NaN and infinities become NULL."""
     if isinstance(data_type, T.NullType):
         return F.lit("NULL")
@@ -151,7 +152,7 @@ def sql_literal(value: Column, data_type: T.DataType, dialect: str) -> Column:
         yes, no = ("1", "0") if dialect == MYSQL else ("TRUE", "FALSE")
         literal = F.when(value, yes).when(~value, no)
     else:
-        text = text_of(value, data_type)
+        text = text_of(value, data_type, micros)
         if not is_plain(data_type):
             text = F.replace(text, F.lit("'"), F.lit("''"))
         literal = F.concat(F.lit("'"), text, F.lit("'"))

@@ -9,12 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablekit.functions import fakes, rendering
+from tablekit.functions import fakes, kinds, key_cipher, rendering
 
 # Fixed value: what a redacted value turns into.
 REDACTED = "[REDACTED]"
 
-METHODS = ("mask", "redact", "null", *fakes.FAKES, "faker:text", "faker:number")
+# The method whose fakes of unlike keys are unlike.
+KEY_METHOD = "faker:key"
+METHODS = ("mask", "redact", "null", *fakes.FAKES, "faker:text", "faker:number", KEY_METHOD)
 
 
 @dataclass(frozen=True)
@@ -23,7 +25,9 @@ class Rule:
 
     Fakes are keyed by table and column, so one value gets different fakes in two
     tables. Rules that name the same ``scope`` share their fakes instead, which
-    keeps keys joinable.
+    keeps keys joinable. Only ``faker:key`` gives unlike values unlike fakes: whole
+    numbers are permuted, among all numbers of the column's type or those from 0 up to
+    ``below``; other keys are hashed. Columns that share a scope need one type.
     """
 
     table: str
@@ -36,6 +40,7 @@ class Rule:
     low: int = fakes.NUMBER_RANGE[0]
     high: int = fakes.NUMBER_RANGE[1]
     scope: str | None = None
+    below: int | None = None
 
     def __post_init__(self) -> None:
         if self.method not in METHODS:
@@ -44,6 +49,8 @@ class Rule:
             raise ValueError("Preserved lengths must not be negative.")
         if self.low > self.high:
             raise ValueError("The lowest number must not exceed the highest.")
+        if self.below is not None and self.below < 1:
+            raise ValueError("The bound of key fakes must be positive.")
         if self.max_length is not None and self.max_length < 1:
             raise ValueError("The text length must be positive.")
 
@@ -66,6 +73,10 @@ def _replacement(value: Column, data_type: T.DataType, rule: Rule, seed: str) ->
     if rule.method == "redact":
         return F.when(value.isNotNull(), F.lit(REDACTED))
     domain = (rule.scope,) if rule.scope else (rule.table, rule.column)
+    if rule.method == KEY_METHOD:
+        if isinstance(data_type, kinds.INTEGRAL_TYPES):
+            return key_cipher.permuted_key(value, data_type, (seed, *domain), rule.below)
+        return key_cipher.hashed_key(rendering.text_of(value, data_type, micros=True), (seed, *domain))
     h = fakes.digest((seed, *domain), text)
     if rule.method == "faker:number":
         return fakes.number(h, rule.low, rule.high)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,16 +11,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablekit.functions import kinds, parsing, rendering
-from tablekit.operators.anonymize import Rule, anonymize
+from tablekit.operators.anonymize import KEY_METHOD, Rule, anonymize
 from tablekit.plans import limits
 from tablekit.plans.naming import unique_file_names
 from tablekit.sources import storage
 from tablekit.sources.catalog import Catalog
 
 
-def copy_lines(df: DataFrame, *keep: str) -> DataFrame:
-    """One COPY data ``line`` per row; ``keep`` names columns to carry along."""
-    cells = [rendering.copy_cell(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields]
+def copy_lines(df: DataFrame, *keep: str, micros: bool = False) -> DataFrame:
+    """One COPY data ``line`` per row; ``keep`` names columns to carry along.
+
+    Instants are cut to milliseconds, unless ``micros`` asks for all of them.
+    """
+    cells = [rendering.copy_cell(F.col(f"`{f.name}`"), f.dataType, micros) for f in df.schema.fields]
     return df.select(*keep, F.concat_ws("\t", *cells).alias("line"))
 
 
@@ -28,20 +32,51 @@ def copy_header(table: str, columns: list[str]) -> str:
     return f"COPY {rendering.quote_identifier(table, rendering.POSTGRES)} ({names}) FROM stdin;"
 
 
-def copy_rows(lines: DataFrame, schema: T.StructType) -> DataFrame:
+def copy_rows(lines: DataFrame, schema: T.StructType, misfits: bool = False) -> DataFrame:
     """Typed rows of COPY data lines (column ``line``); inverse of :func:`copy_lines`.
 
-    Cells that do not fit their column become null, like in an import.
+    ``misfits`` adds a column with the names of those columns whose cell doesn't fit, as
+    null there; a line of another number of cells fits no column.
     """
-    fields = list(enumerate(schema.fields))
     cells = lines.select(F.split(F.col("line"), "\t", -1).alias("cells"))
+
+    def text(i: int, data_type: T.DataType) -> Column:
+        return rendering.copy_cell_text(F.get(F.col("cells"), F.lit(i)), data_type)
+
+    rows = typed_cells(cells, schema, text)
+    return rows if misfits else rows.drop(MISFITS)
+
+
+MISFITS = "_misfits"
+
+
+def typed_cells(
+    cells: DataFrame, schema: T.StructType, text: Callable[[int, T.DataType], Column]
+) -> DataFrame:
+    """Typed columns, and the names of those that don't fit, of rows of ``cells``."""
+    fields = list(enumerate(schema.fields))
     texts = cells.select(
-        *[
-            rendering.copy_cell_text(F.get(F.col("cells"), F.lit(i)), f.dataType).alias(f"_text_{i}")
-            for i, f in fields
-        ]
+        *[text(i, f.dataType).alias(f"_text_{i}") for i, f in fields],
+        (F.size("cells") == len(fields)).alias("_whole"),
+    )
+    typed = texts.select(
+        *[F.when(F.col("_whole"), _typed(F.col(f"_text_{i}"), f.dataType)).alias(f"_value_{i}") for i, f in fields],
+        *[f"_text_{i}" for i, _ in fields],
+        "_whole",
+    )
+    wrong = [
+        F.when(~F.col("_whole") | (F.col(f"_value_{i}").isNull() & F.col(f"_text_{i}").isNotNull()), F.lit(f.name))
+        for i, f in fields
+    ]
+    return typed.select(
+        *[F.col(f"_value_{i}").alias(f.name) for i, f in fields], F.array_compact(F.array(*wrong)).alias(MISFITS)
     )
-    return texts.select(*[_typed(F.col(f"_text_{i}"), f.dataType).alias(f.name) for i, f in fields])
+
+
+def misfit_counts(rows: DataFrame) -> DataFrame:
+    """Rows with a misfit, by column, of rows that were read with their misfits."""
+    names = rows.select(F.explode(MISFITS).alias("column_name"))
+    return names.groupBy("column_name").agg(F.count(F.lit(1)).alias("misfits"))
 
 
 def _typed(text: Column, data_type: T.DataType) -> Column:
@@ -92,6 +127,13 @@ def partition_starts(sizes: DataFrame) -> DataFrame:
     return sizes.select("_part", start.alias("_start"))
 
 
+def insert_heads(table: str, columns: list[str], dialect: str) -> tuple[str, str]:
+    """What an INSERT starts with, with and without the names of its columns."""
+    names = ", ".join(rendering.quote_identifier(c, dialect) for c in columns)
+    into = f"INSERT INTO {rendering.quote_identifier(table, dialect)}"
+    return f"{into} ({names}) VALUES", f"{into} VALUES"
+
+
 def insert_statements(
     df: DataFrame,
     table: str,
@@ -99,22 +141,23 @@ def insert_statements(
     key: tuple[str, ...] = (),
     batch_rows: int = limits.INSERT_BATCH,
     stage: storage.Stage | None = None,
+    micros: bool = False,
 ) -> DataFrame:
     """``batch`` and ``statement``: multi-row INSERTs in key order, the last one partial.
 
-    Without a key, rows are ordered by all columns that can be compared.
+    Without a key, rows are ordered by all columns that can be compared. Instants are cut
+    to milliseconds, unless ``micros`` asks for all of them.
     """
     if dialect not in rendering.DIALECTS:
         raise ValueError(f"Unknown dialect: {dialect}")
     sortable = [f.name for f in df.schema.fields if kinds.is_orderable(f.dataType)]
     order = list(key) or sortable
     literals = [
-        rendering.sql_literal(F.col(f"`{f.name}`"), f.dataType, dialect) for f in df.schema.fields
+        rendering.sql_literal(F.col(f"`{f.name}`"), f.dataType, dialect, micros) for f in df.schema.fields
     ]
     values = F.concat(F.lit("("), F.concat_ws(", ", *literals), F.lit(")"))
     numbered = numbered_rows(df, order, bool(key), values.alias("_values"), stage=stage)
-    names = ", ".join(rendering.quote_identifier(c, dialect) for c in df.columns)
-    head = f"INSERT INTO {rendering.quote_identifier(table, dialect)} ({names}) VALUES "
+    head = insert_heads(table, df.columns, dialect)[0] + " "
     batches = numbered.groupBy(
         F.floor(F.col("_index") / F.lit(batch_rows)).cast("bigint").alias("batch")
     ).agg(F.sort_array(F.collect_list(F.struct("_index", "_values"))).alias("rows"))
@@ -184,7 +227,7 @@ def anonymized_dump(
         replaced = anonymize(chosen.table(name), name, rules, seed)
         target = f"{out}/{folder}"
         key = chosen.contract(name).primary_key
-        if any(rule.table == name and rule.column in key for rule in rules):
+        if any(rule.table == name and rule.column in key and rule.method != KEY_METHOD for rule in rules):
             key = ()  # replaced key values may repeat
         with storage.Stage() as stage:
             render(replaced, name, dialect, key, stage).write.text(f"{target}/2_data")

@@ -25,6 +25,10 @@ from tablekit.sources.csv_files import (
 
 REASON = "_error_reason"
 
+# Rows that have the key columns, or a function from keys and the names of their
+# columns to such rows, all that match among them.
+Target = DataFrame | Callable[[DataFrame, list[str]], DataFrame]
+
 # The reasons given for a rejected row, in order of precedence.
 RAGGED = "Row has a wrong number of fields."
 WRONG_TYPE = "Invalid {type} value in column {column}."
@@ -138,14 +142,15 @@ def check_rows(
     mapping: dict[str, str],
     position: list[str],
     parents: Callable[[str], DataFrame] | None = None,
-    target: DataFrame | None = None,
+    target: Target | None = None,
     stage: storage.Stage | None = None,
 ) -> Checked:
     """Check text rows against a contract, without failing on any of them.
 
     ``position`` names columns that give every row its place in the input. A row
     refused for another reason does not occupy its key. The typed rows are staged,
-    so the later passes read only the columns they need.
+    so the later passes read only the columns they need. ``target`` holds keys in use,
+    or gives those that may match some keys.
     """
     stage = stage or storage.Stage()
     headers = [c for c in raw.columns if c not in (*position, CORRUPT)]
@@ -180,7 +185,7 @@ def _check_references(
 
 
 def _check_keys(
-    rows: DataFrame, contract: Contract, out: dict[str, str], position: list[str], target: DataFrame | None
+    rows: DataFrame, contract: Contract, out: dict[str, str], position: list[str], target: Target | None
 ) -> DataFrame:
     """The first row of a key stays, unless the target holds the key already."""
     if not contract.primary_key or any(c not in out for c in contract.primary_key):
@@ -193,7 +198,8 @@ def _check_keys(
         groups = groups.withColumn("_present", F.lit(False))
     else:
         groups = storage.checkpointed(groups)
-        existing = lookup.keys_found(groups, keys, target, list(contract.primary_key))
+        held = target if isinstance(target, DataFrame) else target(groups, keys)
+        existing = lookup.keys_found(groups, keys, held, list(contract.primary_key))
         groups = groups.join(existing.withColumn("_present", F.lit(True)), keys, "left")
         groups = groups.withColumn("_present", F.coalesce("_present", F.lit(False)))
     contested = groups.where((F.col("_n") > 1) | F.col("_present"))

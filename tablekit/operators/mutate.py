@@ -208,7 +208,7 @@ def latest_patch(validated: DataFrame, contract: Contract, order: str) -> DataFr
 def apply_updates(base: DataFrame, patch: DataFrame, contract: Contract) -> DataFrame:
     """Table with the patched values; a value that was set to null becomes null."""
     patch = storage.checkpointed(patch)
-    same = _key_match(base, patch, contract)
+    same = key_match(base, patch, contract)
     # A small patch is broadcast, after a check of its size, and the table not shuffled.
     joined = base.join(F.broadcast(patch) if lookup.is_small(patch) else patch, same, "left")
 
@@ -232,7 +232,7 @@ def unmatched_updates(base: DataFrame, patch: DataFrame, contract: Contract) ->
     )
 
 
-def _key_match(base: DataFrame, patch: DataFrame, contract: Contract) -> Column:
+def key_match(base: DataFrame, patch: DataFrame, contract: Contract) -> Column:
     return reduce(
         lambda a, b: a & b, [base[c] == patch[f"key_{c}"] for c in contract.primary_key]
     )

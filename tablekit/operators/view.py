@@ -79,7 +79,7 @@ def sort_plan(schema: T.StructType, sorts: tuple[Sort, ...], key: tuple[str, ...
     return [sort for sort in plan if sort.column in sortable]
 
 
-def _ordering(sort: Sort) -> Column:
+def ordering(sort: Sort) -> Column:
     column = F.col(f"`{sort.column}`")
     return column.desc_nulls_last() if sort.descending else column.asc_nulls_first()
 
@@ -91,8 +91,8 @@ def filtered(df: DataFrame, page: Page) -> DataFrame:
 
 def page_rows(df: DataFrame, page: Page, key: tuple[str, ...] = ()) -> DataFrame:
     """Rows of one page; each task keeps only the first ``offset + size`` rows."""
-    ordering = [_ordering(sort) for sort in sort_plan(df.schema, page.sorts, key)]
-    return filtered(df, page).orderBy(*ordering).offset(page.index * page.size).limit(page.size)
+    order = [ordering(sort) for sort in sort_plan(df.schema, page.sorts, key)]
+    return filtered(df, page).orderBy(*order).offset(page.index * page.size).limit(page.size)
 
 
 def page_rows_after(
@@ -105,25 +105,30 @@ def page_rows_after(
     value of the order.
     """
     plan = sort_plan(df.schema, page.sorts, key)
-    beyond = F.lit(False)
-    bound = _leading_bound(df.schema, plan[0], last)
+    bound = leading_bound(df.schema, plan[0], last)
+    rest = filtered(df, page).where(bound).where(beyond(df.schema, plan, last))
+    return rest.orderBy(*map(ordering, plan)).limit(page.size)
+
+
+def beyond(schema: T.StructType, plan: list[Sort], last: Mapping[str, Any]) -> Column:
+    """Whether a row follows the row ``last`` in the order of the plan; never null."""
+    follows = F.lit(False)
     equal = F.lit(True)
     for sort in plan:
         column = F.col(f"`{sort.column}`")
-        value = F.lit(last[sort.column]).cast(df.schema[sort.column].dataType)
+        value = F.lit(last[sort.column]).cast(schema[sort.column].dataType)
         if last[sort.column] is None:
             after = F.lit(False) if sort.descending else column.isNotNull()
         elif sort.descending:
             after = (column < value) | column.isNull()
         else:
             after = column > value
-        beyond = beyond | (equal & F.coalesce(after, F.lit(False)))
+        follows = follows | (equal & F.coalesce(after, F.lit(False)))
         equal = equal & column.eqNullSafe(value)
-    rest = filtered(df, page).where(bound).where(beyond)
-    return rest.orderBy(*map(_ordering, plan)).limit(page.size)
+    return follows
 
 
-def _leading_bound(schema: T.StructType, sort: Sort, last: Mapping[str, Any]) -> Column:
+def leading_bound(schema: T.StructType, sort: Sort, last: Mapping[str, Any]) -> Column:
     """What the first sort column must satisfy in every later row."""
     column, value = F.col(f"`{sort.column}`"), last[sort.column]
     if value is None:

@@ -86,7 +86,8 @@ def _target_orders(catalog: Catalog) -> DataFrame:
     return catalog.table("orders").where(F.col("o_orderkey") % 67 == 0)
 
 
-def _imported(spark: SparkSession, folder: str) -> ingest.Checked:
+def imported(spark: SparkSession, folder: str) -> ingest.Checked:
+    """The faulty files, none of whose cells holds a line break, so they can be split."""
     catalog = open_catalog(spark, folder)
     return ingest.import_csv(
         spark,
@@ -94,6 +95,7 @@ def _imported(spark: SparkSession, folder: str) -> ingest.Checked:
         catalog.contract("orders"),
         parents=catalog.table,
         target=_target_orders(catalog),
+        multi_line=False,
     )
 
 
@@ -149,7 +151,8 @@ def _import_duplicate_target(spark: SparkSession, folder: str) -> DataFrame:
     target = _target_orders(catalog)
     thrice = target.unionByName(target).unionByName(target)
     checked = ingest.import_csv(
-        spark, write_faulty_files(spark, folder), catalog.contract("orders"), parents=catalog.table, target=thrice
+        spark, write_faulty_files(spark, folder), catalog.contract("orders"), parents=catalog.table, target=thrice,
+        multi_line=False,
     )
     return checked.metrics
 
@@ -167,6 +170,7 @@ def _streamed(spark: SparkSession, folder: str) -> import_stream.ImportFolders:
         parents=catalog.table,
         target=_target_orders(catalog),
         files_per_batch=2,
+        multi_line=False,
     ).awaitTermination()
     return folders
 
@@ -276,14 +280,14 @@ def _update_requests(orders: DataFrame) -> DataFrame:
     return first.unionByName(second)
 
 
-def _validated_updates(catalog: Catalog) -> tuple[DataFrame, Contract]:
+def validated_updates(catalog: Catalog) -> tuple[DataFrame, Contract]:
     declared = catalog.contract("orders")
     requests = _update_requests(catalog.table("orders"))
     return mutate.validate_rows(requests, declared, mutate.UPDATE), declared
 
 
 def _validate_update(spark: SparkSession, folder: str) -> DataFrame:
-    checked, _ = _validated_updates(open_catalog(spark, folder))
+    checked, _ = validated_updates(open_catalog(spark, folder))
     return checked.select("request", "round", "key_o_orderkey", "new_o_totalprice", "new_o_orderpriority",
                           *_shown_errors(checked))
 
@@ -317,7 +321,7 @@ FROM judged
 
 def _apply_updates(spark: SparkSession, folder: str) -> DataFrame:
     catalog = open_catalog(spark, folder)
-    checked, declared = _validated_updates(catalog)
+    checked, declared = validated_updates(catalog)
     patch = mutate.latest_patch(checked, declared, "round")
     return mutate.apply_updates(catalog.table("orders"), patch, declared)
 
@@ -339,7 +343,7 @@ FROM orders o LEFT JOIN patch p ON p.key = o.o_orderkey
 
 def _unmatched_updates(spark: SparkSession, folder: str) -> DataFrame:
     catalog = open_catalog(spark, folder)
-    checked, declared = _validated_updates(catalog)
+    checked, declared = validated_updates(catalog)
     patch = mutate.latest_patch(checked, declared, "round")
     return mutate.unmatched_updates(catalog.table("orders"), patch, declared)
 
@@ -528,12 +532,12 @@ def _seed_rules_sql() -> str:
 
 
 QUERIES = [
-    Query("import_good", lambda spark, folder: _imported(spark, folder).good, GOOD_SQL),
-    Query("import_rejects", lambda spark, folder: _imported(spark, folder).rejects, REJECTS_SQL),
-    Query("import_metrics", lambda spark, folder: _imported(spark, folder).metrics, METRICS_SQL),
+    Query("import_good", lambda spark, folder: imported(spark, folder).good, GOOD_SQL),
+    Query("import_rejects", lambda spark, folder: imported(spark, folder).rejects, REJECTS_SQL),
+    Query("import_metrics", lambda spark, folder: imported(spark, folder).metrics, METRICS_SQL),
     Query("import_duplicate_target", _import_duplicate_target, METRICS_SQL),
     Query("reject_csv_lines",
-          lambda spark, folder: ingest.reject_lines(_imported(spark, folder).rejects), REJECT_LINES_SQL),
+          lambda spark, folder: ingest.reject_lines(imported(spark, folder).rejects), REJECT_LINES_SQL),
     Query("import_stream", _import_stream, GOOD_SQL),
     Query("import_stream_progress", _import_stream_progress, METRICS_SQL),
     Query("validate_insert", _validate_insert, VALIDATE_INSERT_SQL),

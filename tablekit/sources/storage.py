@@ -23,6 +23,11 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def new_folder(spark: SparkSession, purpose: str) -> str:
     return f"{shared_folder(spark)}/tablekit-{purpose}-{uuid.uuid4().hex}"
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tablekit.operators.ingest import check_rows
+from tablekit.operators.key_index import BATCH, PARTS, KeyIndex
 from tablekit.plans.contract import Contract
 from tablekit.plans.naming import auto_map
 from tablekit.sources.csv_files import (
@@ -25,8 +27,6 @@ from tablekit.sources.csv_files import (
 )
 from tablekit.sources.storage import Stage
 
-BATCH = "_batch"
-
 
 @dataclass(frozen=True)
 class ImportFolders:
@@ -36,10 +36,11 @@ class ImportFolders:
     rejects: str
     progress: str
     checkpoint: str
+    keys: str
 
     @classmethod
     def under(cls, root: str) -> ImportFolders:
-        return cls(f"{root}/good", f"{root}/rejects", f"{root}/progress", f"{root}/checkpoint")
+        return cls(f"{root}/good", f"{root}/rejects", f"{root}/progress", f"{root}/checkpoint", f"{root}/keys")
 
 
 def import_stream(
@@ -53,11 +54,14 @@ def import_stream(
     files_per_batch: int | None = None,
     layout: CsvLayout | None = None,
     multi_line: bool = True,
+    key_parts: int = PARTS,
 ) -> StreamingQuery:
     """Import all files now in ``source`` and stop; run again to take later files.
 
     A batch that is repeated after a failure overwrites its own partitions, so no
-    row is written twice. Keys of earlier batches count as present.
+    row is written twice. Keys of earlier batches count as present; they are looked up in
+    an index of keys, of which a batch reads the parts that its own keys fall in;
+    ``key_parts`` is how many there are, the same for all runs of an import.
     """
     layout = layout or sniff_csv(spark, source)
     chosen = auto_map(layout.headers, contract.columns) if mapping is None else mapping
@@ -68,7 +72,8 @@ def import_stream(
 
     def take(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
-        present = _keys_before(session, folders.good, number, contract, target)
+        index = KeyIndex(session, folders.keys, contract, key_parts)
+        present = _present(index, number, target) if contract.primary_key else None
         raw = with_line(batch).select(*[F.col(f"`{h}`") for h in layout.headers], CORRUPT, *POSITION)
         with Stage() as stage:
             checked = check_rows(raw, contract, chosen, list(POSITION), parents, present, stage)
@@ -78,6 +83,9 @@ def import_stream(
                 (checked.metrics, folders.progress),
             ):
                 rows.write.mode("overwrite").parquet(f"{folder}/{BATCH}={number}")
+        if all(c in checked.columns for c in index.keys):
+            good = session.read.schema(checked.good.schema).parquet(f"{folders.good}/{BATCH}={number}")
+            index.add(good, number)
 
     return (
         lines.writeStream.foreachBatch(take)
@@ -87,21 +95,21 @@ def import_stream(
     )
 
 
-def _keys_before(
-    spark: SparkSession, good: str, number: int, contract: Contract, target: DataFrame | None
-) -> DataFrame | None:
-    """Keys of the target and of the batches before this one."""
-    keys = [F.col(f"`{c}`") for c in contract.primary_key]
-    if not keys:
-        return None
-    parts = [] if target is None else [target.select(*keys)]
-    if number > 0:
-        earlier = imported(spark, good).where(F.col(BATCH) < number)
-        if all(c in earlier.columns for c in contract.primary_key):
-            parts.append(earlier.select(*keys))
-    if not parts:
-        return None
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+def _present(
+    index: KeyIndex, number: int, target: DataFrame | None
+) -> Callable[[DataFrame, list[str]], DataFrame]:
+    """Keys of the target, and those of earlier batches that may be among a batch's own."""
+
+    def among(keys: DataFrame, names: list[str]) -> DataFrame:
+        columns = [F.col(f"`{c}`") for c in index.keys]
+        held = [] if target is None else [target.select(*columns)]
+        earlier = index.among(keys, names, number)
+        if earlier is not None:
+            held.append(earlier)
+        nothing = index.spark.createDataFrame([], index.contract.schema).select(*columns)
+        return reduce(DataFrame.unionByName, held) if held else nothing
+
+    return among
 
 
 def imported(spark: SparkSession, folder: str) -> DataFrame:
