@@ -35,7 +35,8 @@ def components(edges: DataFrame) -> DataFrame:
             "doc", F.least("component", F.coalesce("further", "component")).alias("component"), "old"
         )
         moves = F.count_if(F.col("component") != F.col("old"))
-        moved, seen = tables.staged_counting(moved, "points", moves=moves)
-        points = moved.select("doc", "component")
+        before, (points, seen) = points, tables.staged_counting(moved, "points", moves=moves)
+        tables.dropped(before)
         if not seen["moves"]:
+            tables.dropped(both)
             return points

@@ -6,9 +6,11 @@
    takes the value of another, by a fixed sequence of random bins that is the same for
    all documents. Neighbouring bins form bands; documents with an equal band share a
    bucket.
-3. Each bucket gives star-shaped edges: one centre against all others. Edges are
-   confirmed on full sets: first one edge of each document, then those whose ends have
-   not been joined by it. Buckets whose members are not all joined then go on
+3. Each bucket gives star-shaped edges: one centre against all others. The centre is the
+   member that meets most others in all its buckets, as an original does among its
+   copies. Edges are confirmed on full sets: first each document's edge to the centre it
+   shares most buckets with, then its next, then those whose ends have not been joined
+   by these. Buckets whose members are not all joined then go on
    with twice as many centres among those that have been none, until all are joined or
    have been centres. So a bucket of copies costs one star, and no pair that shares a
    bucket is left out, unless both are known to be joined already.
@@ -95,7 +97,7 @@ def _signatures(size: int):
         for batch in batches:
             for block in texts.blocks(batch.column(1)):
                 prints, first = shingle_sets(block, size)
-                other = texts.prefix_sums(texts.mix(prints ^ np.uint64(0x5851F42D4C957F2D)))
+                other = texts.prefix_sums(texts.mix(prints ^ np.uint64(0x5851F42D4C957F2D)), 1)
                 signature = densified(prints, first, BINS)
                 value = np.zeros((block.rows, BANDS), np.uint64)
                 for k in range(ROWS):
@@ -175,18 +177,28 @@ def _confirmed(percent: int):
 
 
 def _stars(live: DataFrame, turn: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Centres of a turn, up to ``2**turn`` a bucket, and the edges (a, b) of their stars.
+    """Centres of a turn, up to ``2**turn`` a bucket, and the edges (a, b, shared) of their
+    stars: the centre, the other end, and in how many buckets they meet.
 
-    Sizes that rule the threshold out, and ends that are joined already, give no edge.
+    A bucket's centre is the node that meets most others, counted over all its buckets. Copies
+    of one text are nearer to it than to each other, so it is the one that they share most
+    buckets with, and most of its edges hold. Sizes that rule the threshold out, and ends
+    that are joined already, give no edge.
     """
+    met = live.groupBy("node").agg(F.sum("others").alias("met"))
+    ranked = live.join(_small(met, "met"), "node")
     lot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << turn))
-    centers = live.groupBy("bucket", lot.alias("lot")).agg(F.min(F.struct("node", "n", "component")).alias("c"))
-    centers = centers.select("bucket", "c")
-    n, c = F.col("n"), F.col("c.n")
+    first = F.max(F.struct("met", -F.col("node"), "node", "n", "component")).alias("c")
+    centers = ranked.groupBy("bucket", lot.alias("lot")).agg(first).select("bucket", "c.node", "c.n", "c.component", "c.met")
+    n, c = F.col("l.n"), F.col("c.n")
     fits = (n * 100 >= c * percent) & (c * 100 >= n * percent)
-    edges = live.join(centers, "bucket").where(fits & (F.col("component") != F.col("c.component")))
-    ends = F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")
-    return centers.select("bucket", F.col("c.node").alias("node")), edges.select(*ends).distinct()
+    apart = F.col("l.component") != F.col("c.component")
+    edges = live.alias("l").join(centers.alias("c"), "bucket").where(fits & apart)
+    low, high = F.least("l.node", "c.node").alias("low"), F.greatest("l.node", "c.node").alias("high")
+    center = F.max(F.struct("c.met", F.col("c.node").alias("node")))["node"].alias("a")
+    edges = edges.groupBy(low, high).agg(F.count(F.lit(1)).alias("shared"), center)
+    b = F.when(F.col("a") == F.col("low"), F.col("high")).otherwise(F.col("low"))
+    return centers.select("bucket", "node"), edges.select("a", b.alias("b"), "shared")
 
 
 def _with_components(df: DataFrame, node: str, joined: DataFrame | None, name: str = "component") -> DataFrame:
@@ -227,44 +239,66 @@ def _candidates(rows: DataFrame, live: DataFrame) -> DataFrame:
     return tables.staged(rows.join(nodes, "doc", "left_semi"), "candidates")
 
 
+# Edges of each document that are tested one by one, the best first, before all others.
+SINGLE_EDGES = 2
+
+
 def confirmed_links(rows: DataFrame, members: DataFrame, shingle: int, percent: int) -> DataFrame | None:
-    """Components (doc, component) of all nodes that share a bucket with a similar one."""
-    links = joined = tested = None
+    """Components (doc, component) of all nodes that share a bucket with a similar one.
+
+    Tables of a turn are dropped when the next ones are written.
+    """
+    joined = tested = live = None
     turn = 0
     while True:
+        before = live
         live = _with_components(members, "node", joined)
-        span = live.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        live = live.join(span.where("low <> high").select("bucket"), "bucket")
+        ends = F.min("component").alias("low"), F.max("component").alias("high")
+        span = live.groupBy("bucket").agg(*ends, F.count(F.lit(1)).alias("others"))
+        live = live.join(span.where("low <> high").select("bucket", "others"), "bucket")
         live, seen = tables.staged_counting(live, "buckets", n=F.count(F.lit(1)))
+        tables.dropped(before)
         if not seen["n"]:
+            tables.dropped(rows if turn else None)
             return joined
         if turn == 0:
             rows = _candidates(rows, live)
         centers, pending = _stars(live, turn, percent)
         members = live.join(centers, ["bucket", "node"], "left_anti").select("bucket", "node", "n")
         if tested is not None:
-            pending = pending.join(tested, ["a", "b"], "left_anti")
+            same = (F.least("a", "b") == F.col("low")) & (F.greatest("a", "b") == F.col("high"))
+            pending = pending.join(tested, same, "left_anti")
         pending, seen = tables.staged_counting(pending, "pending", n=F.count(F.lit(1)))
-        # First an edge for each document; most ends are joined then, and the rest follows.
-        for first in (True, False):
+        # First the best edge of each document, then its next best: most ends are joined then.
+        for step in range(SINGLE_EDGES + 1):
             if not seen["n"]:
                 break
             now = pending
-            if first:
-                now = tables.staged(pending.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "edges")
-            tested = now if tested is None else tested.unionByName(now)
-            found, new = tables.staged_counting(_confirm(rows, now, shingle, percent), "links", n=F.count(F.lit(1)))
+            if step < SINGLE_EDGES:
+                best = F.max(F.struct("shared", "a"))["a"].alias("a")
+                now = tables.staged(pending.groupBy("b").agg(best).select("a", "b"), "edges")
+            asked = now.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
+            tested = asked if tested is None else tested.unionByName(asked)
+            found, new = tables.staged_counting(_confirm(rows, now.select("a", "b"), shingle, percent), "links", n=F.count(F.lit(1)))
             if new["n"]:
-                links = found if links is None else links.unionByName(found)
-                joined = components(links)
-            if first:
-                pending = pending.join(now, ["a", "b"], "left_anti")
-                pending = _with_components(_with_components(pending, "a", joined, "ca"), "b", joined, "cb")
-                pending = pending.where("ca <> cb").select("a", "b")
-                pending, seen = tables.staged_counting(pending, "pending", n=F.count(F.lit(1)))
+                # What joined ends so far stands for all links before.
+                links = found if joined is None else found.unionByName(_as_edges(joined))
+                last, joined = joined, components(links)
+                tables.dropped(last)
+            tables.dropped(found)
+            if step < SINGLE_EDGES:
+                left = pending.join(now, ["a", "b"], "left_anti")
+                left = _with_components(_with_components(left, "a", joined, "ca"), "b", joined, "cb")
+                left = left.where("ca <> cb").select("a", "b", "shared")
+                last, (pending, seen) = pending, tables.staged_counting(left, "pending", n=F.count(F.lit(1)))
+                tables.dropped(last)
         turn += 1
 
 
+def _as_edges(joined: DataFrame) -> DataFrame:
+    return joined.select(F.col("component").alias("a"), F.col("doc").alias("b"))
+
+
 def _signed(rows: DataFrame, shingle: int) -> DataFrame:
     return tables.staged(rows.mapInArrow(_signatures(shingle), SIGNED), "signatures")
 

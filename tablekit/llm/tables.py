@@ -44,7 +44,22 @@ def staged(df: DataFrame, purpose: str) -> DataFrame:
     spark = df.sparkSession
     folder = f"{shared_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
     df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    out = spark.read.schema(df.schema).parquet(folder)
+    _FOLDERS[id(out)] = (out, folder)
+    return out
+
+
+# Staged tables that may still be dropped, each with its folder.
+_FOLDERS: dict[int, tuple[DataFrame, str]] = {}
+
+
+def dropped(*tables: DataFrame | None) -> None:
+    """Deletes staged tables that nothing will read again."""
+    for df in tables:
+        held = _FOLDERS.pop(id(df), None)
+        if held is not None:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(held[1])
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def staged_counting(df: DataFrame, purpose: str, **counts: Column) -> tuple[DataFrame, dict]:
