@@ -45,7 +45,8 @@ TOP = 2000
 SCALE = 2_000_000
 PAD = ""
 NO_LANGUAGE = "und"
-FILTER_SLOTS = 1 << 27
+FILTER_SLOTS = 1 << 26
+BLOCK_BYTES = 1 << 20
 
 # Where pieces and words end.
 BREAK = texts.table_of(b".,;:!?\n\x0b\x0c\r")
@@ -58,7 +59,7 @@ def _worded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[texts.Block, np
     """Blocks in lower case with starts and ends of their words, the row of each word, and
     for each word but the last whether the next one follows it in the same piece."""
     for batch in batches:
-        for block in texts.blocks(batch["text"]):
+        for block in texts.blocks(batch["text"], BLOCK_BYTES):
             lower = texts.Block(block.first, LOWER[block.data], block.offsets)
             starts, ends, first = lower.words(MEMBER)
             row = texts.rows_of(first)

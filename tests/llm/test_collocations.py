@@ -64,7 +64,7 @@ def corpus():
     return rows + [("fr", None), ("fr", ""), ("fr", " .,; "), ("es", "uno dos " * 40_000), ("es", "x" * 300_000)]
 
 
-@pytest.mark.parametrize("slots", [1 << 27, 3])
+@pytest.mark.parametrize("slots", [1 << 26, 3])
 def test_every_phrase_counted(spark, monkeypatch, slots):
     monkeypatch.setattr(collocations, "FILTER_SLOTS", slots)
     rows = corpus()
