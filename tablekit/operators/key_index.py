@@ -13,14 +13,15 @@ from tablekit.sources import storage
 
 BATCH = "_batch"
 PART = "_part"
-PARTS = 64
+PARTS = 1024
 
 
 @dataclass(frozen=True)
 class KeyIndex:
-    """The keys of every batch so far, in folders by batch and by hash of the key.
+    """The keys of every batch so far, in a folder for each batch, sorted by hash of the key.
 
-    Only key columns are kept. A batch that is repeated overwrites its own keys, and a
+    Only key columns are kept, and the part of the hash's range that a key falls in. Files
+    and their row groups hold few parts each, so a scan for some parts skips the others. A batch that is repeated overwrites its own keys, and a
     lookup on behalf of a batch sees those of earlier batches only, so a replay decides
     as the first try did. ``parts`` must stay the same for the life of an index.
     """
@@ -36,7 +37,7 @@ class KeyIndex:
 
     def _schema(self) -> T.StructType:
         fields = [self.contract.schema[c] for c in self.keys]
-        return T.StructType([*fields, T.StructField(BATCH, T.IntegerType()), T.StructField(PART, T.IntegerType())])
+        return T.StructType([*fields, T.StructField(PART, T.IntegerType()), T.StructField(BATCH, T.IntegerType())])
 
     def _part(self, names: list[str]) -> Column:
         # Cast to the table's types, so that a key falls in one part whatever it is read from.
@@ -44,9 +45,10 @@ class KeyIndex:
         return F.pmod(F.xxhash64(*typed), F.lit(self.parts)).cast("int")
 
     def add(self, rows: DataFrame, batch: int) -> None:
-        """The keys of a batch, one file for each part they fall in."""
+        """The keys of a batch, in order of their parts."""
         keys = rows.select(*[F.col(f"`{c}`") for c in self.keys]).withColumn(PART, self._part(self.keys))
-        keys.repartition(PART).write.mode("overwrite").partitionBy(PART).parquet(f"{self.folder}/{BATCH}={batch}")
+        placed = keys.repartitionByRange(PART).sortWithinPartitions(PART, *[F.col(f"`{c}`") for c in self.keys])
+        placed.write.mode("overwrite").parquet(f"{self.folder}/{BATCH}={batch}")
 
     def before(self, batch: int) -> DataFrame | None:
         """All keys of earlier batches; none where there is no earlier batch."""

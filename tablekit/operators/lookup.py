@@ -6,7 +6,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tablekit.functions import kinds
 from tablekit.sources import storage
 
 MAX_BROADCAST_ROWS = 200_000
@@ -23,14 +25,20 @@ def is_small(df: DataFrame) -> bool:
 
     Counting stops at the limit, so a large table costs no more than a small one.
     """
-    width = reduce(
-        lambda a, b: a + b,
-        [F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(8)) for c in df.columns],
-    )
+    width = reduce(lambda a, b: a + b, [_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields])
     size = df.limit(MAX_BROADCAST_ROWS + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("bytes")).first()
     return size["n"] <= MAX_BROADCAST_ROWS and (size["bytes"] or 0) <= MAX_BROADCAST_BYTES
 
 
+def _width(value: Column, data_type: T.DataType) -> Column:
+    """Bytes of a value, about; only nested values are written out to be measured."""
+    if isinstance(data_type, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(8))
+    if isinstance(data_type, kinds.NESTED_TYPES):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(value))), F.lit(8))
+    return F.lit(8)
+
+
 def key_counts(rows: DataFrame, keys: list[str], *facts: Column) -> DataFrame:
     """One row per key without nulls: ``_n`` rows and the given aggregates.
 
@@ -44,10 +52,9 @@ def keys_found(keys: DataFrame, names: list[str], table: DataFrame, columns: lis
     """Those of ``keys`` that the table holds, once each, under their own names.
 
     A few keys, checked by size, are broadcast, so that the table is scanned and
-    never shuffled.
+    never shuffled. ``keys`` is read more than once and should be a written table.
     """
-    wanted = storage.checkpointed(keys.select(*names))
-    wanted = wanted.select(*[F.col(n).alias(f"_key_{i}") for i, n in enumerate(names)])
+    wanted = keys.select(*[F.col(n).alias(f"_key_{i}") for i, n in enumerate(names)])
     if is_small(wanted):
         wanted = F.broadcast(wanted)
     held = table.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(columns, names, strict=True)])

@@ -7,14 +7,14 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablekit.functions import rendering
+from tablekit.functions import fakes, rendering
 from tablekit.operators import dump, ingest, mutate, normalize, rewrite
 from tablekit.plans.naming import auto_map
 from tablekit.registry import writes
-from tablekit.registry.base import PRIMARY_KEYS, Query, open_catalog, sql_iso, sql_number
+from tablekit.registry.base import PRIMARY_KEYS, Query, open_catalog, sql_hex, sql_iso, sql_number
 from tablekit.sources import storage
 from tablekit.sources.copy_text import read_copy_text
-from tablekit.sources.csv_files import csv_texts, write_csv
+from tablekit.sources.csv_files import csv_texts, read_csv_text, write_csv, write_database
 from tablekit.sources.insert_text import read_insert_text
 from tablekit.sources.versions import Versions
 
@@ -155,6 +155,61 @@ FROM short, (SELECT unnest(['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_total
 """
 
 
+# ------------------------------------------------------------ exported database
+
+# All columns of all tables, but for vectors and numbers with many digits.
+EXPORTED = {
+    "benchmark": ["item_id", "text"],
+    "conversations": ["conv_id", "turn", "role", "text"],
+    "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"],
+    "documents": ["doc_id", "text", "lang", "source", "n_chars"],
+    "embeddings": ["vec_id", "label"],
+    "events": ["event_id", "ts", "user_id", "event_type", "props"],
+    "labels": ["doc_id", "quality", "toxic"],
+    "lineitem": [
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+        "l_returnflag", "l_linestatus", "l_shipdate",
+    ],
+    "nation": ["n_nationkey", "n_name", "n_regionkey"],
+    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"],
+    "pages": ["page_id", "url", "html"],
+    "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"],
+    "region": ["r_regionkey", "r_name"],
+    "supplier": ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"],
+}
+DECIMALS = {
+    "c_acctbal", "s_acctbal", "o_totalprice", "p_retailprice", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+}
+INSTANTS = {"ts", "o_orderdate", "l_shipdate"}
+
+
+def _csv_database_content(spark: SparkSession, folder: str) -> DataFrame:
+    """Per exported table its records and a hash of all their cells, in any order."""
+    out = storage.new_folder(spark, "database")
+    folders = write_database(open_catalog(spark, folder), out)
+    hashes = []
+    for name, columns in EXPORTED.items():
+        cells = read_csv_text(spark, f"{out}/{folders[name]}")
+        row = F.md5(F.concat_ws(fakes.SEPARATOR, *[F.col(c) for c in columns]))
+        hashes.append(
+            cells.agg(
+                F.count(F.lit(1)).alias("row_count"),
+                F.coalesce(F.sum(fakes.hex_number(row, 1)), F.lit(0)).alias("content_hash"),
+            ).select(F.lit(name).alias("table_name"), "row_count", "content_hash")
+        )
+    return reduce(DataFrame.unionByName, hashes)
+
+
+def _content_sql(name: str, columns: list[str]) -> str:
+    def cell(c: str) -> str:
+        text = sql_number(c) if c in DECIMALS else sql_iso(c) if c in INSTANTS else f"CAST({c} AS VARCHAR)"
+        return f"coalesce({text}, '')"
+
+    row = f"md5(concat_ws(chr(31), {', '.join(map(cell, columns))}))"
+    return f"""SELECT '{name}' AS table_name, count(*) AS row_count,
+  CAST(coalesce(sum({sql_hex(row, 1)}), 0) AS BIGINT) AS content_hash FROM {name}"""
+
+
 # ------------------------------------------------------------- versioned tables
 
 
@@ -200,6 +255,11 @@ QUERIES = [
     Query("insert_round_trip_documents", _insert_round_trip("documents", rendering.MYSQL), "SELECT * FROM documents"),
     Query("insert_round_trip_orders", _insert_round_trip("orders", rendering.SQLITE), "SELECT * FROM orders"),
     Query("copy_round_trip_events", _copy_round_trip_events, "SELECT * FROM events"),
+    Query(
+        "csv_database_content",
+        _csv_database_content,
+        "\nUNION ALL\n".join(_content_sql(name, columns) for name, columns in EXPORTED.items()),
+    ),
     Query("restore_misfits", _restore_misfits, MISFITS_SQL),
     Query("apply_updates_files", _apply_updates_files, writes.APPLY_UPDATES_SQL),
     Query("import_written", _import_written("orders"), writes.GOOD_SQL),

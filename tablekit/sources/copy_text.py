@@ -7,16 +7,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablekit.functions import rendering
+from tablekit.operators import lookup
 from tablekit.operators.dump import copy_header, copy_rows
+from tablekit.sources import storage
 
 
 def read_copy_text(
-    spark: SparkSession, path: str, table: str, schema: T.StructType
+    spark: SparkSession, path: str, table: str, schema: T.StructType, misfits: bool = False
 ) -> DataFrame:
     """Rows of COPY data files, with or without their header and end lines.
 
     Only the first line of a file can be its header; a data line that reads like it is
     data. No data line can equal the end line, because data doubles its backslashes.
+    ``misfits`` adds the names of columns whose cell doesn't fit, as ``dump.copy_rows`` does.
     """
     header = copy_header(table, list(schema.names))
     lines = spark.read.text(path, lineSep="\n").select(
@@ -25,14 +28,15 @@ def read_copy_text(
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_line"),
     )
-    lines = lines.where(F.col("line") != rendering.COPY_END)
-    # One row for each file that has such a line; ids grow along a block.
-    first = lines.where("_block = 0").groupBy("_file").agg(F.min_by("line", "_line").alias("_top"))
-    headed = first.where(F.col("_top") == header).select("_file")
-    alike = lines.where((F.col("line") == header) & (F.col("_block") == 0))
-    # Of a headed file's lines that read like the header one goes; they are all the same.
-    counted = alike.groupBy("_file").agg(F.count(F.lit(1)).alias("_n")).join(headed, "_file")
-    rest = counted.where("_n > 1").select(F.explode(F.array_repeat(F.lit(header), F.col("_n").cast("int") - 1)).alias("line"))
-    kept = lines.where((F.col("line") != header) | (F.col("_block") != 0)).select("line")
-    unheaded = alike.join(headed, "_file", "left_anti").select("line")
-    return copy_rows(kept.unionByName(rest).unionByName(unheaded), schema)
+    # Line numbers grow along a block and are the same in every scan of the files. One scan
+    # finds the first line of each file, and the numbers of those that are headers.
+    number = F.when(F.col("_block") == 0, F.col("_line"))
+    firsts = lines.groupBy("_file").agg(
+        F.min(number).alias("_line"), F.min(F.when((F.col("_block") == 0) & (F.col("line") == header), F.col("_line"))).alias("_top")
+    )
+    # A row for each file whose first line reads like the header.
+    headers = storage.checkpointed(firsts.where("_line = _top").select("_line"))
+    if lookup.is_small(headers):
+        headers = F.broadcast(headers)
+    data = lines.where(F.col("line") != rendering.COPY_END).join(headers, "_line", "left_anti")
+    return copy_rows(data.select("line"), schema, misfits)

@@ -12,13 +12,16 @@ CHECKPOINT_SETTING = "spark.checkpoint.dir"
 def shared_folder(spark: SparkSession) -> str:
     """Folder that every executor reaches, as named by the session.
 
-    A session that names none stages in a folder of its warehouse.
+    A session on one machine that names none stages in a folder of its warehouse; on a
+    cluster that folder may be one of the driver alone, so there it is an error.
     """
     configured = spark.conf.get(CHECKPOINT_SETTING, None)
     if configured:
         return configured
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError(f"Set {CHECKPOINT_SETTING} to a folder that all executors reach.")
         context.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir')}/_staged")
     return context.getCheckpointDir()
 
