@@ -358,7 +358,7 @@ def decontaminated(
 ) -> DataFrame:
     """The rows of ``docs`` with hit words cut out of their texts; rows of which more than
     ``max_percent`` of all words are hit go. Other columns stay as they are."""
-    row = F.struct(*[docs[c].alias(c) for c in docs.columns]).alias("doc")
+    row = tables.whole_row(docs).alias("doc")
     rows = docs.select(row, F.coalesce(docs["text"], F.lit("")).alias("text"))
     rows, matchers = _matched(rows, items, window, BLOCK_WORDS)
     schema = StructType([rows.schema["doc"], StructField("clean", StringType())])

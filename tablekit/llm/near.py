@@ -9,9 +9,9 @@
 3. Each bucket gives star-shaped edges: one centre against all others. The centre is the
    member that meets most others in all its buckets, as an original does among its
    copies. Edges are confirmed on full sets: first each document's edge to the centre it
-   shares most buckets with, then its next, then those whose ends have not been joined
-   by these. Buckets whose members are not all joined then go on
-   with twice as many centres among those that have been none, until all are joined or
+   shares most buckets with, then those whose ends have not been joined by these.
+   Buckets whose members are not all joined then go on with ``GROWTH`` times as many
+   centres among those that have been none, until all are joined or
    have been centres. So a bucket of copies costs one star, and no pair that shares a
    bucket is left out, unless both are known to be joined already.
 4. Components follow from the confirmed edges, and give every document its class.
@@ -177,7 +177,7 @@ def _confirmed(percent: int):
 
 
 def _stars(live: DataFrame, turn: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Centres of a turn, up to ``2**turn`` a bucket, and the edges (a, b, shared) of their
+    """Centres of a turn, up to ``GROWTH**turn`` a bucket, and the edges (a, b, shared) of their
     stars: the centre, the other end, and in how many buckets they meet.
 
     A bucket's centre is the node that meets most others, counted over all its buckets. Copies
@@ -187,7 +187,7 @@ def _stars(live: DataFrame, turn: int, percent: int) -> tuple[DataFrame, DataFra
     """
     met = live.groupBy("node").agg(F.sum("others").alias("met"))
     ranked = live.join(_small(met, "met"), "node")
-    lot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << turn))
+    lot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(GROWTH**turn))
     first = F.max(F.struct("met", -F.col("node"), "node", "n", "component")).alias("c")
     centers = ranked.groupBy("bucket", lot.alias("lot")).agg(first).select("bucket", "c.node", "c.n", "c.component", "c.met")
     n, c = F.col("l.n"), F.col("c.n")
@@ -239,8 +239,8 @@ def _candidates(rows: DataFrame, live: DataFrame) -> DataFrame:
     return tables.staged(rows.join(nodes, "doc", "left_semi"), "candidates")
 
 
-# Edges of each document that are tested one by one, the best first, before all others.
-SINGLE_EDGES = 2
+# A turn's centres in a bucket, as a multiple of those of the turn before.
+GROWTH = 8
 
 
 def confirmed_links(rows: DataFrame, members: DataFrame, shingle: int, percent: int) -> DataFrame | None:
@@ -269,12 +269,12 @@ def confirmed_links(rows: DataFrame, members: DataFrame, shingle: int, percent:
             same = (F.least("a", "b") == F.col("low")) & (F.greatest("a", "b") == F.col("high"))
             pending = pending.join(tested, same, "left_anti")
         pending, seen = tables.staged_counting(pending, "pending", n=F.count(F.lit(1)))
-        # First the best edge of each document, then its next best: most ends are joined then.
-        for step in range(SINGLE_EDGES + 1):
+        # First the best edge of each document; most ends are joined then, and the rest follows.
+        for first in (True, False):
             if not seen["n"]:
                 break
             now = pending
-            if step < SINGLE_EDGES:
+            if first:
                 best = F.max(F.struct("shared", "a"))["a"].alias("a")
                 now = tables.staged(pending.groupBy("b").agg(best).select("a", "b"), "edges")
             asked = now.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
@@ -286,7 +286,7 @@ def confirmed_links(rows: DataFrame, members: DataFrame, shingle: int, percent:
                 last, joined = joined, components(links)
                 tables.dropped(last)
             tables.dropped(found)
-            if step < SINGLE_EDGES:
+            if first:
                 left = pending.join(now, ["a", "b"], "left_anti")
                 left = _with_components(_with_components(left, "a", joined, "ca"), "b", joined, "cb")
                 left = left.where("ca <> cb").select("a", "b", "shared")
@@ -348,7 +348,7 @@ def without_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     """One row of each group of near duplicates in ``docs``: that of its smallest id, and of
     several rows with that id the one with the smallest text. Rows are linked by similarity
     only, whatever ids they share, so rows without words all stay."""
-    row = F.struct(*[docs[c].alias(c) for c in docs.columns]).alias("_row")
+    row = tables.whole_row(docs).alias("_row")
     number, text = F.coalesce(docs["doc_id"].cast("long"), F.lit(tables.NULL_ID)), F.coalesce(docs["text"], F.lit(""))
     seed, clash = 0, True
     while clash:

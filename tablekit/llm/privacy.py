@@ -335,7 +335,7 @@ def _sanitise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sanitised(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with all spans of their texts replaced; other columns stay."""
     _, terms = found(docs)
-    row = F.struct(*[docs[c].alias(c) for c in docs.columns]).alias("_row")
+    row = tables.whole_row(docs).alias("_row")
     rows = docs.select(
         row,
         F.coalesce(docs["doc_id"].cast("long"), F.lit(tables.NULL_ID)).alias("doc"),

@@ -71,7 +71,7 @@ def measured(docs: DataFrame) -> DataFrame:
     text = F.col("_text")
     words = F.filter(F.split(text, SPACE_CLASS + "+"), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^ \t\n\x0B\f\r]"))
-    base = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce("text", F.lit("")).alias("_text"))
+    base = docs.select(tables.whole_row(docs).alias("row"), F.coalesce("text", F.lit("")).alias("_text"))
     base = base.select(
         "row",
         words.alias("_words"),

@@ -23,6 +23,11 @@ def keyed(docs: DataFrame) -> DataFrame:
     )
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns as one struct, whatever characters their names have."""
+    return F.struct(*[docs[f"`{c}`"].alias(c) for c in docs.columns])
+
+
 def doc_id(column: str = "doc") -> Column:
     """The id as the table has it."""
     return F.when(F.col(column) != NULL_ID, F.col(column)).alias("doc_id")
