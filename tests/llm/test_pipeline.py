@@ -52,4 +52,4 @@ def test_matches_sql(spark, folder, query):
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(q.name[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
+    assert sorted(int(q.name[2:].split("_")[0]) for q in QUERIES) == list(range(1, 14))
