@@ -27,7 +27,16 @@ PRIMES = ((2147483647, 2147483629), (2147483587, 2147483579))
 _RANDOM = np.random.default_rng(SEED)
 _NUMBERS = _RANDOM.integers(1, 2**63, (2, 256), dtype=np.uint64)
 _BASES = tuple(tuple(int(_RANDOM.integers(2**29, p - 1)) for p in pair) for pair in PRIMES)
-_POWERS: dict[object, np.ndarray] = {}
+
+
+class _Cache(dict):
+    """A dictionary that travels empty, as functions that use it travel by value."""
+
+    def __reduce__(self) -> tuple:
+        return _Cache, ()
+
+
+_POWERS = _Cache()
 
 
 def table_of(members: bytes) -> np.ndarray:

@@ -8,6 +8,7 @@ import brute
 import numpy as np
 import pytest
 import tokenizers
+from pyspark import cloudpickle
 
 from tablekit.llm import leaks, near, packing, substring, suffixes, texts
 
@@ -74,3 +75,12 @@ def test_tokens_are_those_of_the_text(spark):
     for doc, text in ((1, a), (2, b), (3, f"x {b} y")):
         ids = [*plain.encode(text, add_special_tokens=False).ids, 0]
         assert rows[doc].ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def test_caches_do_not_travel():
+    """Functions go to the workers by value, and tables that a driver has filled stay behind."""
+    block = texts.Block(0, np.frombuffer(b"some words", np.uint8), np.array([0, 10]))
+    texts.ranges(block.sums(), block.offsets[:-1], block.offsets[1:])
+    texts.ranges(block.quick_sums(), block.offsets[:-1], block.offsets[1:])
+    assert len(cloudpickle.dumps(leaks.word_prints)) < 100_000
+    assert cloudpickle.loads(cloudpickle.dumps(leaks.word_prints))(block)[0].tolist() == leaks.word_prints(block)[0].tolist()
