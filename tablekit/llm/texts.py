@@ -69,8 +69,9 @@ def _powers_modulo(prime: int, base: int, n: int) -> np.ndarray:
         have = np.ones(1, np.uint64)
         while len(have) < size:
             step = np.uint64(pow(base, len(have), prime))
-            have = np.concatenate([have, have * step % np.uint64(prime)])
-        _POWERS[prime, base] = have
+            have = np.concatenate([have, have[: size - len(have)] * step % np.uint64(prime)])
+        # Kept in half the room; a product with 64-bit numbers has 64 bits again.
+        have = _POWERS[prime, base] = have.astype(np.uint32)
     return have
 
 
