@@ -22,6 +22,7 @@ empty result.
 from __future__ import annotations
 
 import hashlib
+import os
 import sys
 import types
 import zlib
@@ -46,6 +47,8 @@ GENERATIONS = 6
 LONG_CHUNK = 256
 CACHE_WORDS = 400_000
 CACHE_IDS = 4_000_000
+BLOCK_BYTES = 1 << 20
+RUN_BYTES = 1 << 16
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 LOOSE_FILL = 0.97
@@ -67,12 +70,24 @@ class Tokens:
     are those of the text. Chunks are known by a 64-bit fingerprint, those longer than
     ``LONG_CHUNK`` bytes by a cryptographic one, as long texts that collide can be made; a
     worker forgets them all when there are too many.
+
+    New chunks are tokenised in runs, one after the other as in a text. A byte-level token
+    stands for as many bytes as it has letters, so the ids of each chunk are found by
+    counting bytes. Where that does not come out, chunks are tokenised one by one.
     """
 
     def __init__(self, path: str) -> None:
+        # Spark's tasks fill the cores; threads of the tokenizer would only wait for them.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, number in vocabulary.items():
+            self.width[number] = len(token)
+        for number, token in self.tokenizer.get_added_tokens_decoder().items():
+            self.width[number] = len(token.content.encode())
         self.forget()
 
     def forget(self) -> None:
@@ -82,8 +97,9 @@ class Tokens:
         self.ids = np.zeros(0, np.uint32)
 
     @staticmethod
-    def cuts(block: texts.Block) -> np.ndarray:
-        """Starts of all chunks, every text's start among them."""
+    def cuts(block: texts.Block) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of all chunks, every text's start among them; and which chunks may follow
+        each other in any order, as they begin with white space and don't end with it."""
         data = block.data
         space = ~texts.NOT_SPACE[data]
         # Plain ASCII, or the second byte of a letter of two bytes, is no white space.
@@ -93,24 +109,55 @@ class Tokens:
         cut = np.zeros(len(data) + 1, bool)
         cut[1:-1] = space[1:] & solid[:-1]
         cut[block.offsets[:-1]] = True
-        return np.flatnonzero(cut[:-1])
-
-    def _learn(self, keys: np.ndarray, chunks: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-        count = np.array([len(f) for f in found], np.int64)
-        flat = np.array([i for f in found for i in f], np.uint32)
+        starts = np.flatnonzero(cut[:-1])
+        last = np.append(starts, len(data))[1:] - 1
+        return starts, space[starts] & solid[last]
+
+    def _encoded(self, texts_: list[str]) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch_fast(texts_, add_special_tokens=False)
+        return [np.array(e.ids, np.uint32) for e in found]
+
+    def _of_run(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the chunks that ``data`` holds up to each of ``ends``, and their counts."""
+        (ids,) = self._encoded([data.tobytes().decode("utf-8", "replace")])
+        upto = np.cumsum(self.width[ids])
+        at = np.searchsorted(upto, ends)
+        if not len(ids) or upto[-1] != len(data) or (upto[at] != ends).any():
+            begins = np.concatenate([[0], ends[:-1]])
+            spans = zip(begins.tolist(), ends.tolist(), strict=True)
+            parts = self._encoded([data[a:b].tobytes().decode("utf-8", "replace") for a, b in spans])
+            return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+        return ids, np.diff(at + 1, prepend=0)
+
+    def _learn(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, free: np.ndarray) -> None:
+        flat, counts = [], []
+        # Chunks that stand at a text's end are tokenised alone, all others in runs.
+        order = np.concatenate([np.flatnonzero(free), np.flatnonzero(~free)])
+        keys, starts, lengths = keys[order], starts[order], (ends - starts)[order]
+        upto = np.cumsum(lengths)
+        run = (upto - lengths) // RUN_BYTES
+        n_free = int(free.sum())
+        first = np.flatnonzero(np.r_[True, (run[1:] != run[:-1]) | (np.arange(1, len(run)) >= n_free)])
+        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(order)], strict=True):
+            size = lengths[a:b]
+            ends_ = np.cumsum(size)
+            source = np.repeat(starts[a:b] - ends_ + size, size) + np.arange(ends_[-1])
+            ids, count = self._of_run(data[source], ends_)
+            flat.append(ids)
+            counts.append(count)
+        count = np.concatenate(counts)
         place = len(self.ids) + np.cumsum(count) - count
-        self.ids = np.concatenate([self.ids, flat])
-        keys, place, count = (
-            np.concatenate(x) for x in ((self.keys, keys), (self.place, place), (self.count, count))
-        )
+        self.ids = np.concatenate([self.ids, *flat])
         order = np.argsort(keys)
-        self.keys, self.place, self.count = keys[order], place[order], count[order]
+        at = np.searchsorted(self.keys, keys[order])
+        self.keys = np.insert(self.keys, at, keys[order])
+        self.place = np.insert(self.place, at, place[order])
+        self.count = np.insert(self.count, at, count[order])
 
     def of(self, block: texts.Block) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the block's texts one after the other, and where each text's begin."""
-        starts = self.cuts(block)
-        ends = np.append(starts[1:], len(block.data))
+        starts, free = self.cuts(block)
+        ends = np.append(starts, len(block.data))[1:]
         keys = texts.ranges(block.quick_sums(), starts, ends)
         for i in np.flatnonzero(ends - starts > LONG_CHUNK):
             digest = hashlib.blake2b(block.data[starts[i] : ends[i]].tobytes(), digest_size=8).digest()
@@ -124,9 +171,8 @@ class Tokens:
         known[inside] = self.keys[at[inside]] == distinct[inside]
         new = np.flatnonzero(~known)
         if len(new):
-            raw = block.data.tobytes()
-            spans = zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)
-            self._learn(distinct[new], [raw[a:b].decode("utf-8", "replace") for a, b in spans])
+            chosen = first[new]
+            self._learn(distinct[new], block.data, starts[chosen], ends[chosen], free[chosen])
             at = np.searchsorted(self.keys, distinct)
         place, count = self.place[at][inverse], self.count[at][inverse]
         total = np.cumsum(count)
@@ -144,7 +190,7 @@ def _pieces(path: str, capacity: int):
         for batch in batches:
             doc = batch.column(0)
             rows, pieces, starts, lengths, sums = [], [], [], [], []
-            for block in texts.blocks(batch.column(1)):
+            for block in texts.blocks(batch.column(1), BLOCK_BYTES):
                 ids, offsets = tokens.of(block)
                 for row in range(block.rows):
                     own = np.append(ids[offsets[row] : offsets[row + 1]], np.uint32(END_ID)).astype("<u4")

@@ -91,6 +91,19 @@ def test_evolution_beats_best_fit():
     assert packing.fitness(lengths, both, 2048) >= max(packing.fitness(lengths, p, 2048) for p in (first, guest))
 
 
+def test_chunks_are_tokenised_in_runs(monkeypatch):
+    """Chunks not seen before cost few calls, each chunk's ids are its own, also after a mark of the vocabulary."""
+    tokens, calls = packing.Tokens(PATH), []
+    plain = tokens._encoded
+    monkeypatch.setattr(tokens, "_encoded", lambda chunks: calls.extend(chunks) or plain(chunks))
+    rows = ["".join(f" w{i}é<|endoftext|>{i}x\n\ty" for i in range(k, k + 500)) + " end " for k in (0, 300, 5000)]
+    for block in texts.blocks(pa.array(rows)):
+        ids, first = tokens.of(block)
+        for i in range(block.rows):
+            assert ids[first[i] : first[i + 1]].tolist() == ids_of(rows[block.first + i])
+    assert len(calls) <= 10
+
+
 def test_sequences_of_late_scan_partitions(spark, monkeypatch):
     """Keys of far partitions fill 64 bits; sequence numbers don't pass them."""
     late = F.monotonically_increasing_id
