@@ -42,8 +42,9 @@ END_ID = 0
 PROVINCE_PIECES = 4096
 ISLANDS = 2
 EPOCHS = 2
-POPULATION = 4
-GENERATIONS = 6
+POPULATION = 8
+GENERATIONS = 100
+PATIENCE = 25
 LONG_CHUNK = 256
 CACHE_WORDS = 400_000
 CACHE_IDS = 4_000_000
@@ -297,18 +298,27 @@ def founders(lengths: np.ndarray, capacity: int, rng: np.random.Generator, n: in
 
 
 def evolve(lengths: np.ndarray, elite: list[np.ndarray], seed: int, capacity: int) -> np.ndarray:
-    """One epoch of an island; the elite that arrived is part of its population."""
+    """One epoch of an island; the elite that arrived is part of its population.
+
+    An epoch ends when no packing can have fewer bins, when ``PATIENCE`` children in turn
+    were no better than the best packing, or after ``GENERATIONS``.
+    """
     rng = np.random.default_rng(seed)
     least = -(-int(lengths.sum()) // capacity)
     population = [*elite, *founders(lengths, capacity, rng, max(1, POPULATION - len(elite)))]
+    merits = [fitness(lengths, p, capacity) for p in population]
+    best, idle = max(merits), 0
     for _ in range(GENERATIONS):
-        population.sort(key=lambda p: fitness(lengths, p, capacity), reverse=True)
-        population = population[:POPULATION]
-        if population[0].max() + 1 <= least or len(population) < 2:
+        ranked = sorted(range(len(population)), key=lambda k: merits[k], reverse=True)[:POPULATION]
+        population, merits = [population[k] for k in ranked], [merits[k] for k in ranked]
+        if population[0].max() + 1 <= least or len(population) < 2 or idle == PATIENCE:
             break
         i, j = rng.choice(len(population), 2, replace=False)
-        population.append(crossover(lengths, population[min(i, j)], population[max(i, j)], capacity, rng))
-    return max(population, key=lambda p: fitness(lengths, p, capacity))
+        child = crossover(lengths, population[min(i, j)], population[max(i, j)], capacity, rng)
+        population.append(child)
+        merits.append(fitness(lengths, child, capacity))
+        best, idle = (merits[-1], 0) if merits[-1] > best else (best, idle + 1)
+    return population[merits.index(max(merits))]
 
 
 ISLAND = "province long, island int, n_bins int, spread double, lengths array<int>, bins array<int>, keys array<long>"

@@ -91,6 +91,12 @@ def test_evolution_beats_best_fit():
     assert packing.fitness(lengths, both, 2048) >= max(packing.fitness(lengths, p, 2048) for p in (first, guest))
 
 
+def test_evolution_goes_on_while_it_gains():
+    """On lengths of which best fit makes 604 sequences, and a few crossovers no fewer."""
+    lengths = np.random.default_rng(5).integers(500, 1001, 1500)
+    assert packing.evolve(lengths, [], 1, 2048).max() + 1 <= 602
+
+
 def test_chunks_are_tokenised_in_runs(monkeypatch):
     """Chunks not seen before cost few calls, each chunk's ids are its own, also after a mark of the vocabulary."""
     tokens, calls = packing.Tokens(PATH), []
