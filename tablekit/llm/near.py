@@ -10,11 +10,15 @@
    member that meets most others in all its buckets, as an original does among its
    copies. Edges are confirmed on full sets: first each document's edge to the centre it
    shares most buckets with, then those whose ends have not been joined by these.
-   Buckets whose members are not all joined then go on with ``GROWTH`` times as many
-   centres among those that have been none, until all are joined or
-   have been centres. So a bucket of copies costs one star, and no pair that shares a
-   bucket is left out, unless both are known to be joined already.
-4. Components follow from the confirmed edges, and give every document its class.
+4. In buckets whose members are not all joined then, all pairs of unlike components are
+   compared by odd sketches, a bit for the parity of the shingles in each of some parts.
+   Sets differ in at least as many shingles as their sketches do in bits, so pairs that
+   differ in too many are not similar, and no set travels for them. The others are
+   confirmed on full sets: first the nearest of each node in each other component, then
+   all that are not joined by these. So a bucket of copies costs one star, and no pair
+   that shares a bucket is left out, unless both are known to be joined already. Pairs
+   are compared inside the tasks, by blocks of ``BLOCK`` members of a bucket.
+5. Components follow from the confirmed edges, and give every document its class.
 
 Two documents at the threshold of 0.8 share no bucket with a chance of
 (1 - 0.8**5)**40, about 1e-7.
@@ -95,7 +99,7 @@ def densified(prints: np.ndarray, first: np.ndarray, bins: int) -> np.ndarray:
 def _signatures(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in texts.blocks(batch.column(1)):
+            for block in texts.blocks(batch.column(1), BLOCK_BYTES):
                 prints, first = shingle_sets(block, size)
                 other = texts.prefix_sums(texts.mix(prints ^ np.uint64(0x5851F42D4C957F2D)), 1)
                 signature = densified(prints, first, BINS)
@@ -132,6 +136,7 @@ def _long(members: bytes) -> np.ndarray:
 
 SETS = "center long, lot int, member int, node long, prints binary"
 LOT = 500
+BLOCK_BYTES = 1 << 19
 MAX_BROADCAST_ENDS = 200_000
 
 
@@ -140,7 +145,7 @@ def _sets(size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in texts.blocks(batch.column(4)):
+            for block in texts.blocks(batch.column(4), BLOCK_BYTES):
                 prints, first = shingle_sets(block, size)
                 own = [c.slice(block.first, block.rows) for c in batch.columns[:4]]
                 sets = [_short(prints[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
@@ -176,20 +181,19 @@ def _confirmed(percent: int):
     return run
 
 
-def _stars(live: DataFrame, turn: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Centres of a turn, up to ``GROWTH**turn`` a bucket, and the edges (a, b, shared) of their
-    stars: the centre, the other end, and in how many buckets they meet.
+def _stars(live: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Centres of the buckets, and the edges (a, b, shared) of their stars: the centre, the
+    other end, and in how many buckets they meet.
 
     A bucket's centre is the node that meets most others, counted over all its buckets. Copies
     of one text are nearer to it than to each other, so it is the one that they share most
     buckets with, and most of its edges hold. Sizes that rule the threshold out, and ends
-    that are joined already, give no edge.
+    that are one already, give no edge.
     """
     met = live.groupBy("node").agg(F.sum("others").alias("met"))
     ranked = live.join(_small(met, "met"), "node")
-    lot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(GROWTH**turn))
     first = F.max(F.struct("met", -F.col("node"), "node", "n", "component")).alias("c")
-    centers = ranked.groupBy("bucket", lot.alias("lot")).agg(first).select("bucket", "c.node", "c.n", "c.component", "c.met")
+    centers = ranked.groupBy("bucket").agg(first).select("bucket", "c.node", "c.n", "c.component", "c.met")
     n, c = F.col("l.n"), F.col("c.n")
     fits = (n * 100 >= c * percent) & (c * 100 >= n * percent)
     apart = F.col("l.component") != F.col("c.component")
@@ -239,60 +243,210 @@ def _candidates(rows: DataFrame, live: DataFrame) -> DataFrame:
     return tables.staged(rows.join(nodes, "doc", "left_semi"), "candidates")
 
 
-# A turn's centres in a bucket, as a multiple of those of the turn before.
-GROWTH = 8
+# Bits of the longest sketch; members of a bucket that a task holds on either side.
+MOST_BITS = 1 << 14
+BLOCK = 4096
 
+SKETCHES = "node long, n long, odd binary"
 
-def confirmed_links(rows: DataFrame, members: DataFrame, shingle: int, percent: int) -> DataFrame | None:
+
+def odd_sketches(prints: np.ndarray, first: np.ndarray) -> pa.Array:
+    """Per row the parities of its shingles in 64 parts or more, at least two parts a shingle."""
+    n = np.diff(first)
+    level = np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64)
+    bits = 1 << np.clip(level, 6, MOST_BITS.bit_length() - 1)
+    end = np.cumsum(bits)
+    row = texts.rows_of(first)
+    at = (end - bits)[row] + (prints & (bits[row] - 1).astype(np.uint64)).astype(np.int64)
+    odd = np.bincount(at, minlength=int(end[-1]) if len(end) else 0) & 1
+    data = np.packbits(odd.astype(np.uint8), bitorder="little")
+    offsets = np.concatenate([[0], end // 8]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def _sketched(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in texts.blocks(batch.column(1), BLOCK_BYTES):
+                prints, first = shingle_sets(block, size)
+                own = batch.column(0).slice(block.first, block.rows)
+                columns = [own, pa.array(np.diff(first)), odd_sketches(prints, first)]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "n", "odd"])
+
+    return run
+
+
+def _folded(odd: np.ndarray, words: int) -> np.ndarray:
+    """Sketches of fewer parts, from those of more."""
+    while odd.shape[1] > words:
+        half = odd.shape[1] // 2
+        odd = odd[:, :half] ^ odd[:, half:]
+    return odd
+
+
+def plausible(
+    side: np.ndarray, component: np.ndarray, n: np.ndarray, odd: list[bytes], percent: int, best: bool
+) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of members of a bucket that may be similar, of unlike components.
+
+    Where members are of two sides, pairs are of one and the other. With ``best``, only the
+    nearest one to each member in each other component.
+    """
+    words = np.array([len(o) // 8 for o in odd])
+    order = np.argsort(words, kind="stable")
+    side, component, n, words = side[order], component[order], n[order], words[order]
+    both_sides = bool(side.min() != side.max())
+    out_a, out_b = [], []
+    # A member's partners have sketches as long as its own, or longer ones, which are folded.
+    for width in np.unique(words):
+        start = int(np.searchsorted(words, width))
+        some = [np.frombuffer(odd[k], np.uint64).reshape(1, -1) for k in order[start:]]
+        folded = np.concatenate([_folded(o, width) for o in some])
+        for i in range(start, int(np.searchsorted(words, width, "right"))):
+            rest = slice(i + 1, None)
+            fits = (component[rest] != component[i]) & (n[rest] * 100 >= n[i] * percent) & (n[i] * 100 >= n[rest] * percent)
+            if both_sides:
+                fits &= side[rest] != side[i]
+            j = np.flatnonzero(fits) + i + 1
+            apart = np.bitwise_count(folded[j - start] ^ folded[i - start]).sum(axis=1, dtype=np.int64)
+            near_ = apart * (100 + percent) <= (n[j] + n[i]) * (100 - percent)
+            j, apart = j[near_], apart[near_]
+            if best and len(j) > 1:
+                j = j[np.argsort(apart, kind="stable")]
+                j = j[np.unique(component[j], return_index=True)[1]]
+            out_a.append(np.full(len(j), i))
+            out_b.append(j)
+    a, b = np.concatenate(out_a), np.concatenate(out_b)
+    return order[a], order[b]
+
+
+def _compared(percent: int, best: bool):
+    """Plausible pairs of each block, of rows that come sorted by bucket and block."""
+
+    def pairs(group: pa.Table) -> Iterator[pa.RecordBatch]:
+        side, node, component, n = (texts.numbers(group[c].combine_chunks()) for c in ("side", "node", "component", "n"))
+        if component.min() == component.max():
+            return
+        a, b = plausible(side, component, n, group["odd"].to_pylist(), percent, best)
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            keys = np.array([texts.numbers(held[c].combine_chunks()) for c in ("bucket", "low", "high")])
+            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+            begin = 0
+            for cut in cuts.tolist():
+                yield from pairs(held.slice(begin, cut - begin))
+                begin = cut
+            held = held.slice(begin)
+        if held is not None and held.num_rows:
+            yield from pairs(held)
+
+    return run
+
+
+def _plausible(live: DataFrame, sketches: DataFrame, percent: int, best: bool, block: int) -> DataFrame:
+    """Pairs (a, b) that share a bucket, are of unlike components and may be similar."""
+    blocks = F.ceil(F.col("others") / block).cast("int")
+    own = F.when(blocks > 1, F.pmod(F.xxhash64("node"), blocks)).otherwise(0).cast("int")
+    placed = live.select("bucket", "node", "component", own.alias("side"), blocks.alias("blocks"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    dealt = placed.select("*", other).select(
+        "bucket", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "node", "component"
+    )
+    rows = dealt.join(sketches, "node").where("n > 0")
+    rows = rows.select("bucket", "low", "high", "side", "node", "component", "n", "odd")
+    rows = rows.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
+    found = rows.mapInArrow(_compared(percent, best), "a long, b long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
+    same = (F.least("a", "b") == F.col("low")) & (F.greatest("a", "b") == F.col("high"))
+    return pairs.join(tested, same, "left_anti")
+
+
+def _unjoined(members: DataFrame, joined: DataFrame | None) -> tuple[DataFrame, int]:
+    """Members of buckets that hold unlike components, with the number of members; and how many."""
+    live = _with_components(members, "node", joined)
+    ends = F.min("component").alias("low"), F.max("component").alias("high")
+    span = live.groupBy("bucket").agg(*ends, F.count(F.lit(1)).alias("others"))
+    live = live.join(span.where("low <> high").select("bucket", "others"), "bucket")
+    live, seen = tables.staged_counting(live, "buckets", n=F.count(F.lit(1)))
+    return live, seen["n"]
+
+
+def _joined_more(
+    rows: DataFrame, edges: DataFrame, joined: DataFrame | None, shingle: int, percent: int
+) -> DataFrame | None:
+    """Components with those of ``edges`` that hold."""
+    confirmed = _confirm(rows, edges.select("a", "b"), shingle, percent)
+    found, new = tables.staged_counting(confirmed, "links", n=F.count(F.lit(1)))
+    if new["n"]:
+        # What joined ends so far stands for all links before.
+        links = found if joined is None else found.unionByName(_as_edges(joined))
+        last, joined = joined, components(links)
+        tables.dropped(last)
+    tables.dropped(found)
+    return joined
+
+
+def confirmed_links(
+    rows: DataFrame, members: DataFrame, shingle: int, percent: int, block: int = BLOCK
+) -> DataFrame | None:
     """Components (doc, component) of all nodes that share a bucket with a similar one.
 
-    Tables of a turn are dropped when the next ones are written.
+    Tables of a step are dropped when the next ones are written.
     """
-    joined = tested = live = None
-    turn = 0
-    while True:
+    live, n = _unjoined(members, None)
+    if not n:
+        return None
+    rows = _candidates(rows, live)
+    centers, pending = _stars(live, percent)
+    pending, seen = tables.staged_counting(pending, "pending", n=F.count(F.lit(1)))
+    # First the best edge of each document; most ends are joined then, and the rest follows.
+    best = F.max(F.struct("shared", "a"))["a"].alias("a")
+    first = tables.staged(pending.groupBy("b").agg(best).select("a", "b"), "edges")
+    tested = first
+    joined = _joined_more(rows, first, None, shingle, percent) if seen["n"] else None
+    left = pending.join(first, ["a", "b"], "left_anti")
+    left = _with_components(_with_components(left, "a", joined, "ca"), "b", joined, "cb")
+    left = left.where("ca <> cb").select("a", "b")
+    left, seen = tables.staged_counting(left, "pending", n=F.count(F.lit(1)))
+    tables.dropped(pending)
+    if seen["n"]:
+        tested = tested.unionByName(left)
+        joined = _joined_more(rows, left, joined, shingle, percent)
+    # A centre has met all others of its bucket.
+    members = live.join(centers, ["bucket", "node"], "left_anti").select("bucket", "node", "n")
+    sketches = None
+    for nearest in (True, False):
         before = live
-        live = _with_components(members, "node", joined)
-        ends = F.min("component").alias("low"), F.max("component").alias("high")
-        span = live.groupBy("bucket").agg(*ends, F.count(F.lit(1)).alias("others"))
-        live = live.join(span.where("low <> high").select("bucket", "others"), "bucket")
-        live, seen = tables.staged_counting(live, "buckets", n=F.count(F.lit(1)))
+        live, n = _unjoined(members, joined)
+        if not n:
+            break
+        if sketches is None:
+            nodes = _small(live.select(F.col("node").alias("doc")).distinct(), "nodes")
+            asked = rows.join(nodes, "doc", "left_semi").select("doc", "text")
+            sketches = tables.staged(asked.mapInArrow(_sketched(shingle), SKETCHES), "sketches")
+        members = live.select("bucket", "node", "n")
+        pairs = _untested(
+            _plausible(live, sketches, percent, nearest, block),
+            tested.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")),
+        )
+        pairs, seen = tables.staged_counting(pairs, "pending", n=F.count(F.lit(1)))
         tables.dropped(before)
         if not seen["n"]:
-            tables.dropped(rows if turn else None)
-            return joined
-        if turn == 0:
-            rows = _candidates(rows, live)
-        centers, pending = _stars(live, turn, percent)
-        members = live.join(centers, ["bucket", "node"], "left_anti").select("bucket", "node", "n")
-        if tested is not None:
-            same = (F.least("a", "b") == F.col("low")) & (F.greatest("a", "b") == F.col("high"))
-            pending = pending.join(tested, same, "left_anti")
-        pending, seen = tables.staged_counting(pending, "pending", n=F.count(F.lit(1)))
-        # First the best edge of each document; most ends are joined then, and the rest follows.
-        for first in (True, False):
-            if not seen["n"]:
-                break
-            now = pending
-            if first:
-                best = F.max(F.struct("shared", "a"))["a"].alias("a")
-                now = tables.staged(pending.groupBy("b").agg(best).select("a", "b"), "edges")
-            asked = now.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
-            tested = asked if tested is None else tested.unionByName(asked)
-            found, new = tables.staged_counting(_confirm(rows, now.select("a", "b"), shingle, percent), "links", n=F.count(F.lit(1)))
-            if new["n"]:
-                # What joined ends so far stands for all links before.
-                links = found if joined is None else found.unionByName(_as_edges(joined))
-                last, joined = joined, components(links)
-                tables.dropped(last)
-            tables.dropped(found)
-            if first:
-                left = pending.join(now, ["a", "b"], "left_anti")
-                left = _with_components(_with_components(left, "a", joined, "ca"), "b", joined, "cb")
-                left = left.where("ca <> cb").select("a", "b", "shared")
-                last, (pending, seen) = pending, tables.staged_counting(left, "pending", n=F.count(F.lit(1)))
-                tables.dropped(last)
-        turn += 1
+            # The nearest may have been tested before, and others not.
+            continue
+        tested = tested.unionByName(pairs)
+        joined = _joined_more(rows, pairs, joined, shingle, percent)
+    tables.dropped(rows)
+    return joined
 
 
 def _as_edges(joined: DataFrame) -> DataFrame:

@@ -49,11 +49,16 @@ def table_of(members: bytes) -> np.ndarray:
 NOT_SPACE = ~table_of(b" \t\n\x0b\x0c\r")
 
 
+def _table_size(n: int) -> int:
+    """Entries of a table of powers for exponents up to ``n``: those of a block, or of a smaller part of it."""
+    return n + 1 if n > BLOCK_BYTES else min(1 << max(n.bit_length(), 16), BLOCK_BYTES + 1)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, for exponents up to ``n``."""
     have = _POWERS.get("up")
     if have is None or len(have) <= n:
-        size = max(n + 1, BLOCK_BYTES + 1)
+        size = _table_size(n)
         for name, base in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
@@ -65,7 +70,7 @@ def _powers_modulo(prime: int, base: int, n: int) -> np.ndarray:
     """Powers of a base modulo a prime, for exponents up to ``n``."""
     have = _POWERS.get((prime, base))
     if have is None or len(have) <= n:
-        size = max(n + 1, BLOCK_BYTES + 1)
+        size = _table_size(n)
         have = np.ones(1, np.uint64)
         while len(have) < size:
             step = np.uint64(pow(base, len(have), prime))

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import random
+from functools import partial
 
 import brute
 import numpy as np
+import pyarrow as pa
 
-from tablekit.llm import near
+from tablekit.llm import near, texts
 from tablekit.llm.components import components
 
 SCHEMA = "doc_id long, text string, node long, component string"
@@ -77,6 +79,54 @@ def test_no_bin_stays_empty():
     assert (signature[[0, 2]] != near.EMPTY_BIN).all() and (signature[1] == near.EMPTY_BIN).all()
 
 
+def copies_of(rng, n, changes):
+    base = [f"b{i}" for i in range(120)]
+    out = []
+    for k in range(n):
+        words = list(base)
+        for at in rng.sample(range(120), changes):
+            words[at] = f"x{k}_{at}"
+        out.append((k, " ".join(words)))
+    return out
+
+
+def test_copies_below_the_threshold_are_not_all_paired(spark, monkeypatch):
+    """Copies that are nearer to a text than to each other, but not near enough: each costs
+    a star, and the sets of all pairs don't travel."""
+    rows = [(-1, " ".join(f"b{i}" for i in range(120))), *copies_of(random.Random(3), 80, 6)]
+    edges, confirm = [], near._confirm
+    monkeypatch.setattr(near, "_confirm", lambda r, e, *rest: edges.append(e.count()) or confirm(r, e, *rest))
+    got = near.near_duplicates(frame(spark, rows)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.near_components(rows)
+    assert sum(edges) < 10 * len(rows) < 81 * 80 // 2
+
+
+def test_small_blocks_as_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(near, "confirmed_links", partial(near.confirmed_links, block=3))
+    for seed in (1, 2):
+        rows = [*rows_of(random.Random(seed)), *[(2000 + d, t) for d, t in copies_of(random.Random(seed), 40, 2)]]
+        got = near.near_duplicates(frame(spark, rows)).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.near_components(rows)
+
+
+def test_sketches_leave_out_no_similar_pair():
+    rng = random.Random(8)
+    rows = [t for _, t in rows_of(rng) if t and t.split()] + [t for k in (1, 2, 3) for _, t in copies_of(rng, 15, k)]
+    for block in texts.blocks(pa.array(rows)):
+        prints, first = near.shingle_sets(block, 4)
+        sets = [set(prints[a:b].tolist()) for a, b in zip(first[:-1], first[1:], strict=True)]
+        odd, n, own = near.odd_sketches(prints, first).to_pylist(), np.diff(first), np.arange(block.rows)
+        for side in (np.zeros(block.rows, int), own % 2):
+            a, b = near.plausible(side, own, n, odd, 80, False)
+            found = {frozenset(p) for p in zip(a.tolist(), b.tolist(), strict=True)}
+            for i in own.tolist():
+                for j in range(i):
+                    alike = 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])
+                    apart = side.max() > 0 and side[i] == side[j]
+                    assert not alike or apart or frozenset((i, j)) in found
+            assert len(found) < block.rows * (block.rows - 1) // 4
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(10, 40)] + [(100, i) for i in range(101, 130)] + [(5, 7), (7, 5)]
     got = components(spark.createDataFrame(edges, "a long, b long")).collect()
