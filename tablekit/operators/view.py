@@ -157,8 +157,12 @@ class TablePage:
 
 
 def table_page(df: DataFrame, contract: Contract, request: PageRequest) -> TablePage:
+    """Rows and total of a page; one far into the table is found by counting, not by an offset."""
+    from tablekit.operators import deep_pages
+
     page = resolve_page(request, contract.table, df.schema)
-    return TablePage(page, page_rows(df, page, contract.primary_key), page_total(df, page))
+    rows_of = deep_pages.deep_page_rows if page.index * page.size > deep_pages.MOST_ROWS else page_rows
+    return TablePage(page, rows_of(df, page, contract.primary_key), page_total(df, page))
 
 
 def row_identity(key: tuple[str, ...]) -> Column:

@@ -52,6 +52,19 @@ def test_range_of_a_deep_page_is_small(spark):
     assert deep_pages.within(df, plan, place).count() == place.rows
 
 
+@pytest.mark.parametrize("index", [7, 149, 10_000_000])
+def test_table_page_far_into_a_table_sorts_no_rows_before_it(spark, monkeypatch, index):
+    df = numbers(spark)
+    request = PageRequest("t", index, 20, [Sort("a")])
+    page = resolve_page(request, "t", df.schema)
+    want = view.page_rows(df, page, ("id",)).collect() if index < 150 else []
+    monkeypatch.setattr(deep_pages, "MOST_ROWS", 100)
+    shown = view.table_page(df, Contract("t", df.schema, primary_key=("id",)), request)
+    assert shown.rows.collect() == want and shown.total.first()["total_rows"] == 3000
+    if not want:
+        assert "Sort" not in plan_of(shown.rows) and "TakeOrdered" not in plan_of(shown.rows)
+
+
 def test_deep_page_of_an_empty_table(spark):
     df = numbers(spark).where("id < 0")
     page = resolve_page(PageRequest("t", 0, 20), "t", df.schema)
