@@ -262,6 +262,7 @@ def _matched(rows: DataFrame, items: DataFrame, window: int, block_words: int) -
         [rows.schema["doc"], rows.schema["text"]]
         + [StructField("hits", ArrayType(IntegerType())), StructField("items", ArrayType(StringType()))]
     )
+    tables.lean(rows.sparkSession)
     matchers: list = []
     for block in item_blocks(items, block_words):
         matcher = rows.sparkSession.sparkContext.broadcast(cloudpickle.dumps(Matcher(block, window)))

@@ -454,6 +454,7 @@ def _as_edges(joined: DataFrame) -> DataFrame:
 
 
 def _signed(rows: DataFrame, shingle: int) -> DataFrame:
+    tables.lean(rows.sparkSession)
     return tables.staged(rows.mapInArrow(_signatures(shingle), SIGNED), "signatures")
 
 

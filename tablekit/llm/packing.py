@@ -221,6 +221,7 @@ def _pieces(path: str, capacity: int):
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """Per piece: doc_id, piece, start, length and the checksum of its ids."""
+    tables.lean(docs.sparkSession)
     text = F.coalesce(docs["text"], F.lit(""))
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"))
     return rows.mapInArrow(_pieces(tokenizer, capacity), PIECES)

@@ -7,6 +7,12 @@ import uuid
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+# A worker takes in a batch whole, and the executor holds it up to three times while it is
+# sent, so batches are cut by their bytes; a longer row is a batch of its own.
+BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_LIMIT_DEFAULT = str(64 << 20)
+BATCH_LIMIT_LEAN = str(4 << 20)
+
 # A null document id sorts before every other and stands as this number inside.
 NULL_ID = -(2**63)
 
@@ -15,8 +21,16 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def lean(spark: SparkSession) -> SparkSession:
+    """Batches of texts sent to Python workers kept small, unless the session has chosen their size."""
+    if spark.conf.get(BATCH_LIMIT, BATCH_LIMIT_DEFAULT).removesuffix("b") == BATCH_LIMIT_DEFAULT:
+        spark.conf.set(BATCH_LIMIT, BATCH_LIMIT_LEAN)
+    return spark
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """``doc`` and ``text`` without nulls, whatever else the table holds."""
+    lean(docs.sparkSession)
     return docs.select(
         F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)).alias("doc"),
         F.coalesce(docs["text"], F.lit("")).alias("text"),

@@ -51,7 +51,7 @@ NOT_SPACE = ~table_of(b" \t\n\x0b\x0c\r")
 
 def _table_size(n: int) -> int:
     """Entries of a table of powers for exponents up to ``n``: those of a block, or of a smaller part of it."""
-    return n + 1 if n > BLOCK_BYTES else min(1 << max(n.bit_length(), 16), BLOCK_BYTES + 1)
+    return n + 1 if n > BLOCK_BYTES else min(1 << max((n - 1).bit_length(), 16), BLOCK_BYTES) + 1
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,7 +106,7 @@ class Sums:
         parts = []
         for prime, base, sums in zip(PRIMES[self.which], _BASES[self.which], self.sums, strict=True):
             p = np.uint64(prime)
-            down = _powers_modulo(prime, pow(base, -1, prime), len(sums))
+            down = _powers_modulo(prime, pow(base, -1, prime), len(sums) - 1)
             parts.append((sums[ends] - sums[starts]) % p * down[starts] % p)
         return parts[0] << np.uint64(32) | parts[1]
 
@@ -129,7 +129,7 @@ def ranges(sums: Sums | np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     lengths = (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     if isinstance(sums, Sums):
         return mix(sums.ranges(starts, ends) + lengths)
-    _, down = powers(len(sums))
+    _, down = powers(len(sums) - 1)
     return mix((sums[ends] - sums[starts]) * down[starts] + lengths)
 
 

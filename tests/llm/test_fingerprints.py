@@ -6,11 +6,12 @@ import zlib
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 import tokenizers
 from pyspark import cloudpickle
 
-from tablekit.llm import leaks, near, packing, substring, suffixes, texts
+from tablekit.llm import leaks, near, packing, substring, suffixes, tables, texts
 
 
 def twins(size):
@@ -84,3 +85,23 @@ def test_caches_do_not_travel():
     texts.ranges(block.quick_sums(), block.offsets[:-1], block.offsets[1:])
     assert len(cloudpickle.dumps(leaks.word_prints)) < 100_000
     assert cloudpickle.loads(cloudpickle.dumps(leaks.word_prints))(block)[0].tolist() == leaks.word_prints(block)[0].tolist()
+
+
+def test_tables_of_powers_are_as_long_as_a_block():
+    size = 1 << 19
+    texts._POWERS.clear()
+    block = next(texts.blocks(pa.array([b"x" * size], pa.binary())))
+    texts.ranges(block.sums(), np.array([0, size]), np.array([size, size]))
+    texts.ranges(block.quick_sums(), np.array([0, size]), np.array([size, size]))
+    assert {len(table) for table in texts._POWERS.values()} == {size + 1}
+
+
+def test_batches_of_long_texts_are_small(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [batch.num_rows], "bytes": [batch.nbytes]})
+
+    docs = spark.range(0, 200, 1, 1).selectExpr("id AS doc_id", "repeat('word ', 20000) AS text")
+    got = tables.keyed(docs).mapInArrow(sizes, "rows long, bytes long").collect()
+    assert sum(r.rows for r in got) == 200
+    assert max(r.bytes for r in got) < 5_000_000
