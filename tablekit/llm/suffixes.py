@@ -41,6 +41,7 @@ WINDOW = 100
 DIGIT = 40
 SPANS_PER_DIGIT = 32
 CHUNK_ROWS = 1 << 19
+BLOCK_BYTES = 1 << 20
 
 OPEN, WITNESS, REPEAT, DEEPER, CROWDED = 0, 1, 2, 3, 4
 PLACE_BITS = 23
@@ -83,13 +84,13 @@ def synchronised(block: texts.Block, window: int, digit: int) -> tuple[np.ndarra
     n, width = len(block.data), window - digit + 1
     if n < window:
         return (np.zeros(0, np.int64),) * 3
-    starts = np.arange(n - digit + 1)
-    prints = texts.ranges(block.sums(), starts, starts + digit)
+    # Which place is chosen changes no result, as long as equal windows choose alike.
+    prints = texts.windows(block.quick_sums(), digit)
     low_bits = np.uint64((1 << PLACE_BITS) - 1)
     if n > int(low_bits):
         order = _wide_choice(prints, width)
     else:
-        ranked = (prints & ~low_bits) | (low_bits - starts.astype(np.uint64))
+        ranked = (prints & ~low_bits) | (low_bits - np.arange(len(prints), dtype=np.uint64))
         order = (low_bits - (smallest_of_each(ranked, width) & low_bits)).astype(np.int64)
     row_end = block.offsets[1:]
     window_starts = np.arange(len(order))
@@ -236,7 +237,7 @@ def _span_map(window: int, buckets: int):
         rows = Rows(lambda r: settle_spans(r, buckets))
         for batch in batches:
             ids = texts.numbers(batch.column(0))
-            for block in texts.blocks(batch.column(1)):
+            for block in texts.blocks(batch.column(1), BLOCK_BYTES):
                 place, low, high = synchronised(block, window, digit)
                 row = np.searchsorted(block.offsets, place, "right") - 1
                 base = block.offsets[row]
@@ -262,7 +263,7 @@ def _deep_map(window: int):
         for batch in batches:
             ids = texts.numbers(batch.column(0))
             offsets, spans = texts.lists_of(batch.column(2))
-            for block in texts.blocks(batch.column(1)):
+            for block in texts.blocks(batch.column(1), BLOCK_BYTES):
                 doc, tag = ids[block.first : block.first + block.rows], block.tags()
                 own = spans[offsets[block.first] : offsets[block.first + block.rows]]
                 row = texts.rows_of(offsets[block.first : block.first + block.rows + 1])
@@ -305,7 +306,7 @@ def _apply_map(window: int):
         for batch in batches:
             total, removed, runs, kept = [], [], [], []
             gone = batch.column(2).to_pylist()
-            for block in texts.blocks(batch.column(1)):
+            for block in texts.blocks(batch.column(1), BLOCK_BYTES):
                 tags = block.tags()
                 for row in range(block.rows):
                     data = block.data[block.offsets[row] : block.offsets[row + 1]]

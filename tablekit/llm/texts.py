@@ -12,6 +12,7 @@ every base, so these ``quick`` ones only serve where a collision changes no resu
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,11 +23,13 @@ BLOCK_BYTES = 1 << 21
 BASE = 0x9E3779B97F4A7C15 | 1
 SEED = 20240607
 
-# Two primes below 2^31 for each of the two numberings, with a base each.
+# Two primes just below 2^31 for each of the two numberings, with a base each.
 PRIMES = ((2147483647, 2147483629), (2147483587, 2147483579))
 _RANDOM = np.random.default_rng(SEED)
 _NUMBERS = _RANDOM.integers(1, 2**63, (2, 256), dtype=np.uint64)
 _BASES = tuple(tuple(int(_RANDOM.integers(2**29, p - 1)) for p in pair) for pair in PRIMES)
+_REDUCED = tuple([numbers % np.uint64(p) for p in pair] for numbers, pair in zip(_NUMBERS, PRIMES, strict=True))
+PIECE = 1 << 15
 
 
 class _Cache(dict):
@@ -87,28 +90,45 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def _folded(x: np.ndarray, prime: int) -> np.ndarray:
+    """Numbers below 2^63 as equal ones modulo the prime, below 2^31 + 2^15; twice as quick as a division."""
+    rest, bits, low = np.uint64(2**31 - prime), np.uint64(31), np.uint64(2**31 - 1)
+    for _ in range(2):
+        x = (x >> bits) * rest + (x & low)
+    return x
+
+
 class Sums:
     """Prefix sums of a polynomial modulo two primes, from which any range's value follows.
 
-    A sum of as many terms as memory holds stays below 2^64, so sums are not reduced.
+    A sum of as many terms as memory holds stays below 2^63, so sums are not reduced. Arrays
+    are taken in pieces that a processor's cache holds.
     """
 
     def __init__(self, values: np.ndarray, which: int) -> None:
+        """Of 64-bit numbers, or of bytes by their numbers."""
         self.which = which
         self.sums = []
-        for prime, base in zip(PRIMES[which], _BASES[which], strict=True):
-            p = np.uint64(prime)
+        for k, (prime, base) in enumerate(zip(PRIMES[which], _BASES[which], strict=True)):
+            up = _powers_modulo(prime, base, len(values))
             sums = np.zeros(len(values) + 1, np.uint64)
-            np.cumsum((values % p) * _powers_modulo(prime, base, len(values))[: len(values)] % p, out=sums[1:])
-            self.sums.append(sums)
+            for a in range(0, len(values), PIECE):
+                some = values[a : a + PIECE]
+                terms = _REDUCED[which][k][some] if some.dtype == np.uint8 else some % np.uint64(prime)
+                sums[a + 1 : a + 1 + len(some)] = _folded(terms * up[a : a + len(some)], prime)
+            self.sums.append(np.cumsum(sums, out=sums))
 
     def ranges(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        parts = []
+        out = np.zeros(len(starts), np.uint64)
         for prime, base, sums in zip(PRIMES[self.which], _BASES[self.which], self.sums, strict=True):
             p = np.uint64(prime)
             down = _powers_modulo(prime, pow(base, -1, prime), len(sums) - 1)
-            parts.append((sums[ends] - sums[starts]) % p * down[starts] % p)
-        return parts[0] << np.uint64(32) | parts[1]
+            for a in range(0, len(starts), PIECE):
+                first = starts[a : a + PIECE]
+                part = _folded(_folded(sums[ends[a : a + PIECE]] - sums[first], prime) * down[first], prime)
+                np.subtract(part, p, out=part, where=part >= p)
+                out[a : a + PIECE] = out[a : a + PIECE] << np.uint64(32) | part
+        return out
 
 
 def prefix_sums(values: np.ndarray, which: int = 0) -> Sums:
@@ -124,6 +144,13 @@ def quick_sums(values: np.ndarray) -> np.ndarray:
     return sums
 
 
+def windows(sums: np.ndarray, width: int) -> np.ndarray:
+    """Quick fingerprints of every ``width`` neighbours."""
+    n = len(sums) - width
+    _, down = powers(len(sums) - 1)
+    return mix((sums[width:] - sums[:n]) * down[:n])
+
+
 def ranges(sums: Sums | np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Fingerprints of the ranges, equal for equal values wherever they stand."""
     lengths = (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
@@ -143,7 +170,7 @@ class Block:
     def sums(self, which: int = 0) -> Sums:
         """Prefix sums of the bytes; ``which`` chooses one of two numberings."""
         if which not in self._sums:
-            self._sums[which] = prefix_sums(_NUMBERS[which][self.data], which)
+            self._sums[which] = prefix_sums(self.data, which)
         return self._sums[which]
 
     def quick_sums(self) -> np.ndarray:
@@ -153,8 +180,8 @@ class Block:
 
     def tags(self) -> np.ndarray:
         """31 bits of each text, to tell rows apart that share an id."""
-        whole = ranges(self.sums(), self.offsets[:-1], self.offsets[1:])
-        return (whole >> np.uint64(33)).astype(np.int64)
+        prints = [hashlib.blake2b(self.text(row), digest_size=4).digest() for row in range(self.rows)]
+        return np.frombuffer(b"".join(prints), "<u4").astype(np.int64) >> 1
 
     @property
     def rows(self) -> int:

@@ -105,3 +105,29 @@ def test_batches_of_long_texts_are_small(spark):
     got = tables.keyed(docs).mapInArrow(sizes, "rows long, bytes long").collect()
     assert sum(r.rows for r in got) == 200
     assert max(r.bytes for r in got) < 5_000_000
+
+
+@pytest.mark.parametrize("which", [0, 1])
+def test_sums_against_whole_numbers(which):
+    values = np.array([2**64 - 1, 0, 1, 2**63, 2**31, texts.PRIMES[which][0]] * 9000, np.uint64)
+    ends = np.array([1, 2, 40000, len(values)])
+    sums = texts.prefix_sums(values, which)
+    got = sums.ranges(np.zeros(4, np.int64), ends)
+    for end, value in zip(ends.tolist(), got.tolist(), strict=True):
+        parts = []
+        for prime, base in zip(texts.PRIMES[which], texts._BASES[which], strict=True):
+            total = 0
+            for v in reversed(values[:end].tolist()):
+                total = (total * base + v) % prime
+            parts.append(total)
+        assert value == parts[0] << 32 | parts[1]
+
+
+def test_places_and_tags_need_no_strong_sums():
+    data = np.frombuffer(("some words of a text, " * 40).encode(), np.uint8)
+    block = texts.Block(0, data, np.array([0, 300, len(data)]))
+    place, low, high = suffixes.synchronised(block, 100, 40)
+    tags = block.tags()
+    assert len(place) and (low <= place).all() and (place < high + 100).all()
+    assert tags[0] != tags[1] and (tags >= 0).all() and (tags < 2**31).all()
+    assert set(block._sums) == {"quick"}
