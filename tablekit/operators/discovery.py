@@ -16,6 +16,8 @@ from tablekit.sources.catalog import Catalog
 
 SHORT_TEXT = 64
 BITS = 63
+SHARE = 64
+SETS_AT_ONCE = 32
 
 
 @dataclass(frozen=True)
@@ -113,12 +115,35 @@ def discovered_references(catalog: Catalog) -> DataFrame:
     return catalog.table(catalog.names[0]).sparkSession.createDataFrame(sorted(found), schema)
 
 
+def _unrepeated(df: DataFrame, sets: list[tuple[str, ...]], share: int) -> list[tuple[str, ...]]:
+    """Those sets of columns without nulls that hold no values twice, among one in ``share`` of all values.
+
+    Which values are looked at follows from their hash, so all rows of a value are looked at or none.
+    """
+    kept = []
+    for at in range(0, len(sets), SETS_AT_ONCE):
+        lot, tests = sets[at : at + SETS_AT_ONCE], []
+        for i, names in enumerate(lot):
+            chosen = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in names]), F.lit(share)) == 0
+            value = F.struct(*[_shortened(df, c) for c in names])
+            tests += [F.count_distinct(F.when(chosen, value)).alias(f"d{i}"), F.count_if(chosen).alias(f"n{i}")]
+        seen = df.agg(*tests).first()
+        kept += [names for i, names in enumerate(lot) if seen[f"d{i}"] == seen[f"n{i}"]]
+    return kept
+
+
+def _shortened(df: DataFrame, name: str) -> Column:
+    column = F.col(f"`{name}`")
+    return _value(column, "text") if isinstance(df.schema[name].dataType, T.StringType) else column
+
+
 def discovered_keys(catalog: Catalog, most_columns: int = 2) -> DataFrame:
     """The smallest sets of columns that tell all rows of a table apart, without nulls.
 
-    Single columns come first; larger sets are tried only for tables that have none, and
-    only where the distinct counts of their columns can make up all rows. Counts are
-    exact; each table is read once for each size of set.
+    Single columns come first; larger sets are tried only for tables that have none. A set
+    that repeats one of the values of a share of ``SHARE`` is no key, which most sets show
+    with that part of a shuffle; only the others are shuffled whole, so what is found holds
+    for all rows. Long text counts by its SHA-256.
     """
     found = []
     for name in catalog.names:
@@ -126,29 +151,15 @@ def discovered_keys(catalog: Catalog, most_columns: int = 2) -> DataFrame:
         names = [f.name for f in df.schema.fields if _comparable(f.dataType)]
         if not names:
             continue
-        first = df.agg(
-            F.count(F.lit(1)).alias("n"),
-            *[F.count_distinct(F.col(f"`{c}`")).alias(f"d{i}") for i, c in enumerate(names)],
-            *[F.count(F.col(f"`{c}`")).alias(f"f{i}") for i, c in enumerate(names)],
-        ).first()
-        n = first["n"]
-        if not n:
+        filled = [F.count(F.col(f"`{c}`")).alias(f"f{i}") for i, c in enumerate(names)]
+        first = df.agg(F.count(F.lit(1)).alias("n"), *filled).first()
+        if not first["n"]:
             continue
-        filled = {c: first[f"d{i}"] for i, c in enumerate(names) if first[f"f{i}"] == n}
-        keys = [(c,) for c, d in filled.items() if d == n]
-        for size in range(2, most_columns + 1):
-            if keys:
-                break
-            able = [s for s in combinations(filled, size) if _product(filled[c] for c in s) >= n]
-            if able:
-                counted = df.agg(
-                    *[F.count_distinct(*[F.col(f"`{c}`") for c in s]).alias(f"s{i}") for i, s in enumerate(able)]
-                ).first()
-                keys = [s for i, s in enumerate(able) if counted[f"s{i}"] == n]
+        names = [c for i, c in enumerate(names) if first[f"f{i}"] == first["n"]]
+        keys: list[tuple[str, ...]] = []
+        for size in range(1, most_columns + 1):
+            if not keys:
+                keys = _unrepeated(df, _unrepeated(df, list(combinations(names, size)), SHARE), 1)
         found += [(name, ",".join(key), len(key)) for key in keys]
     schema = "table_name string, key string, n_columns int"
     return catalog.table(catalog.names[0]).sparkSession.createDataFrame(sorted(found), schema)
-
-
-def _product(numbers) -> int:
-    return reduce(lambda a, b: a * b, numbers, 1)

@@ -159,6 +159,31 @@ def test_smallest_keys_are_found(spark):
     assert [tuple(r) for r in discovery.discovered_keys(catalog).collect()] == [("pairs", "a,b", 2), ("single", "id", 1)]
 
 
+def test_keys_that_one_repeat_spoils(spark):
+    once = spark.range(5000).select("id", (F.col("id") * 7).alias("twice"), F.lit("c" * 100).alias("t"))
+    once = once.withColumn("twice", F.when(F.col("id") == 4321, 7).otherwise(F.col("twice")))
+    once = once.withColumn("t", F.concat("t", F.col("id").cast("string")))
+    catalog = Catalog.of({"once": once})
+    assert [r.key for r in discovery.discovered_keys(catalog).collect()] == ["id", "t"]
+
+
+def test_sets_that_repeat_are_not_shuffled_whole(spark, monkeypatch):
+    """Of 10 pairs of columns only the keys are tested on all values."""
+    n = F.col("id")
+    wide = spark.range(4000).select(*[(n % m).alias(f"m{m}") for m in (50, 80, 40, 20)], F.floor(n / 50).alias("f"))
+    asked = []
+    test = discovery._unrepeated
+
+    def noted(df, sets, share):
+        asked.append((share, len(sets)))
+        return test(df, sets, share)
+
+    monkeypatch.setattr(discovery, "_unrepeated", noted)
+    got = [r.key for r in discovery.discovered_keys(Catalog.of({"wide": wide})).collect()]
+    assert got == ["m50,f", "m80,f"]
+    assert asked == [(64, 5), (1, 0), (64, 10), (1, 2)]
+
+
 # --------------------------------------------------------------- INSERT dumps
 
 ODD = "k long, t string, d double, f boolean, s timestamp_ntz, v array<double>, b binary, y date"
