@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablekit.functions import parsing
+from tablekit.functions import kinds, parsing
 from tablekit.operators import lookup
 from tablekit.plans.contract import Contract
 from tablekit.plans.naming import auto_map, effective_mapping
@@ -91,11 +91,11 @@ def _local_checks(
     columns = [c for c in contract.columns if c in sources]
     if not columns:
         raw = raw.where(F.lit(False))  # rows in which nothing is mapped are skipped
-    kinds = {c: contract.schema[c].dataType for c in columns}
+    types_of = {c: contract.schema[c].dataType for c in columns}
     bodies = raw.select(
         *[F.col(f"`{h}`").alias(f"_in_{i}") for i, h in enumerate(headers)],
         *[
-            parsing.body_of(F.col(f"`{sources[c]}`"), kinds[c]).alias(f"_body_{i}")
+            parsing.body_of(F.col(f"`{sources[c]}`"), types_of[c]).alias(f"_body_{i}")
             for i, c in enumerate(columns)
         ],
         *position,
@@ -104,7 +104,7 @@ def _local_checks(
     typed = bodies.select(
         *[f"_in_{i}" for i, _ in enumerate(headers)],
         *[
-            parsing.typed_value(F.col(f"_body_{i}"), kinds[c]).alias(f"_out_{i}")
+            parsing.typed_value(F.col(f"_body_{i}"), types_of[c]).alias(f"_out_{i}")
             for i, c in enumerate(columns)
         ],
         *position,
@@ -114,7 +114,7 @@ def _local_checks(
     types, missing, domains = [], [], []
     for i, column in enumerate(columns):
         text, value = F.col(f"_in_{number[sources[column]]}"), F.col(f"_out_{i}")
-        data_type = kinds[column]
+        data_type = types_of[column]
         if not isinstance(data_type, T.StringType):
             types.append(
                 (
@@ -136,6 +136,19 @@ def _local_checks(
     return typed.withColumn(REASON, reason).drop("_ragged"), columns
 
 
+def _plain_texts(
+    contract: Contract, mapping: dict[str, str], headers: list[str], columns: list[str]
+) -> dict[str, Column]:
+    """For input cells, the usual text of the value read from them. A cell that has this text
+    need not be written beside the value."""
+    sources, texts = effective_mapping(mapping), {}
+    for i, column in enumerate(columns):
+        value, kind = F.col(f"_out_{i}"), contract.schema[column].dataType
+        if isinstance(kind, (T.StringType, *kinds.INTEGRAL_TYPES)):
+            texts[f"_in_{headers.index(sources[column])}"] = value.cast("string")
+    return texts
+
+
 def check_rows(
     raw: DataFrame,
     contract: Contract,
@@ -155,29 +168,36 @@ def check_rows(
     stage = stage or storage.Stage()
     headers = [c for c in raw.columns if c not in (*position, CORRUPT)]
     rows, columns = _local_checks(raw, contract, mapping, headers, position)
-    rows = stage.table(rows, "import")
+    plain = _plain_texts(contract, mapping, headers, columns)
+    rows = stage.table(rows.withColumns({c: F.nullif(F.col(c), text) for c, text in plain.items()}), "import")
+    rows = rows.withColumns({c: F.coalesce(c, text) for c, text in plain.items()})
     out = {c: f"_out_{i}" for i, c in enumerate(columns)}
-    rows = _check_references(rows, contract, out, parents)
-    rows = _check_keys(rows, contract, out, position, target)
+    keep = lookup.staged_in(stage, "keys")
+    rows = _check_references(rows, contract, out, parents, keep)
+    rows = _check_keys(rows, contract, out, position, target, keep)
     return Checked(rows, headers, columns, stage)
 
 
 def _check_references(
-    rows: DataFrame, contract: Contract, out: dict[str, str], parents: Callable[[str], DataFrame] | None
+    rows: DataFrame,
+    contract: Contract,
+    out: dict[str, str],
+    parents: Callable[[str], DataFrame] | None,
+    keep: lookup.Keep,
 ) -> DataFrame:
     accepted = rows.where(F.col(REASON).isNull())
     for key in contract.foreign_keys:
         if parents is None or key.column not in out:
             continue
         column = out[key.column]
-        values = storage.checkpointed(lookup.key_counts(accepted.select(column), [column]))
-        known = lookup.keys_found(values, [column], parents(key.ref_table), [key.ref_column])
-        missing = values.join(known, column, "left_anti")
+        values, few = keep(lookup.key_counts(accepted.select(column), [column]))
+        marked = lookup.held_marked(values, [column], parents(key.ref_table), [key.ref_column], few)
+        missing = marked.where(~F.col("_held")).select(column, "_n")
         message = UNKNOWN_REFERENCE.format(
             column=key.column, reference=f"{key.ref_table}.{key.ref_column}"
         )
         rows = (
-            lookup.attach(rows, missing, [column])
+            lookup.attach(rows, missing, [column], keep=keep)
             .withColumn(REASON, F.coalesce(REASON, F.when(F.col("_n").isNotNull(), message)))
             .drop("_n")
         )
@@ -185,31 +205,44 @@ def _check_references(
 
 
 def _check_keys(
-    rows: DataFrame, contract: Contract, out: dict[str, str], position: list[str], target: Target | None
+    rows: DataFrame,
+    contract: Contract,
+    out: dict[str, str],
+    position: list[str],
+    target: Target | None,
+    keep: lookup.Keep,
 ) -> DataFrame:
-    """The first row of a key stays, unless the target holds the key already."""
+    """The first row of a key stays, unless the target holds the key already.
+
+    All keys are counted, but places are compared for repeated keys only: the first of
+    several columns makes a grouping sort its rows.
+    """
     if not contract.primary_key or any(c not in out for c in contract.primary_key):
         return rows
     keys = [out[c] for c in contract.primary_key]
     place = F.struct(*[F.col(p) for p in position])
     accepted = rows.where(F.col(REASON).isNull()).select(*keys, *position)
-    groups = lookup.key_counts(accepted, keys, F.min(place).alias("_first"))
+    groups = lookup.key_counts(accepted.select(*keys), keys)
     if target is None:
-        groups = groups.withColumn("_present", F.lit(False))
+        groups = groups.withColumn("_held", F.lit(False))
     else:
-        groups = storage.checkpointed(groups)
+        groups, few = keep(groups)
         held = target if isinstance(target, DataFrame) else target(groups, keys)
-        existing = lookup.keys_found(groups, keys, held, list(contract.primary_key))
-        groups = groups.join(existing.withColumn("_present", F.lit(True)), keys, "left")
-        groups = groups.withColumn("_present", F.coalesce("_present", F.lit(False)))
-    contested = groups.where((F.col("_n") > 1) | F.col("_present"))
-    refused = F.col("_n").isNotNull() & (F.col("_present") | (place != F.col("_first")))
+        groups = lookup.held_marked(groups, keys, held, list(contract.primary_key), few)
+    contested, few = keep(groups.where((F.col("_n") > 1) | F.col("_held")))
+    repeated = contested.where(~F.col("_held")).select(*keys)
+    if repeated.isEmpty():
+        marked = lookup.attach_kept(rows, contested, few, keys)
+        refused = F.col("_n").isNotNull()
+    else:
+        if lookup.is_small(repeated):
+            accepted = accepted.join(F.broadcast(repeated), keys, "left_semi")
+        firsts = lookup.key_counts(accepted, keys, F.min(place).alias("_first")).drop("_n")
+        marked = lookup.attach(rows, contested.join(firsts, keys, "left"), keys, keep=keep)
+        refused = F.col("_n").isNotNull() & (F.col("_held") | (place != F.col("_first")))
     message = DUPLICATE.format(key=",".join(contract.primary_key))
-    return (
-        lookup.attach(rows, contested, keys)
-        .withColumn(REASON, F.coalesce(REASON, F.when(refused, message)))
-        .drop("_n", "_first", "_present")
-    )
+    marked = marked.withColumn(REASON, F.coalesce(REASON, F.when(refused, message)))
+    return marked.drop("_n", "_first", "_held")
 
 
 def import_csv(
@@ -233,15 +266,23 @@ def reject_lines(rejects: DataFrame) -> DataFrame:
     return csv_lines(rejects)
 
 
+def observed_writes(
+    checked: Checked, write_good: Callable[[DataFrame], None], write_rejects: Callable[[DataFrame], None]
+) -> dict[str, int]:
+    """Writes both kinds of rows and returns their counts, observed as they are written."""
+    accepted, refused = Observation(), Observation()
+    total = F.count(F.lit(1)).alias("rows")
+    write_good(checked.good.observe(accepted, total))
+    write_rejects(checked.rejects.observe(refused, total))
+    return {"successful_rows": accepted.get["rows"], "failed_rows": refused.get["rows"]}
+
+
 def write_import(checked: Checked, good_path: str, reject_path: str) -> dict[str, int]:
     """Write good rows as Parquet and rejects as CSV; returns the counts of both.
 
     The counts are observed while the rows are written, not by another pass. The
     staged rows are removed after, so an import is written once.
     """
-    accepted, refused = Observation(), Observation()
-    total = F.count(F.lit(1)).alias("rows")
-    checked.good.observe(accepted, total).write.parquet(good_path)
-    write_csv(checked.rejects.observe(refused, total), reject_path)
+    counts = observed_writes(checked, lambda df: df.write.parquet(good_path), lambda df: write_csv(df, reject_path))
     checked.stage.release()
-    return {"successful_rows": accepted.get["rows"], "failed_rows": refused.get["rows"]}
+    return counts

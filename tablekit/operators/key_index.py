@@ -47,7 +47,7 @@ class KeyIndex:
     def add(self, rows: DataFrame, batch: int) -> None:
         """The keys of a batch, in order of their parts."""
         keys = rows.select(*[F.col(f"`{c}`") for c in self.keys]).withColumn(PART, self._part(self.keys))
-        placed = keys.repartitionByRange(PART).sortWithinPartitions(PART, *[F.col(f"`{c}`") for c in self.keys])
+        placed = keys.repartitionByRange(PART).sortWithinPartitions(PART)
         placed.write.mode("overwrite").parquet(f"{self.folder}/{BATCH}={batch}")
 
     def before(self, batch: int) -> DataFrame | None:

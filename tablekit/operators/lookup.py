@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,6 +16,9 @@ MAX_BROADCAST_ROWS = 200_000
 MAX_BROADCAST_BYTES = 32 * 1024 * 1024
 HOT_KEYS = 1000
 
+# Writes rows where later steps read them without the work above, and tells if they are few.
+Keep = Callable[[DataFrame], tuple[DataFrame, bool]]
+
 
 def _all(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)
@@ -25,11 +29,34 @@ def is_small(df: DataFrame) -> bool:
 
     Counting stops at the limit, so a large table costs no more than a small one.
     """
+    return _few(df.limit(MAX_BROADCAST_ROWS + 1).agg(*_size(df)).first().asDict())
+
+
+def _size(df: DataFrame) -> list[Column]:
     width = reduce(lambda a, b: a + b, [_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields])
-    size = df.limit(MAX_BROADCAST_ROWS + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("bytes")).first()
+    return [F.count(F.lit(1)).alias("n"), F.sum(width).alias("bytes")]
+
+
+def _few(size: dict) -> bool:
     return size["n"] <= MAX_BROADCAST_ROWS and (size["bytes"] or 0) <= MAX_BROADCAST_BYTES
 
 
+def checkpointed(df: DataFrame) -> tuple[DataFrame, bool]:
+    df = storage.checkpointed(df)
+    return df, is_small(df)
+
+
+def staged_in(stage: storage.Stage, purpose: str) -> Keep:
+    """Keeps rows as tables of a stage, counted and measured while they are written."""
+
+    def keep(df: DataFrame) -> tuple[DataFrame, bool]:
+        seen = Observation()
+        out = stage.table(df.observe(seen, *_size(df)), purpose)
+        return out, _few(seen.get)
+
+    return keep
+
+
 def _width(value: Column, data_type: T.DataType) -> Column:
     """Bytes of a value, about; only nested values are written out to be measured."""
     if isinstance(data_type, (T.StringType, T.BinaryType)):
@@ -48,27 +75,60 @@ def key_counts(rows: DataFrame, keys: list[str], *facts: Column) -> DataFrame:
     return rows.where(present).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *facts)
 
 
-def keys_found(keys: DataFrame, names: list[str], table: DataFrame, columns: list[str]) -> DataFrame:
+def keys_found(
+    keys: DataFrame, names: list[str], table: DataFrame, columns: list[str], few: bool | None = None
+) -> DataFrame:
     """Those of ``keys`` that the table holds, once each, under their own names.
 
-    A few keys, checked by size, are broadcast, so that the table is scanned and
-    never shuffled. ``keys`` is read more than once and should be a written table.
+    A few keys, checked by size unless ``few`` tells, are broadcast, so that the table is
+    scanned and never shuffled. ``keys`` is read more than once and should be a written table.
     """
     wanted = keys.select(*[F.col(n).alias(f"_key_{i}") for i, n in enumerate(names)])
-    if is_small(wanted):
+    if is_small(wanted) if few is None else few:
         wanted = F.broadcast(wanted)
     held = table.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(columns, names, strict=True)])
     same = _all([held[n] == wanted[f"_key_{i}"] for i, n in enumerate(names)])
     return held.join(wanted, same, "left_semi").distinct()
 
 
-def attach(rows: DataFrame, facts: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+def held_marked(
+    values: DataFrame, names: list[str], table: DataFrame, columns: list[str], few: bool
+) -> DataFrame:
+    """``values``, one row per key with its count ``_n``, and in ``_held`` whether the table holds the key.
+
+    A few keys are broadcast, as in :func:`keys_found`. More of them meet the table's keys in
+    one grouping, so that each key is shuffled once and a key that the table repeats is one row
+    per task. Keys of the table outside the range of ``values`` stay out of it. ``values`` has
+    no other columns and should be a written table.
+    """
+    held = table.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(columns, names, strict=True)])
+    if few or any(held.schema[n].dataType != values.schema[n].dataType for n in names):
+        found = keys_found(values, names, table, columns, few).withColumn("_held", F.lit(True))
+        return values.join(found, names, "left").withColumn("_held", F.coalesce("_held", F.lit(False)))
+    ranged = [n for n in names if isinstance(values.schema[n].dataType, kinds.INTEGRAL_TYPES)]
+    if ranged:
+        ends = values.agg(*[end(n).alias(f"{end.__name__}_{n}") for n in ranged for end in (F.min, F.max)]).first()
+        held = held.where(_all([F.col(n).between(ends[f"min_{n}"], ends[f"max_{n}"]) for n in ranged]))
+    own = values.select(*names, F.col("_n"), F.lit(False).alias("_held"))
+    both = own.unionByName(held.select(*names, F.lit(0).cast("bigint").alias("_n"), F.lit(True).alias("_held")))
+    met = both.groupBy(*names).agg(F.sum("_n").alias("_n"), F.max("_held").alias("_held"))
+    return met.where("_n > 0")
+
+
+def attach(
+    rows: DataFrame, facts: DataFrame, keys: list[str], how: str = "left", keep: Keep = checkpointed
+) -> DataFrame:
     """Rows joined to ``facts``, which has one row per key and its count ``_n``.
 
-    Few facts are broadcast, after a check of their size; others are shuffled.
+    Few facts are broadcast, after a check of their size; others are shuffled. ``keep``
+    writes the facts, which are read more than once.
     """
-    facts = storage.checkpointed(facts)
-    if is_small(facts):
+    return attach_kept(rows, *keep(facts), keys, how)
+
+
+def attach_kept(rows: DataFrame, facts: DataFrame, few: bool, keys: list[str], how: str = "left") -> DataFrame:
+    """The join of :func:`attach` for facts in a written table."""
+    if few:
         return _joined(rows, _prefixed(facts), keys, how, small=True)
     return attach_shuffled(rows, facts, keys, how)
 

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tablekit.operators.ingest import check_rows
+from tablekit.operators.ingest import check_rows, observed_writes
 from tablekit.operators.key_index import BATCH, PARTS, KeyIndex
 from tablekit.plans.contract import Contract
 from tablekit.plans.naming import auto_map
@@ -28,6 +28,9 @@ from tablekit.sources.csv_files import (
 from tablekit.sources.storage import Stage
 
 
+METRICS = "successful_rows long, failed_rows long"
+
+
 @dataclass(frozen=True)
 class ImportFolders:
     """Where an import keeps its output; every batch owns one partition of each."""
@@ -70,6 +73,9 @@ def import_stream(
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     lines = with_place(reader.csv(source), layout.headers)
 
+    def owned(folder: str, number: int) -> Callable[[DataFrame], None]:
+        return lambda df: df.write.mode("overwrite").parquet(f"{folder}/{BATCH}={number}")
+
     def take(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
         index = KeyIndex(session, folders.keys, contract, key_parts)
@@ -77,12 +83,8 @@ def import_stream(
         raw = with_line(batch).select(*[F.col(f"`{h}`") for h in layout.headers], CORRUPT, *POSITION)
         with Stage() as stage:
             checked = check_rows(raw, contract, chosen, list(POSITION), parents, present, stage)
-            for rows, folder in (
-                (checked.good, folders.good),
-                (checked.rejects, folders.rejects),
-                (checked.metrics, folders.progress),
-            ):
-                rows.write.mode("overwrite").parquet(f"{folder}/{BATCH}={number}")
+            counts = observed_writes(checked, owned(folders.good, number), owned(folders.rejects, number))
+            owned(folders.progress, number)(session.createDataFrame([tuple(counts.values())], METRICS))
         if all(c in checked.columns for c in index.keys):
             good = session.read.schema(checked.good.schema).parquet(f"{folders.good}/{BATCH}={number}")
             index.add(good, number)

@@ -13,6 +13,7 @@ from tablekit.operators import generate, ingest, lookup, mutate, quality, view
 from tablekit.operators.anonymize import Rule, anonymize
 from tablekit.plans.contract import Contract, ForeignKey
 from tablekit.plans.requests import ChartRequest, Filter, PageRequest, Sort, resolve_page
+from tablekit.sources import storage
 from tablekit.streaming import import_stream
 
 # ---------------------------------------------------------------- anonymize
@@ -271,6 +272,30 @@ def test_reasons_match_row_by_row_import(spark, records, monkeypatch, broadcast)
     assert checked.rejects.columns == ["id", "owner", "state", "price", "_error_reason"]
 
 
+def test_keys_of_a_large_import_are_hashed_not_sorted(spark, monkeypatch):
+    monkeypatch.setattr(lookup, "MAX_BROADCAST_ROWS", 0)
+    stage, plans = storage.Stage(), []
+    table = stage.table
+    stage.table = lambda df, purpose: plans.append((purpose, plan_of(df))) or table(df, purpose)
+    raw = spark.range(300).select(
+        F.col("id").alias("at"), F.concat(F.lit("0"), F.col("id").cast("string")).alias("id"),
+        (F.col("id") % 4).cast("string").alias("owner"), F.lit("new").alias("state"), F.lit("1.50").alias("price"),
+    )
+    people = spark.createDataFrame([(1,), (2,), (3,), (3,), (900,)], "id int")
+    target = spark.range(298, 900).union(spark.range(298, 900))
+    mapping = {c: c for c in ("id", "owner", "state", "price")}
+    checked = ingest.check_rows(raw, ITEM_CONTRACT, mapping, ["at"], {"people": people}.__getitem__, target, stage)
+    keys = [plan for purpose, plan in plans if purpose == "keys"]
+    assert keys and not any(step in plan for plan in keys for step in ("SortAggregate", "SortMergeJoin"))
+    assert sorted(r["id"] for r in checked.good.collect()) == [n for n in range(298) if n % 4]
+    refused = {tuple(r) for r in checked.rejects.where("id >= 296").collect()}
+    assert refused == {
+        ("0296", "0", "new", "1.50", "Column owner refers to no row of people.id."),
+        ("0298", "2", "new", "1.50", "Duplicate key (id)."), ("0299", "3", "new", "1.50", "Duplicate key (id)."),
+    }
+    stage.release()
+
+
 def test_import_counts_while_writing(spark, tmp_path):
     (tmp_path / "in.csv").write_text('ID;Owner;STATE\n1;1;new\n1;1;"new;"\n2;1;old;9\n3;;old\n')
     people = spark.createDataFrame([(1,)], "id int")
