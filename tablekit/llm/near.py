@@ -138,6 +138,8 @@ SETS = "center long, lot int, member int, node long, prints binary"
 LOT = 500
 BLOCK_BYTES = 1 << 19
 MAX_BROADCAST_ENDS = 200_000
+# More than ends, as these are single numbers.
+MAX_BROADCAST_KEYS = 2_000_000
 
 
 def _sets(size: int):
@@ -237,6 +239,23 @@ def _small(df: DataFrame, purpose: str) -> DataFrame:
     return F.broadcast(df) if seen["n"] <= MAX_BROADCAST_ENDS else df
 
 
+def _chosen(rows: DataFrame, keys: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Rows of the ``chosen`` ones among ``keys``, which has every ``_key`` of the rows.
+
+    The chosen keys or the others, whichever are fewer, are broadcast, so texts are not
+    shuffled. Only where both are more than ``MAX_BROADCAST_KEYS``, all rows are, once.
+    """
+    marked = keys.join(chosen.withColumn("_in", F.lit(True)), "_key", "left")
+    counts = {"chosen": F.count_if("chosen"), "others": F.count_if(~F.col("chosen"))}
+    marked, seen = tables.staged_counting(marked.select("_key", F.col("_in").isNotNull().alias("chosen")), "chosen", **counts)
+    inside, outside = (marked.where(c).select("_key") for c in (F.col("chosen"), ~F.col("chosen")))
+    if min(seen.values()) > MAX_BROADCAST_KEYS:
+        return rows.join(inside, "_key", "left_semi")
+    if seen["others"] < seen["chosen"]:
+        return rows.join(F.broadcast(outside), "_key", "left_anti")
+    return rows.join(F.broadcast(inside), "_key", "left_semi")
+
+
 def _candidates(rows: DataFrame, live: DataFrame) -> DataFrame:
     """Texts of documents that share a bucket, written once for all turns."""
     nodes = _small(live.select(F.col("node").alias("doc")).distinct(), "nodes")
@@ -534,7 +553,8 @@ def without_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
         first = said.groupBy("component").agg(F.min(F.struct("text", "_key", "n", "n_shingles")).alias("x"))
         kept = kept.unionByName(first.select("x._key", "x.n", "x.n_shingles"))
     every = F.col("n_shingles") == 0
-    out = rows.join(kept.where((F.col("n") == 1) | every).select("_key"), "_key", "left_semi").select("_row")
+    single = kept.where((F.col("n") == 1) | every).select("_key")
+    out = _chosen(rows, grouped.select(F.col("doc").alias("_key")), single).select("_row")
     if seen["repeats"]:
         copies = rows.join(_small(kept.where((F.col("n") > 1) & ~every).select("_key"), "copies"), "_key")
         copies = copies.groupBy("_key").agg(F.min_by("_row", F.struct("_id", "_row.text")).alias("_row"))

@@ -8,6 +8,7 @@ from functools import partial
 import brute
 import numpy as np
 import pyarrow as pa
+from conftest import plan_of
 
 from tablekit.llm import near, texts
 from tablekit.llm.components import components
@@ -47,6 +48,25 @@ def test_one_row_of_each_class_stays(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["3", "7", "None"]
 
 
+def test_texts_are_not_shuffled_to_choose_rows(spark, monkeypatch):
+    """Whichever of the kept and the dropped rows are fewer, and where both are too many."""
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    try:
+        for copies in (2, 9):
+            rows = [(10 * c + n, f"one two three {c} " * 9) for c in range(4) for n in range(copies if c < 2 else 1)]
+            wanted = sorted({text: (number, text) for number, text in reversed(rows)}.values())
+            for limit in (near.MAX_BROADCAST_KEYS, 0):
+                monkeypatch.setattr(near, "MAX_BROADCAST_KEYS", limit)
+                kept = near.without_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+                assert sorted(tuple(r) for r in kept.collect()) == wanted
+                assert ("SortMergeJoin" in plan_of(kept)) == (limit == 0)
+            monkeypatch.undo()
+    finally:
+        spark.conf.set(threshold, before)
+
+
 def test_unlike_rows_that_share_an_id_stay(spark):
     unlike = ["q r s t", "other words stand here", "nothing of this is said twice"]
     rows = [(d, f"{text} {d}") for d in (None, 3) for text in unlike]
