@@ -11,8 +11,10 @@ array operations find them. Where an item has a single word, each of its occurre
 a stretch too.
 
 Items are taken in blocks of at most ``BLOCK_WORDS`` words, each an automaton that is
-sent to the tasks; documents pass through one block after the other without a shuffle.
-So what is broadcast has a fixed bound, whatever the number of items.
+sent to the tasks, so what is broadcast at once has a fixed bound, whatever the number of
+items. Documents pass through all of them in one Python worker a task, without a shuffle:
+a worker of its own for each block and for what follows would stay beside the others with
+all that it has held. A worker holds the automata of all blocks.
 
 Null texts have no words, items without words no window; items with a null id count
 as the item ``""``. Documents are judged row by row, so ties and repeats need no rule.
@@ -27,14 +29,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tablekit.llm import tables, texts
 
 WINDOW = 10
 BLOCK_WORDS = 200_000
+# Workers keep much of what their arrays have taken, so blocks of texts are small.
+BLOCK_BYTES = 1 << 19
 
 MEMBER = np.ones(256, bool)
 MEMBER[0x00:0x30] = MEMBER[0x3A:0x61] = MEMBER[0x7B:0x80] = False
@@ -192,8 +196,8 @@ class Matcher:
         rows = np.searchsorted(first, [s for s, _ in out], "right") - 1
         return [(int(r), s, e) for r, (s, e) in zip(rows, out, strict=True)]
 
-    def match(self, block: texts.Block) -> Iterator[tuple[int, list[tuple[int, int]], set[str]]]:
-        words, first = word_prints(block)
+    def match(self, words: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, list[tuple[int, int]], set[str]]]:
+        """Row, hit ranges and items of every row with a window."""
         by_row: dict[int, tuple[list, set]] = {}
         for row, start, end in self.stretches(words, first):
             hits, found = by_row.setdefault(row, ([], set()))
@@ -228,49 +232,31 @@ def item_blocks(items: DataFrame, block_words: int) -> Iterator[list[tuple[str,
         yield block
 
 
-def _match_map(matcher, earlier: bool):
-    """Adds the matches of one block of items to those of earlier blocks."""
+def _sent(spark: SparkSession, items: DataFrame, window: int, block_words: int) -> list:
+    """The automata of all blocks of items, a broadcast each."""
+    tables.lean(spark)
+    return [
+        spark.sparkContext.broadcast(cloudpickle.dumps(Matcher(block, window)))
+        for block in item_blocks(items, block_words)
+    ]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = cloudpickle.loads(matcher.value)
-        for batch in batches:
-            n = batch.num_rows
-            hits = batch.column(2).to_pylist() if earlier else [[] for _ in range(n)]
-            items = batch.column(3).to_pylist() if earlier else [[] for _ in range(n)]
-            for block in texts.blocks(batch.column(1)):
-                for row, found, names in known.match(block):
-                    at = block.first + row
-                    hits[at] = hits[at] + [x for pair in found for x in pair]
-                    items[at] = sorted({*items[at], *names})
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(1),
-                    pa.array(hits, pa.list_(pa.int32())),
-                    pa.array(items, pa.list_(pa.string())),
-                ],
-                ["doc", "text", "hits", "items"],
-            )
 
-    return run
+def _in_block(known: list[Matcher], block: texts.Block) -> Iterator[tuple[int, list[int], set[str]]]:
+    """Per row: how many words it has, the first and end words of all windows in turn, and
+    the ids of items with a window in it."""
+    words, first = word_prints(block)
+    hits: list[list[int]] = [[] for _ in range(block.rows)]
+    items: list[set[str]] = [set() for _ in range(block.rows)]
+    for matcher in known:
+        for row, found, names in matcher.match(words, first):
+            hits[row] += [x for pair in found for x in pair]
+            items[row] |= names
+    yield from zip(np.diff(first).tolist(), hits, items, strict=True)
 
 
-def _matched(rows: DataFrame, items: DataFrame, window: int, block_words: int) -> tuple[DataFrame, list]:
-    """``doc`` and ``text`` with ``hits``, the first and end words of all windows in turn,
-    and ``items``, the sorted ids of items with a window in the text; and the automata."""
-    schema = StructType(
-        [rows.schema["doc"], rows.schema["text"]]
-        + [StructField("hits", ArrayType(IntegerType())), StructField("items", ArrayType(StringType()))]
-    )
-    tables.lean(rows.sparkSession)
-    matchers: list = []
-    for block in item_blocks(items, block_words):
-        matcher = rows.sparkSession.sparkContext.broadcast(cloudpickle.dumps(Matcher(block, window)))
-        rows = rows.mapInArrow(_match_map(matcher, bool(matchers)), schema)
-        matchers.append(matcher)
-    if not matchers:
-        rows = rows.withColumns({"hits": F.array().cast("array<int>"), "items": F.array().cast("array<string>")})
-    return rows, matchers
+def _matches(known: list[Matcher], column: pa.Array) -> Iterator[tuple[int, list[int], set[str]]]:
+    for block in texts.blocks(column, BLOCK_BYTES):
+        yield from _in_block(known, block)
 
 
 def hit_mask(n_words: int, hits: list[int]) -> np.ndarray:
@@ -292,26 +278,28 @@ def without_hits(text: bytes, hits: list[int]) -> bytes:
     return b"".join([*parts, text[at:]])
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        hits, items = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        total, hit = [], []
-        for block in texts.blocks(batch.column(1)):
-            lower = texts.Block(block.first, LOWER[block.data], block.offsets)
-            n = np.diff(lower.words(MEMBER)[2]).tolist()
-            total += n
-            own = hits[block.first : block.first + block.rows]
-            hit += [int(hit_mask(k, h).sum()) if h else 0 for k, h in zip(n, own, strict=True)]
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column(0),
-                pa.array(total, pa.int64()),
-                pa.array(hit, pa.int64()),
-                pa.array([len(x) for x in items], pa.int64()),
-                pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]),
-            ],
-            ["doc", "n_words", "n_hit", "n_items", "items_sha256"],
-        )
+def _count(matchers: list):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = [cloudpickle.loads(m.value) for m in matchers]
+        for batch in batches:
+            total, hit, count, digest = [], [], [], []
+            for n, hits, items in _matches(known, batch.column(1)):
+                total.append(n)
+                hit.append(int(hit_mask(n, hits).sum()) if hits else 0)
+                count.append(len(items))
+                digest.append(hashlib.sha256(",".join(sorted(items)).encode()).hexdigest())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array(total, pa.int64()),
+                    pa.array(hit, pa.int64()),
+                    pa.array(count, pa.int64()),
+                    pa.array(digest, pa.string()),
+                ],
+                ["doc", "n_words", "n_hit", "n_items", "items_sha256"],
+            )
+
+    return run
 
 
 REPORT = "doc long, n_words long, n_hit long, n_items long, items_sha256 string"
@@ -319,9 +307,9 @@ REPORT = "doc long, n_words long, n_hit long, n_items long, items_sha256 string"
 
 def reported(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Per row: doc_id, n_words, n_hit, n_items, items_sha256 and contaminated."""
-    rows, _ = _matched(tables.keyed(docs), items, window, block_words)
+    matchers = _sent(docs.sparkSession, items, window, block_words)
     contaminated = (F.col("n_hit") > 0).alias("contaminated")
-    return rows.mapInArrow(_count, REPORT).select(
+    return tables.keyed(docs).mapInArrow(_count(matchers), REPORT).select(
         tables.doc_id(), "n_words", "n_hit", "n_items", "items_sha256", contaminated
     )
 
@@ -332,21 +320,19 @@ def _clean(matchers: list, max_percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = [cloudpickle.loads(m.value) for m in matchers]
         for batch in batches:
-            names, hits = batch.column(1), batch.column(2).to_pylist()
             clean, keep = [], []
-            for text, own in zip(names, hits, strict=True):
+            for text, (words, own, _) in zip(batch.column(1), _matches(known, batch.column(1)), strict=True):
                 if not own:
                     clean.append(None)
                     keep.append(True)
                     continue
                 text = text.as_py().encode()
-                words = len(_words_of(text.decode()))
                 covered = int(hit_mask(words, own).sum())
                 keep.append(covered * 100 <= words * max_percent)
                 while own and keep[-1]:
                     text = without_hits(text, own)
                     block = texts.Block(0, np.frombuffer(text, np.uint8), np.array([0, len(text)]))
-                    own = [x for m in known for _, found, _ in m.match(block) for pair in found for x in pair]
+                    ((_, own, _),) = _in_block(known, block)
                 clean.append(text.decode())
             out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(clean, pa.string())], ["doc", "clean"])
             yield out.filter(pa.array(keep, pa.bool_()))
@@ -355,13 +341,17 @@ def _clean(matchers: list, max_percent: int):
 
 
 def decontaminated(
-    docs: DataFrame, items: DataFrame, window: int = WINDOW, max_percent: int = MAX_COVERAGE_PERCENT
+    docs: DataFrame,
+    items: DataFrame,
+    window: int = WINDOW,
+    max_percent: int = MAX_COVERAGE_PERCENT,
+    block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
     """The rows of ``docs`` with hit words cut out of their texts; rows of which more than
     ``max_percent`` of all words are hit go. Other columns stay as they are."""
     row = tables.whole_row(docs).alias("doc")
     rows = docs.select(row, F.coalesce(docs["text"], F.lit("")).alias("text"))
-    rows, matchers = _matched(rows, items, window, BLOCK_WORDS)
+    matchers = _sent(docs.sparkSession, items, window, block_words)
     schema = StructType([rows.schema["doc"], StructField("clean", StringType())])
     out = rows.mapInArrow(_clean(matchers, max_percent), schema)
     text = F.coalesce("clean", F.col("doc")["text"]).alias("text")

@@ -6,9 +6,11 @@ import hashlib
 import random
 
 import brute
+import pyarrow as pa
 import pytest
+from conftest import plan_of
 
-from tablekit.llm import leaks
+from tablekit.llm import leaks, texts
 
 
 def frames(spark, docs, items):
@@ -49,3 +51,32 @@ def test_empty_tables(spark):
     assert [(r.n_words, r.n_hit) for r in leaks.reported(docs, items).collect()] == [(2, 0)]
     assert leaks.reported(docs.limit(0), items).collect() == []
     assert [r.text for r in leaks.decontaminated(docs, items).collect()] == ["a b"]
+
+
+def test_one_worker_a_task_for_all_blocks_of_items(spark):
+    item = " ".join(f"i{k}" for k in range(12))
+    other = " ".join(f"i{k}" for k in range(5)) + " " + " ".join(f"o{k}" for k in range(10)) + " " + " ".join(f"i{k}" for k in range(5, 12))
+    filler = " ".join(f"f{k}" for k in range(60))
+    docs = [(1, f"{filler} {item}! {filler}"), (2, item), (3, "Clean."), (4, f"{filler} {other} {filler}"), (5, None), (6, "")]
+    table, tests = frames(spark, docs, [(1, item), (2, " ".join(f"o{k}" for k in range(10))), (3, "clean")])
+    for frame in (
+        leaks.reported(table, tests),
+        leaks.reported(table, tests, block_words=1),
+        leaks.decontaminated(table, tests),
+        leaks.decontaminated(table, tests, block_words=1),
+    ):
+        assert plan_of(frame).count("MapInArrow") == 1
+    one, several = (sorted(map(tuple, leaks.decontaminated(table, tests, block_words=n).collect())) for n in (10**9, 1))
+    assert [r[0] for r in one] == [1, 4, 5, 6] and one == several
+    assert one[0][1] == f"{filler} ! {filler}" and "o3" not in one[1][1] and "i7" not in one[1][1]
+
+
+def test_arrays_of_a_batch_are_small(monkeypatch):
+    known = leaks.Matcher([("x", "a b c")], 3)
+    sizes = []
+    prints = leaks.word_prints
+    monkeypatch.setattr(leaks, "word_prints", lambda block: sizes.append(len(block.data)) or prints(block))
+    rows = ["a b c d " * 2000] * 300
+    got = list(leaks._matches([known], pa.array(rows)))
+    assert len(got) == 300 and all(n == 8000 and len(h) == 4000 and i == {"x"} for n, h, i in got)
+    assert sum(sizes) == sum(map(len, rows)) and max(sizes) <= 1 << 19 < texts.BLOCK_BYTES
